@@ -1,0 +1,22 @@
+"""How much a plan reads, to choose between one-task and distributed ordering."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+LIMIT_KEY = "shelfwise.oneTask.inputBytes"
+DEFAULT_LIMIT = 64 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all leaf relations under ``df`` as Catalyst knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+    )
+
+
+def small_input(df: DataFrame) -> bool:
+    """True when everything ``df`` reads fits comfortably into one task."""
+    limit = int(df.sparkSession.conf.get(LIMIT_KEY, str(DEFAULT_LIMIT)))
+    return input_bytes(df) <= limit
