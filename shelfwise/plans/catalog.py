@@ -3,5 +3,8 @@
 from shelfwise.plans import views  # noqa: F401
 from shelfwise.plans import (  # noqa: F401
     q_quality,
+    q_basic,
+    q_aggregate,
+    q_series,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401

@@ -131,3 +131,16 @@ FROM (SELECT product_id, month, received, units_sold,
             GROUP BY 1, 2)) s
 JOIN x_products p ON p.product_id = s.product_id
 """)
+view("x_category_months", """
+SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS month, sum(revenue) AS revenue
+FROM x_lines GROUP BY 1, 2
+""")
+view("x_web_daily", """
+SELECT t.date, sessions, unique_visitors, page_views, bounce_rate, coalesce(orders, 0) AS orders,
+       coalesce(revenue, 0) AS revenue
+FROM (SELECT date, sum(sessions) AS sessions, sum(unique_visitors) AS unique_visitors,
+             sum(page_views) AS page_views, avg(bounce_rate) AS bounce_rate
+      FROM x_traffic GROUP BY 1) t
+LEFT JOIN (SELECT order_date AS date, count(*) AS orders, sum(order_value) AS revenue
+           FROM x_web_orders GROUP BY 1) o ON o.date = t.date
+""")
