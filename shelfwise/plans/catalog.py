@@ -6,5 +6,6 @@ from shelfwise.plans import (  # noqa: F401
     q_basic,
     q_aggregate,
     q_series,
+    q_revenue,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401
