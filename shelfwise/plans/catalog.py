@@ -7,5 +7,6 @@ from shelfwise.plans import (  # noqa: F401
     q_aggregate,
     q_series,
     q_revenue,
+    q_assortment,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401

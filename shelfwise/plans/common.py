@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import month_start
 from shelfwise.operators import timeseries as T
+from shelfwise.operators.customers import customer_rollup
+from shelfwise.operators.orders import order_level
 from shelfwise.sources.star import Shop
 
 MEASURES = ["revenue", "cogs", "orders", "quantity"]
@@ -42,3 +44,13 @@ def web_daily(shop: Shop) -> DataFrame:
         F.count("*").alias("orders"), F.sum("order_value").alias("revenue")
     )
     return traffic.join(bought, "date", "left").fillna(0, ["orders", "revenue"])
+
+
+def order_rows(shop: Shop) -> DataFrame:
+    """Orders with item, payment and return totals."""
+    return order_level(shop.orders, shop.items, shop.payments, shop.returns)
+
+
+def rollup(shop: Shop) -> DataFrame:
+    """Customer roll-up of the orders."""
+    return customer_rollup(shop.orders)
