@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import percent_rank_over, quantiles
-from shelfwise.functions.scalars import clip, ratio
+from shelfwise.functions.scalars import change, clip, ratio
 from shelfwise.operators.aggregate import correlations
 from shelfwise.operators.joins import aggregate_then_join
-from shelfwise.operators.timeseries import densify, period_change
+from shelfwise.operators.timeseries import densify
 
 
 def order_level(orders: DataFrame, items: DataFrame, payments: DataFrame | None = None, returns: DataFrame | None = None) -> DataFrame:
@@ -57,42 +57,53 @@ def order_daily(order_rows: DataFrame) -> DataFrame:
     return dense.withColumn("aov", ratio(F.col("revenue"), F.col("orders")))
 
 
-def monthly_alignment(monthly: DataFrame, limit: float = 5.0) -> DataFrame:
-    """Monthly change of orders and revenue with a label of the pattern."""
-    a = period_change(monthly, "orders", "month").select(
-        "month", F.col("pct_change").alias("orders_pct")
-    )
-    b = period_change(monthly, "revenue", "month").select(
-        "month", F.col("pct_change").alias("revenue_pct")
-    )
-    side = lambda c: (
-        F.when(F.col(c) > limit, "up").when(F.col(c) < -limit, "down").otherwise("flat")
+def monthly_alignment(monthly: DataFrame, limit: float = 0.05, aov_limit: float = 0.03) -> DataFrame:
+    """Monthly change of orders, revenue and order value with two pattern labels."""
+    order = Window.orderBy("month")
+    base = monthly.withColumn("aov", ratio(F.col("revenue"), F.col("orders")))
+    moved = base.withColumns(
+        {f"{c}_change": change(F.col(c), F.lag(c).over(order)) for c in ("orders", "revenue", "aov")}
     )
-    label = F.when(
-        F.col("orders_pct").isNull() | F.col("revenue_pct").isNull(), "not available"
-    ).otherwise(
-        F.concat(F.lit("orders_"), side("orders_pct"), F.lit("_revenue_"), side("revenue_pct"))
+    o, r, a = F.col("orders_change"), F.col("revenue_change"), F.col("aov_change")
+    return moved.withColumns(
+        {
+            "pattern": F.when(
+                (o > limit) & (r <= limit), "orders increased but revenue did not increase much"
+            )
+            .when((r > limit) & (F.abs(o) <= limit), "revenue increased despite stable order count")
+            .when((o > limit) & (r > limit), "both orders and revenue increased")
+            .when((o < -limit) & (r < -limit), "both orders and revenue decreased")
+            .otherwise("mixed or stable"),
+            "alignment": F.when(
+                (r > aov_limit) & (o > a), "revenue increase aligned more with order count"
+            )
+            .when((r > aov_limit) & (a > o), "revenue increase aligned more with AOV")
+            .when((r < -aov_limit) & (o < a), "revenue decrease aligned more with order count drop")
+            .when((r < -aov_limit) & (a < o), "revenue decrease aligned more with AOV drop")
+            .otherwise("mixed or stable"),
+        }
     )
-    return a.join(b, "month").withColumn("pattern", label)
 
 
-def high_day_drivers(daily: DataFrame, share: float = 0.95, strong: float = 0.75) -> DataFrame:
-    """Top revenue days classed by the percentile ranks of orders and order value."""
+def high_day_drivers(daily: DataFrame, n: int = 25) -> DataFrame:
+    """The ``n`` best revenue days classed by percentile ranks of orders and order value."""
     ranked = daily.withColumns(
         {
-            "revenue_rank": percent_rank_over(F.col("revenue")),
             "orders_rank": percent_rank_over(F.col("orders")),
             "aov_rank": percent_rank_over(F.col("aov")),
         }
     )
-    many, rich = F.col("orders_rank") >= strong, F.col("aov_rank") >= strong
+    many, rich = F.col("orders_rank"), F.col("aov_rank")
     label = (
-        F.when(many & rich, "orders_and_aov")
-        .when(many, "order_driven")
-        .when(rich, "aov_driven")
-        .otherwise("mixed")
+        F.when(many.isNull() | rich.isNull(), "unclear/missing")
+        .when((many >= 0.9) & (rich >= 0.9), "both high order count and high AOV")
+        .when((many >= 0.9) & (rich < 0.75), "unusually high order count")
+        .when((rich >= 0.9) & (many < 0.75), "unusually high AOV")
+        .when(many >= 0.9, "order count leaning")
+        .when(rich >= 0.9, "AOV leaning")
+        .otherwise("unclear/mixed")
     )
-    return ranked.where(F.col("revenue_rank") >= share).withColumn("driver", label)
+    return ranked.orderBy(F.desc("revenue"), "date").limit(n).withColumn("driver", label)
 
 
 def aov_by(order_rows: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -129,30 +140,39 @@ def aov_anomalies(daily: DataFrame) -> DataFrame:
     )
 
 
+def large_threshold() -> Column:
+    """Baskets above max(P99, Q3 + 1.5 IQR) are large."""
+    q1, q3 = F.col("_m.p25"), F.col("_m.p75")
+    return F.greatest(F.col("_m.p99"), q3 + 1.5 * (q3 - q1))
+
+
+BASKET_MARKS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
 def basket_summary(order_rows: DataFrame, metric: str = "quantity") -> DataFrame:
-    """Distribution of basket sizes and the large-basket threshold (P99)."""
+    """Distribution of basket sizes and the large-basket threshold."""
     known = order_rows.where(F.col(metric).isNotNull())
-    marks = quantiles(
-        known, metric, {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    )
+    marks = quantiles(known, metric, BASKET_MARKS)
     sums = known.agg(
         F.count("*").alias("orders"),
         F.avg(metric).alias("mean"),
         F.stddev_samp(metric).alias("std"),
         F.max(metric).alias("high"),
-        ratio(F.count_if(F.col("lines") == 1), F.count("*")).alias("single_line_share"),
+        F.avg("products").alias("mean_products"),
+        F.avg("lines").alias("mean_lines"),
     )
-    return sums.withColumn("_m", marks.select(F.struct("*")).scalar()).select("*", "_m.*").drop("_m")
+    marked = sums.withColumn("_m", marks.select(F.struct("*")).scalar())
+    return marked.withColumn("large_threshold", large_threshold()).select("*", "_m.*").drop("_m")
 
 
-def large_baskets(order_rows: DataFrame, metric: str = "quantity", p: float = 0.95) -> DataFrame:
+def large_baskets(order_rows: DataFrame, metric: str = "quantity") -> DataFrame:
     """Orders with their large-basket flag and size capped at P99."""
     known = order_rows.where(F.col(metric).isNotNull())
-    marks = quantiles(known, metric, {"large": p, "cap": 0.99})
+    marks = quantiles(known, metric, BASKET_MARKS)
     return known.withColumn("_m", marks.select(F.struct("*")).scalar()).withColumns(
         {
-            "is_large": F.col(metric) >= F.col("_m.large"),
-            "capped": clip(F.col(metric), None, F.col("_m.cap")),
+            "is_large": F.col(metric) >= large_threshold(),
+            "capped": clip(F.col(metric), None, F.col("_m.p99")),
         }
     ).drop("_m")
 
@@ -243,10 +263,9 @@ def peak_drivers(daily: DataFrame, top: int = 3) -> DataFrame:
     ranked = months.withColumns({f"{c}_rank": rank(c) for c in ("revenue", "orders", "aov")})
     many, rich = F.col("orders_rank") <= top, F.col("aov_rank") <= top
     label = (
-        F.when(F.col("revenue_rank") > top, "not a peak")
-        .when(many & rich, "orders and aov")
-        .when(many, "order volume")
-        .when(rich, "order value")
-        .otherwise("balanced")
+        F.when(many & rich, "both")
+        .when(many, "high_order_volume")
+        .when(rich, "high_AOV")
+        .otherwise("mixed")
     )
     return ranked.withColumn("peak_class", label)

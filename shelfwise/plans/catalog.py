@@ -8,5 +8,6 @@ from shelfwise.plans import (  # noqa: F401
     q_series,
     q_revenue,
     q_assortment,
+    q_commerce,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401
