@@ -9,5 +9,6 @@ from shelfwise.plans import (  # noqa: F401
     q_revenue,
     q_assortment,
     q_commerce,
+    q_fulfilment,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401
