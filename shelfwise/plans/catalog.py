@@ -10,5 +10,6 @@ from shelfwise.plans import (  # noqa: F401
     q_assortment,
     q_commerce,
     q_fulfilment,
+    q_forecast,
 )
 from shelfwise.plans.registry import QUERIES  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder all executors can reach, for files written and read back."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/shelfwise-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="shelfwise-files-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
