@@ -99,9 +99,18 @@ def repair_ratio(value: Column) -> Column:
     return F.when(F.abs(value) > 1.5, value / 100).otherwise(value)
 
 
-def growth_percent(value: Column, base: Column) -> Column:
-    """Change from ``base`` in percent of its size."""
-    return (value - base) / F.nullif(F.abs(base), F.lit(0)) * 100
+def at_least(value: Column, cut: Column) -> Column:
+    """``value >= cut`` where the cut is a statistic of the same values.
+
+    Both sides can be sums that were added up in different orders, so a value that
+    defines the cut must not fall on its wrong side by the last bit.
+    """
+    return value >= cut - F.abs(cut) * 1e-12
+
+
+def at_most(value: Column, cut: Column) -> Column:
+    """``value <= cut``, see :func:`at_least`."""
+    return value <= cut + F.abs(cut) * 1e-12
 
 
 # --- cleaning -------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import percent_rank_over
-from shelfwise.functions.scalars import ratio
+from shelfwise.functions.scalars import at_least, at_most, ratio
 from shelfwise.operators.derive import zscores
 from shelfwise.operators.joins import at_offsets, near_days
 from shelfwise.operators.timeseries import by_date, rolled, spaced_top
@@ -70,8 +70,8 @@ def global_anomalies(daily: DataFrame, value: str = "revenue") -> DataFrame:
             "pct_rank": percent_rank_over(v),
             "iqr_high": yes(v > s("q3") + 1.5 * iqr),
             "iqr_low": yes(v < s("q1") - 1.5 * iqr),
-            "pct_high": yes(v >= s("p99")),
-            "pct_low": yes(v <= s("p01")),
+            "pct_high": yes(at_least(v, s("p99"))),
+            "pct_low": yes(at_most(v, s("p01"))),
         }
     ).withColumns({"z_high": yes(F.col("z") >= 3), "z_low": yes(F.col("z") <= -3)})
     scored = scored.withColumns(
@@ -220,7 +220,7 @@ def spikes(df: DataFrame, value: str) -> DataFrame:
         "spike_z", F.coalesce(ratio(v - F.col("_s.mean"), F.col("_s.std")), F.lit(0.0))
     )
     return scored.where(
-        (F.col("spike_z") >= 3) | (v >= fence) | (v >= F.col("_s.p95"))
+        (F.col("spike_z") >= 3) | (v >= fence) | (at_least(v, F.col("_s.p95")))
     ).drop("_s")
 
 
@@ -241,8 +241,8 @@ def spike_followup(daily: DataFrame, driver: str, value: str, offsets: Sequence[
     )
     return found.withColumns(
         {
-            "spike_same_day": F.col(value) >= F.col("_cut"),
-            **{f"spike_plus_{k}": F.col(f"`{value}_t{k:+d}`") >= F.col("_cut") for k in offsets},
+            "spike_same_day": at_least(F.col(value), F.col("_cut")),
+            **{f"spike_plus_{k}": at_least(F.col(f"`{value}_t{k:+d}`"), F.col("_cut")) for k in offsets},
         }
     ).withColumnsRenamed({f"{value}_t{k:+d}": f"{value}_plus_{k}" for k in offsets}).drop("_cut")
 

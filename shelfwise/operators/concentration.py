@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import quantiles, running
-from shelfwise.functions.scalars import entropy, herfindahl, ratio
+from shelfwise.functions.scalars import at_least, entropy, herfindahl, ratio
 from shelfwise.operators.timeseries import by_date, densify, lags, rolled
 
 
@@ -249,7 +249,7 @@ def quadrants(df: DataFrame, x: str, y: str, x_name: str, y_name: str) -> DataFr
     cuts = quantiles(df, x, {"a": 0.5}).select(F.col("a")).scalar()
     other = quantiles(df, y, {"b": 0.5}).select(F.col("b")).scalar()
     level = lambda v, cut, name: F.concat(
-        F.when(F.col(v) >= F.col(cut), "high_").otherwise("low_"), F.lit(name)
+        F.when(at_least(F.col(v), F.col(cut)), "high_").otherwise("low_"), F.lit(name)
     )
     return (
         df.withColumns({"_x": cuts, "_y": other})

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import quantiles
 from shelfwise.functions.scalars import (
+    at_least,
+    at_most,
     is_defective,
     is_wrong_size,
     month_start,
@@ -89,7 +91,7 @@ def net_revenue_daily(sales: DataFrame, returns: DataFrame) -> DataFrame:
     )
     cut = daily.agg(F.percentile("refund_ratio", F.lit(0.95)).alias("c")).scalar()
     return daily.withColumn("_c", cut).withColumn(
-        "material", F.coalesce(F.col("refund_ratio") >= F.col("_c"), F.lit(False))
+        "material", F.coalesce(at_least(F.col("refund_ratio"), F.col("_c")), F.lit(False))
     ).drop("_c")
 
 
@@ -148,7 +150,7 @@ def return_pressure(returned: DataFrame, n: int = 20) -> DataFrame:
     cut = quantiles(products, "quantity", {"c": 0.75}).scalar()
     return (
         products.withColumn("_c", cut)
-        .where(F.col("quantity") >= F.col("_c"))
+        .where(at_least(F.col("quantity"), F.col("_c")))
         .orderBy(F.round("return_rate", 9).desc(), "product_id")
         .limit(n)
         .drop("_c")
@@ -295,14 +297,14 @@ def review_revenue_groups(risk: DataFrame) -> DataFrame:
         }
     )
     enough = F.col("reviews") >= F.greatest(F.lit(5), F.floor("_n.q50"))
-    many = enough & (F.col("reviews") >= F.col("_n.q75"))
+    many = enough & (at_least(F.col("reviews"), F.col("_n.q75")))
     return placed.withColumns(
         {
-            "many_reviews_high_revenue": many & (F.col("revenue") >= F.col("_v.q75")),
-            "many_reviews_low_revenue": many & (F.col("revenue") <= F.col("_v.q50")),
-            "review_and_return_risk": (F.col("reviews") >= F.col("_n.q75"))
-            & (F.col("mean_rating") <= F.col("_r.q25"))
-            & (F.col("returns") >= F.col("_b.q75")),
+            "many_reviews_high_revenue": many & (at_least(F.col("revenue"), F.col("_v.q75"))),
+            "many_reviews_low_revenue": many & (at_most(F.col("revenue"), F.col("_v.q50"))),
+            "review_and_return_risk": (at_least(F.col("reviews"), F.col("_n.q75")))
+            & (at_most(F.col("mean_rating"), F.col("_r.q25")))
+            & (at_least(F.col("returns"), F.col("_b.q75"))),
         }
     ).drop("_n", "_v", "_r", "_b")
 
@@ -356,14 +358,14 @@ def risk_matrix(risk: DataFrame) -> DataFrame:
             "_n": middle("reviews"),
         }
     )
-    rich = F.col("revenue") >= F.col("_v")
-    good = F.col("mean_rating") >= F.col("_r")
-    back = F.col("return_rate") >= F.col("_b")
+    rich = at_least(F.col("revenue"), F.col("_v"))
+    good = at_least(F.col("mean_rating"), F.col("_r"))
+    back = at_least(F.col("return_rate"), F.col("_b"))
     label = (
         F.when(rich & ~good & back, "high_revenue_low_rating_high_return")
         .when(rich & good & ~back, "high_revenue_high_rating_low_return")
         .when(~rich & ~good & back, "low_revenue_low_rating_high_return")
-        .when((F.col("reviews") >= F.col("_n")) & ~rich, "high_review_low_revenue")
+        .when((at_least(F.col("reviews"), F.col("_n"))) & ~rich, "high_review_low_revenue")
         .otherwise("mixed")
     )
     return placed.withColumn("risk_group", label).drop("_v", "_r", "_b", "_n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import quantiles
-from shelfwise.functions.scalars import month_start, ratio
+from shelfwise.functions.scalars import at_least, at_most, month_start, ratio
 from shelfwise.operators.aggregate import correlations
 from shelfwise.operators.joins import month_to_day
 from shelfwise.operators.timeseries import by_date, rolled
@@ -67,7 +67,7 @@ def low_revenue_months(monthly: DataFrame) -> DataFrame:
     )
     z = ratio(F.col("revenue") - F.col("_s.mean"), F.col("_s.std"))
     low = (
-        (F.col("revenue") <= F.col("_s.p10"))
+        (at_most(F.col("revenue"), F.col("_s.p10")))
         | F.coalesce(z <= -1.5, F.lit(False))
         | F.coalesce(F.col("revenue") < 0.85 * F.col("prior_3"), F.lit(False))
     )
@@ -86,7 +86,7 @@ def stockout_overlap(stock_months: DataFrame, monthly: DataFrame) -> DataFrame:
     joined = stock_months.select("month", "stockout_rate").join(low_revenue_months(monthly), "month")
     cut = joined.agg(F.percentile("stockout_rate", F.lit(0.75)).alias("c")).scalar()
     marked = joined.withColumn("_c", cut).withColumn(
-        "high_stockout", F.col("stockout_rate") >= F.col("_c")
+        "high_stockout", at_least(F.col("stockout_rate"), F.col("_c"))
     )
     return marked.groupBy("low_revenue", "high_stockout").agg(
         F.count("*").alias("months"), F.avg("revenue").alias("mean_revenue")
@@ -160,7 +160,7 @@ def slow_movers(marked: DataFrame, n: int = 20) -> DataFrame:
     cut = quantiles(products, "mean_stock", {"c": 0.75}).scalar()
     return (
         products.withColumn("_c", cut)
-        .where(F.col("mean_stock") >= F.col("_c"))
+        .where(at_least(F.col("mean_stock"), F.col("_c")))
         .orderBy("units_sold", F.desc("mean_stock"), "product_id")
         .limit(n)
         .drop("_c")
@@ -197,8 +197,8 @@ def supply_extremes(supply_months: DataFrame, monthly: DataFrame) -> DataFrame:
         F.percentile("mean_days_of_supply", F.lit(0.75)).alias("high"),
     ).select(F.struct("*")).scalar()
     label = (
-        F.when(F.col("mean_days_of_supply") <= F.col("_c.low"), "low_supply")
-        .when(F.col("mean_days_of_supply") >= F.col("_c.high"), "high_supply")
+        F.when(at_most(F.col("mean_days_of_supply"), F.col("_c.low")), "low_supply")
+        .when(at_least(F.col("mean_days_of_supply"), F.col("_c.high")), "high_supply")
         .otherwise("normal_supply")
     )
     return joined.withColumn("_c", cuts).groupBy(label.alias("supply_group")).agg(
@@ -264,7 +264,7 @@ def constraint_matrix(master: DataFrame, side: Mapping[str, Column], volume: str
     marked = master.withColumn("_c", cut).withColumns(
         {
             name: label,
-            "stockout_group": F.when(F.col("stockout_rate") >= F.col("_c"), "high_stockout").otherwise(
+            "stockout_group": F.when(at_least(F.col("stockout_rate"), F.col("_c")), "high_stockout").otherwise(
                 "low_stockout"
             ),
         }

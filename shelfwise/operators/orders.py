@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import percent_rank_over, quantiles
-from shelfwise.functions.scalars import change, clip, ratio
+from shelfwise.functions.scalars import at_least, change, clip, ratio
 from shelfwise.operators.aggregate import correlations
 from shelfwise.operators.joins import aggregate_then_join
 from shelfwise.operators.timeseries import densify
@@ -171,7 +171,7 @@ def large_baskets(order_rows: DataFrame, metric: str = "quantity") -> DataFrame:
     marks = quantiles(known, metric, BASKET_MARKS)
     return known.withColumn("_m", marks.select(F.struct("*")).scalar()).withColumns(
         {
-            "is_large": F.col(metric) >= large_threshold(),
+            "is_large": at_least(F.col(metric), large_threshold()),
             "capped": clip(F.col(metric), None, F.col("_m.p99")),
         }
     ).drop("_m")
@@ -237,7 +237,7 @@ def driver_correlations(daily: DataFrame) -> DataFrame:
         "year": daily.withColumn("scope", F.year("date").cast("string")),
         "month": daily.withColumn("scope", F.concat(F.lit("month_"), F.month("date").cast("string"))),
         "high_revenue": daily.withColumn("_c", cut)
-        .where(F.col("revenue") >= F.col("_c"))
+        .where(at_least(F.col("revenue"), F.col("_c")))
         .withColumn("scope", F.lit("high_revenue_days")),
     }
     table = None

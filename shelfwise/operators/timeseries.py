@@ -14,7 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.scalars import change, correlation_label, month_start, ratio
+from shelfwise.functions.scalars import (
+    at_least,
+    at_most,
+    change,
+    correlation_label,
+    month_start,
+    ratio,
+)
 from shelfwise.operators.aggregate import safe_corr
 
 
@@ -174,10 +181,10 @@ def volatility_regimes(df: DataFrame, column: str, window: int = 30, min_periods
     ).select(F.struct("*")).scalar()
     return base.withColumn("_c", cuts).withColumns(
         {
-            "high_volatility": F.coalesce(F.col("roll_std") >= F.col("_c.std_high"), F.lit(False)),
-            "low_volatility": F.coalesce(F.col("roll_std") <= F.col("_c.std_low"), F.lit(False)),
-            "high_cv": F.coalesce(F.col("roll_cv") >= F.col("_c.cv_high"), F.lit(False)),
-            "low_cv": F.coalesce(F.col("roll_cv") <= F.col("_c.cv_low"), F.lit(False)),
+            "high_volatility": F.coalesce(at_least(F.col("roll_std"), F.col("_c.std_high")), F.lit(False)),
+            "low_volatility": F.coalesce(at_most(F.col("roll_std"), F.col("_c.std_low")), F.lit(False)),
+            "high_cv": F.coalesce(at_least(F.col("roll_cv"), F.col("_c.cv_high")), F.lit(False)),
+            "low_cv": F.coalesce(at_most(F.col("roll_cv"), F.col("_c.cv_low")), F.lit(False)),
         }
     ).drop("_c")
 
@@ -214,8 +221,8 @@ def trend_signals(df: DataFrame, column: str, min_periods: Mapping[int, int]) ->
             "pct_vs_medium": F.when(
                 F.abs(mean) >= 1e-9, (F.col(column) - mean) / F.abs(mean) * 100
             ),
-            "strong_up": F.col("short_vs_medium") >= F.col("_c.up"),
-            "strong_down": F.col("short_vs_medium") <= F.col("_c.down"),
+            "strong_up": at_least(F.col("short_vs_medium"), F.col("_c.up")),
+            "strong_down": at_most(F.col("short_vs_medium"), F.col("_c.down")),
         }
     ).drop("_c")
 

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.scalars import is_completed, ratio, repair_ratio, weighted_mean
+from shelfwise.functions.scalars import (
+    at_least,
+    at_most,
+    is_completed,
+    ratio,
+    repair_ratio,
+    weighted_mean,
+)
 from shelfwise.operators.aggregate import correlations, safe_corr, spearman
 from shelfwise.operators.timeseries import index_to_base, lags, rolled, trend_direction
 
@@ -74,10 +81,10 @@ def traffic_efficiency(daily: DataFrame) -> DataFrame:
     ).select(F.struct("*")).scalar()
     return base.withColumn("_c", cuts).withColumns(
         {
-            "busy_low_yield": (F.col("sessions") >= F.col("_c.s_high"))
-            & (F.col("revenue_per_session") <= F.col("_c.r_low")),
-            "calm_high_yield": (F.col("sessions") <= F.col("_c.s_low"))
-            & (F.col("revenue_per_session") >= F.col("_c.r_high")),
+            "busy_low_yield": (at_least(F.col("sessions"), F.col("_c.s_high")))
+            & (at_most(F.col("revenue_per_session"), F.col("_c.r_low"))),
+            "calm_high_yield": (at_most(F.col("sessions"), F.col("_c.s_low")))
+            & (at_least(F.col("revenue_per_session"), F.col("_c.r_high"))),
         }
     ).drop("_c")
 
@@ -180,14 +187,14 @@ def spike_context(daily: DataFrame) -> DataFrame:
     cuts = daily.agg(
         F.percentile("revenue", F.lit(0.95)).alias("r"), F.percentile("sessions", F.lit(0.9)).alias("s")
     ).select(F.struct("*")).scalar()
-    busy, promo = F.col("sessions") >= F.col("_c.s"), F.coalesce("has_promo", F.lit(False))
+    busy, promo = at_least(F.col("sessions"), F.col("_c.s")), F.coalesce("has_promo", F.lit(False))
     label = (
         F.when(busy & promo, "high_traffic_plus_promo")
         .when(busy, "high_traffic_only")
         .when(promo, "promo_only")
         .otherwise("unclear")
     )
-    spikes = daily.withColumn("_c", cuts).where(F.col("revenue") >= F.col("_c.r"))
+    spikes = daily.withColumn("_c", cuts).where(at_least(F.col("revenue"), F.col("_c.r")))
     return spikes.withColumn("context", label).drop("_c")
 
 

@@ -488,3 +488,161 @@ def _(shop):
     )
 
 
+@query("J07_match_returns", "match:s is_returned:b groups:i quantity:d returned_quantity:d", """
+SELECT 'line' AS match, rq IS NOT NULL AS is_returned, count(*) AS groups, sum(quantity) AS quantity, sum(rq) AS returned_quantity
+FROM (SELECT order_id, product_id, sum(quantity) AS quantity FROM x_items GROUP BY 1, 2)
+LEFT JOIN (SELECT order_id, product_id, sum(return_quantity) AS rq FROM x_returns GROUP BY 1, 2) USING (order_id, product_id) GROUP BY 1, 2
+UNION ALL
+SELECT 'order', rq IS NOT NULL, count(*), sum(quantity), sum(rq)
+FROM (SELECT order_id, sum(quantity) AS quantity FROM x_items GROUP BY 1)
+LEFT JOIN (SELECT order_id, sum(return_quantity) AS rq FROM x_returns GROUP BY 1) USING (order_id) GROUP BY 1, 2""")
+def _(shop):
+    def summary(match):
+        return J.match_returns(shop.items, shop.returns, match).groupBy("is_returned").agg(
+            F.count("*").alias("groups"),
+            F.sum("quantity").alias("quantity"),
+            F.sum("returned_quantity").alias("returned_quantity"),
+        ).withColumn("match", F.lit(match))
+
+    return summary("line").unionByName(summary("order"))
+
+
+@query("J08_ranked_self_join", "year:i best_month:i worst_month:i best_to_worst:d", """
+WITH m AS (SELECT year(month) AS year, month(month) AS m, revenue,
+                  rank() OVER (PARTITION BY year(month) ORDER BY revenue DESC) AS hi,
+                  rank() OVER (PARTITION BY year(month) ORDER BY revenue) AS lo FROM x_monthly)
+SELECT a.year, a.m AS best_month, b.m AS worst_month, a.revenue / b.revenue AS best_to_worst
+FROM m a JOIN m b ON a.year = b.year WHERE a.hi = 1 AND b.lo = 1""")
+def _(shop):
+    months = C.monthly(shop).select(F.year("month").alias("year"), F.month("month").alias("m"), "revenue")
+    ranked = T.rank_in_period(months, "revenue", ["year"])
+    best = ranked.where("rank_high = 1").select("year", F.col("m").alias("best_month"), F.col("revenue").alias("a"))
+    worst = ranked.where("rank_low = 1").select("year", F.col("m").alias("worst_month"), F.col("revenue").alias("b"))
+    return best.join(worst, "year").withColumn("best_to_worst", F.col("a") / F.col("b"))
+
+
+@query("J09_two_aggregates", "size:i sold_lines:i returned_lines:i return_rate:d", """
+SELECT s.size, sold_lines, coalesce(returned_lines, 0) AS returned_lines, 1.0 * coalesce(returned_lines, 0) / sold_lines AS return_rate
+FROM (SELECT size, count(*) AS sold_lines FROM x_items JOIN x_products USING (product_id) GROUP BY 1) s
+LEFT JOIN (SELECT size, count(*) AS returned_lines FROM x_returns JOIN x_products USING (product_id) GROUP BY 1) r ON r.size = s.size""")
+def _(shop):
+    def by_size(df, name):
+        counts = df.groupBy("product_id").agg(F.count("*").alias(name))
+        sized = counts.join(shop.products.select("product_id", "size"), "product_id")
+        return sized.groupBy("size").agg(F.sum(name).alias(name))
+
+    joined = by_size(shop.items, "sold_lines").join(by_size(shop.returns, "returned_lines"), "size", "left")
+    return joined.fillna(0, ["returned_lines"]).withColumn(
+        "return_rate", S.ratio(F.col("returned_lines"), F.col("sold_lines"))
+    )
+
+
+@query("J10_interval_join", "date:t active_promos:i revenue:d", """
+SELECT s.date, count(p.promo_id) AS active_promos, any_value(s.revenue) AS revenue
+FROM x_sales s LEFT JOIN x_promotions p ON s.date BETWEEN p.start_date AND p.end_date GROUP BY 1""")
+def _(shop):
+    active = J.expand_intervals(shop.promotions, "start_date", "end_date").groupBy("date").agg(
+        F.count("*").alias("active_promos")
+    )
+    return shop.sales.select("date", "revenue").join(active, "date", "left").fillna(0, ["active_promos"])
+
+
+@query("J11_month_to_day", "date:t revenue:d mean_stock:d", """
+SELECT s.date, revenue, mean_stock FROM x_sales s
+LEFT JOIN (SELECT month, avg(stock_on_hand) AS mean_stock FROM x_inventory GROUP BY 1) m ON m.month = date_trunc('month', s.date)""")
+def _(shop):
+    months = shop.inventory.groupBy("month").agg(F.avg("stock_on_hand").alias("mean_stock"))
+    return J.month_to_day(shop.sales, months)
+
+
+@query("J12_lagged_month", "date:t revenue:d mean_stock:d", """
+SELECT s.date, revenue, mean_stock FROM x_sales s
+LEFT JOIN (SELECT month + INTERVAL 1 MONTH AS month, avg(stock_on_hand) AS mean_stock FROM x_inventory GROUP BY 1) m
+  ON m.month = date_trunc('month', s.date)""")
+def _(shop):
+    months = shop.inventory.groupBy("month").agg(F.avg("stock_on_hand").alias("mean_stock"))
+    return J.month_to_day(shop.sales, months, lag_months=1)
+
+
+@query("J13_near_days", "date:t revenue:d", """
+WITH h AS (SELECT date, revenue FROM x_sales WHERE revenue >= (SELECT quantile_cont(revenue, 0.97) FROM x_sales)),
+     r AS (SELECT return_date AS date FROM x_returns GROUP BY 1 HAVING count(*) >= 15)
+SELECT date, revenue FROM h WHERE EXISTS (SELECT 1 FROM r WHERE abs(r.date - h.date) <= 7)""")
+def _(shop):
+    cut = quantiles(shop.sales, "revenue", {"p": 0.97}).scalar()
+    high = shop.sales.withColumn("cut", cut).where(S.at_least(F.col("revenue"), F.col("cut")))
+    busy = shop.returns.groupBy(F.col("return_date").alias("date")).agg(F.count("*").alias("n"))
+    return J.near_days(high, busy.where("n >= 15"), 7)
+
+
+@query("J14_offset_lookup", "date:t revenue:d t1:d t3:d t7:d", """
+SELECT a.date, a.revenue, b.revenue AS t1, c.revenue AS t3, d.revenue AS t7 FROM x_sales a
+LEFT JOIN x_sales b ON b.date = a.date + 1 LEFT JOIN x_sales c ON c.date = a.date + 3
+LEFT JOIN x_sales d ON d.date = a.date + 7""")
+def _(shop):
+    found = J.at_offsets(shop.sales.select("date", "revenue"), "revenue", [1, 3, 7])
+    return found.withColumnsRenamed({f"revenue_t+{k}": f"t{k}" for k in (1, 3, 7)})
+
+
+@query("J15_semi_anti", "kind:s orders:i", """
+SELECT 'with_items' AS kind, count(*) AS orders FROM x_orders WHERE order_id IN (SELECT order_id FROM x_items)
+UNION ALL SELECT 'without_items', count(*) FROM x_orders WHERE order_id NOT IN (SELECT order_id FROM x_items)""")
+def _(shop):
+    keys = shop.items.select("order_id")
+    have = shop.orders.join(keys, "order_id", "left_semi").agg(F.count("*").alias("orders"))
+    lack = shop.orders.join(keys, "order_id", "left_anti").agg(F.count("*").alias("orders"))
+    return have.withColumn("kind", F.lit("with_items")).unionByName(
+        lack.withColumn("kind", F.lit("without_items"))
+    )
+
+
+@query("J16_attribute_map", "order_id:i last_category:s", """
+WITH r AS (SELECT order_id, category, row_number() OVER (PARTITION BY order_id ORDER BY ship_date DESC, product_id DESC) AS p FROM x_lines)
+SELECT order_id, category AS last_category FROM r WHERE p = 1""")
+def _(shop):
+    latest = A.last_row(shop.items, ["order_id"], ["ship_date", "product_id"], [])
+    return latest.join(shop.products.select("product_id", "category"), "product_id").select(
+        "order_id", F.col("category").alias("last_category")
+    )
+
+
+@query("J17_fill_geography", "region:s orders:i", """
+SELECT coalesce(region, 'Unknown') AS region, count(*) AS orders
+FROM (SELECT CASE WHEN order_id % 3 = 0 THEN NULL WHEN order_id % 3 = 1 THEN 999 ELSE order_id % 25 END AS oz, zip AS cz
+      FROM x_orders JOIN x_customers USING (customer_id)) o
+LEFT JOIN x_geography g ON g.zip = coalesce(oz, cz) GROUP BY 1""")
+def _(shop):
+    turn = F.col("order_id") % 3
+    homes = shop.customers.select("customer_id", F.col("zip").alias("customer_zip"))
+    order_zip = F.when(turn == 1, F.lit(999)).when(turn == 2, (F.col("order_id") % 25).cast("int"))
+    zips = shop.orders.join(homes, "customer_id").withColumn("order_zip", order_zip)
+    filled = J.fill_from(zips, shop.geography, ["order_zip", "customer_zip"], ["region", "city"], "zip")
+    return filled.groupBy("region").agg(F.count("*").alias("orders"))
+
+
+@query("J18_daily_fan_in", "date:t sales_revenue:d returns_n:i reviews_n:i ships_n:i", """
+SELECT s.date, s.revenue AS sales_revenue, r.n AS returns_n, v.n AS reviews_n, p.n AS ships_n FROM x_sales s
+LEFT JOIN (SELECT return_date AS date, count(*) AS n FROM x_returns GROUP BY 1) r ON r.date = s.date
+LEFT JOIN (SELECT review_date AS date, count(*) AS n FROM x_reviews GROUP BY 1) v ON v.date = s.date
+LEFT JOIN (SELECT ship_date AS date, count(*) AS n FROM x_shipments GROUP BY 1) p ON p.date = s.date""")
+def _(shop):
+    count = lambda df, d: df.groupBy(F.col(d).alias("date")).agg(F.count("*").alias("n"))
+    wide = J.align_series(
+        {
+            "sales": shop.sales.select("date", "revenue"),
+            "returns": count(shop.returns, "return_date"),
+            "reviews": count(shop.reviews, "review_date"),
+            "ships": count(shop.shipments, "ship_date"),
+        }
+    )
+    return wide.where("sales_revenue IS NOT NULL")
+
+
+@query("J19_parameter_grid", "scale:d days:i total:d", """
+SELECT scale, count(*) AS days, sum(revenue * scale) AS total
+FROM x_sales, (VALUES (0.9::DOUBLE), (1.0::DOUBLE), (1.1::DOUBLE)) g(scale) GROUP BY 1""")
+def _(shop):
+    grid = J.with_grid(shop.sales, [{"scale": s} for s in (0.9, 1.0, 1.1)])
+    return grid.groupBy("scale").agg(
+        F.count("*").alias("days"), F.sum(F.col("revenue") * F.col("scale")).alias("total")
+    )

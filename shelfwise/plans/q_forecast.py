@@ -15,7 +15,7 @@ from shelfwise.plans.q_assortment import TRADEOFF, tradeoff
 from shelfwise.plans.q_series import roll_sql
 from shelfwise.plans.registry import query, view
 from shelfwise.sources import catalog, sinks
-from shelfwise.sources.session import scratch_folder
+from shelfwise.sources.session import checkpointed, scratch_folder
 
 FOLDS = [
     ("A", "1997-12-31", "1998-01-01", "1999-06-30"),
@@ -27,7 +27,8 @@ CUT = "2000-12-31"  # last day of training for the single-split queries
 
 
 def history(shop):
-    return M.load_history(shop.sales)
+    """Daily history, stored once: one row per calendar day that many steps read."""
+    return checkpointed(M.load_history(shop.sales))
 
 
 def train(shop):
@@ -51,7 +52,7 @@ view("x_future", f"SELECT * FROM x_history WHERE date > DATE '{CUT}'")
 
 @query("F01_load_history", "date:t revenue:d cogs:d orders:i aov:e cogs_ratio:e", "SELECT * FROM x_history")
 def _(shop):
-    return history(shop)
+    return M.load_history(shop.sales)
 
 
 view("x_growth", """
@@ -194,7 +195,8 @@ SELECT *, (pred_direct + pred_component) / 2 AS pred_current, (pred_direct + pre
 
 
 def preds(shop):
-    return B.fold_predictions(history(shop), FOLDS)
+    """Fold predictions, stored once: every grid point reads them."""
+    return checkpointed(B.fold_predictions(history(shop), FOLDS))
 
 
 @query("F11_seasonal_naive", "fold:s date:t revenue_naive:d", "SELECT fold, date, v AS revenue_naive FROM x_naive")
@@ -307,7 +309,9 @@ SELECT fold, "window", recent / first_mean AS multiplier FROM r JOIN f USING (fo
 @query("F17_recent_level", f"fold:s window:i multiplier:d {METRICS}", f"""
 SELECT fold, "window", multiplier, {metric_sql("actual_revenue", "(pred_current * multiplier)")} FROM x_preds JOIN x_levels USING (fold) GROUP BY 1, 2, 3""")
 def _(shop):
-    return B.recent_level(preds(shop), history(shop), FOLDS, [14, 30, 90])
+    rows = history(shop)
+    table = checkpointed(B.fold_predictions(rows, FOLDS))
+    return B.recent_level(table, rows, FOLDS, [14, 30, 90])
 
 
 @query("F18_growth_multiplier", f"fold:s growth:d {METRICS}", f"""
@@ -458,8 +462,8 @@ def _(shop):
 
 @query("V01_quadrant_metrics", "promo_type:s daily_revenue:d margin_pct:d performance_index:d zone:s", f"""
 WITH t AS ({TRADEOFF}), m AS (SELECT quantile_cont(daily_revenue, 0.5) AS a, quantile_cont(margin_pct, 0.5) AS b FROM t)
-SELECT promo_type, daily_revenue, margin_pct, performance_index, CASE WHEN daily_revenue >= a THEN 'high' ELSE 'low' END || '_revenue_' ||
-       CASE WHEN margin_pct >= b THEN 'high' ELSE 'low' END || '_margin' AS zone FROM t, m""")
+SELECT promo_type, daily_revenue, margin_pct, performance_index, CASE WHEN round(daily_revenue - a, 4) >= 0 THEN 'high' ELSE 'low' END || '_revenue_' ||
+       CASE WHEN round(margin_pct - b, 6) >= 0 THEN 'high' ELSE 'low' END || '_margin' AS zone FROM t, m""")
 def _(shop):
     table = quadrants(tradeoff(shop), "daily_revenue", "margin_pct", "revenue", "margin")
     return table.withColumnRenamed("quadrant", "zone")

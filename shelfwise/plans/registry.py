@@ -6,22 +6,21 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.sources.star import Shop
 
 Build = Callable[[Shop], DataFrame]
 
-# i integer, d four decimals, e six decimals, t date, s text, b flag
+# i integer, d four decimals (two from 1000 up), e six decimals, t date, s text, b flag
 SPARK_TYPES = {"i": "bigint", "d": "double", "e": "double", "t": "date", "s": "string", "b": "boolean"}
 SQL_TYPES = {"i": "BIGINT", "d": "DOUBLE", "e": "DOUBLE", "t": "DATE", "s": "VARCHAR", "b": "BOOLEAN"}
-
-DECIMALS = {"d": 4, "e": 6}
+LARGE = 1000
 # Means of money fall exactly half-way between two roundings, where the order of a
 # float sum decides. Moving every value by a fifth of the last place avoids that
 # and leaves values with few enough decimals as they are.
-NUDGE = {"d": 0.00001827, "e": 0.0000001827}
+NUDGE = 0.1827
 
 
 @dataclass(frozen=True)
@@ -87,15 +86,21 @@ def _with(sql: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
 
 
-def _spark_column(name: str, kind: str):
+def _spark_column(name: str, kind: str) -> Column:
     value = F.col(name).cast(SPARK_TYPES[kind])
-    if kind in DECIMALS:
-        value = F.round(value + NUDGE[kind], DECIMALS[kind])
+    rounded = lambda n: F.round(value + NUDGE / 10**n, n)
+    if kind == "d":
+        value = F.when(F.abs(value) >= LARGE, rounded(2)).otherwise(rounded(4))
+    elif kind == "e":
+        value = rounded(6)
     return value.alias(name)
 
 
 def _sql_column(name: str, kind: str) -> str:
     value = f'CAST("{name}" AS {SQL_TYPES[kind]})'
-    if kind in DECIMALS:
-        value = f"round({value} + {NUDGE[kind]:.10f}, {DECIMALS[kind]}) + 0.0"
+    rounded = lambda n: f"round({value} + {NUDGE / 10**n:.12f}, {n}) + 0.0"
+    if kind == "d":
+        value = f"CASE WHEN abs({value}) >= {LARGE} THEN {rounded(2)} ELSE {rounded(4)} END"
+    elif kind == "e":
+        value = rounded(6)
     return f'{value} AS "{name}"'

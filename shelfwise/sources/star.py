@@ -109,11 +109,26 @@ class Shop:
 
     @cached_property
     def sales(self) -> DataFrame:
-        """Daily revenue, cost of goods and orders."""
-        return self.lines.groupBy(F.col("order_date").alias("date")).agg(
+        """Daily revenue, cost of goods and orders.
+
+        Lines are totalled per order first: the join then moves one row per order, and
+        orders can be counted without a distinct count.
+        """
+        cost = F.col("quantity") * F.col("cogs")
+        totals = (
+            self.items.join(self.products.select("product_id", "cogs"), "product_id")
+            .groupBy("order_id")
+            .agg(
+                F.sum("revenue").alias("revenue"),
+                F.sum(cost).alias("cogs"),
+                F.sum("quantity").alias("quantity"),
+            )
+        )
+        dated = totals.join(self.orders.select("order_id", "order_date"), "order_id")
+        return dated.groupBy(F.col("order_date").alias("date")).agg(
             F.sum("revenue").alias("revenue"),
-            F.sum("cost").alias("cogs"),
-            F.count_distinct("order_id").alias("orders"),
+            F.sum("cogs").alias("cogs"),
+            F.count("*").alias("orders"),
             F.sum("quantity").alias("quantity"),
         )
 
