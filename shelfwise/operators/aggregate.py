@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,12 +130,16 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence
     return row.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Correlation of complete pairs, null without spread on either side."""
+def safe_corr(x: Column, y: Column, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Correlation of complete pairs, null without spread on either side.
+
+    Built from the covariance because the built-in coefficient divides by zero under
+    ANSI rules. ``over`` turns the aggregates into window aggregates.
+    """
     both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    spread = (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(spread, F.corr(a, b))
+    a, b = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    spread = over(F.stddev_pop(a)) * over(F.stddev_pop(b))
+    return over(F.covar_pop(a, b)) / F.nullif(spread, F.lit(0.0))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

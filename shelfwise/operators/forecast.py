@@ -328,11 +328,15 @@ def seasonal_naive(history: DataFrame, dates: DataFrame, value: str = "revenue",
     state, done = known, None
     for block in range(-(-horizon // 364)):
         part = todo.where(F.ceil(F.col("_step") / 364.0) == block + 1)
-        for k in (364, 365, 366):
-            moved = state.select(*keys, F.date_add("date", k).alias("date"), F.col("v").alias(f"_v{k}"))
-            part = part.join(moved, [*keys, "date"], "left")
+        reach = F.explode(F.array(*[F.date_add("date", k) for k in (364, 365, 366)]))
+        year_ago = (
+            state.select(*keys, reach.alias("date"), "v")
+            .groupBy(*keys, "date")
+            .agg(F.avg("v").alias("_year"))
+        )
+        part = part.join(year_ago, [*keys, "date"], "left")
         part = part.withColumn("_m", F.month("date")).join(months, [*keys, "_m"], "left")
-        naive = F.coalesce(mean_of(*[F.col(f"_v{k}") for k in (364, 365, 366)]), "_month", "_tail")
+        naive = F.coalesce("_year", "_month", "_tail")
         found = part.select(*keys, "date", F.greatest(naive, F.lit(0.0)).alias("v"))
         state = state.unionByName(found)
         done = found if done is None else done.unionByName(found)

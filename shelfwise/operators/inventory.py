@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import quantiles
 from shelfwise.functions.scalars import at_least, at_most, month_start, ratio
-from shelfwise.operators.aggregate import correlations
+from shelfwise.operators.aggregate import correlations, safe_corr
 from shelfwise.operators.joins import month_to_day
 from shelfwise.operators.timeseries import by_date, rolled
 
@@ -229,7 +229,7 @@ def leading_summary(indicator: DataFrame, risk: float = 1000.0) -> DataFrame:
         F.count("*").alias("periods"),
         F.min("month").alias("first_month"),
         F.max("month").alias("last_month"),
-        F.corr("days_of_supply", "next_revenue").alias("correlation"),
+        safe_corr(F.col("days_of_supply"), F.col("next_revenue")).alias("correlation"),
         F.count_if(zone).alias("risk_months"),
         F.avg("next_revenue").alias("mean_next_revenue"),
         F.avg(F.when(zone, F.col("next_revenue"))).alias("mean_next_revenue_risk"),

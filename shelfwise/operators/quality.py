@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.ordered import quantiles
 from shelfwise.functions.scalars import month_start, normalize_key, parse_number, ratio
+from shelfwise.operators.aggregate import safe_corr
 from shelfwise.operators.joins import with_origin
 
 
@@ -473,7 +474,7 @@ def reconcile_series(left: DataFrame, right: DataFrame, value: str, key: str = "
     difference = F.col("a") - F.col("b")
     return joined.agg(
         F.count("*").alias("overlapping"),
-        F.corr("a", "b").alias("correlation"),
+        safe_corr(F.col("a"), F.col("b")).alias("correlation"),
         F.sum(difference).alias("total_difference"),
         F.avg(F.abs(difference)).alias("mean_absolute_difference"),
     )

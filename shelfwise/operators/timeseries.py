@@ -156,13 +156,10 @@ def rolling_correlation(df: DataFrame, x: str, y: str, window: int, min_periods:
     """Correlation of ``x`` with ``y`` ``lag`` days earlier over a trailing window."""
     moved = df.withColumn("_y", F.lag(y, lag).over(by_date(series)) if lag else F.col(y))
     frame = by_date(series).rowsBetween(-window + 1, 0)
-    both = F.col(x).isNotNull() & F.col("_y").isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col("_y"))
-    known = F.count(a).over(frame) >= min_periods
-    spread = (F.stddev_pop(a).over(frame) > 0) & (F.stddev_pop(b).over(frame) > 0)
-    return moved.withColumn(
-        "rolling_corr", F.when(known & spread, F.corr(a, b).over(frame))
-    ).drop("_y")
+    both = F.when(F.col(x).isNotNull() & F.col("_y").isNotNull(), 1)
+    known = F.count(both).over(frame) >= min_periods
+    value = safe_corr(F.col(x), F.col("_y"), lambda c: c.over(frame))
+    return moved.withColumn("rolling_corr", F.when(known, value)).drop("_y")
 
 
 def volatility_regimes(df: DataFrame, column: str, window: int = 30, min_periods: int = 15) -> DataFrame:

@@ -7,6 +7,7 @@ from shelfwise.operators import concentration as K
 from shelfwise.operators import customers as U
 from shelfwise.operators import promotions as R
 from shelfwise.operators import quality as Q
+from shelfwise.operators.aggregate import safe_corr
 from shelfwise.plans import common as C
 from shelfwise.plans.q_series import roll_sql
 from shelfwise.plans.registry import query, view
@@ -488,7 +489,7 @@ def _(shop):
 @query("D57b_discount_quantity_corr", "correlation:d", """
 SELECT corr(discount_rate, quantity) AS correlation FROM x_lines WHERE discount_rate > 0""")
 def _(shop):
-    return shop.items.where("discount_rate > 0").agg(F.corr("discount_rate", "quantity").alias("correlation"))
+    return shop.items.where("discount_rate > 0").agg(safe_corr(F.col("discount_rate"), F.col("quantity")).alias("correlation"))
 
 
 TRADEOFF = """

@@ -364,7 +364,7 @@ SELECT payment_method, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4
        WHEN r < 0 THEN ' negative' ELSE ' zero' END AS label FROM c""")
 def _(shop):
     mixed = F.col("order_id") % 1000 + F.col("order_value") / 400
-    r = shop.orders.groupBy("payment_method").agg(F.corr("order_value", mixed).alias("r"))
+    r = shop.orders.groupBy("payment_method").agg(A.safe_corr(F.col("order_value"), mixed).alias("r"))
     return r.select("payment_method", S.correlation_label(F.col("r")).alias("label"))
 
 

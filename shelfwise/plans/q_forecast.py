@@ -140,7 +140,7 @@ def _(shop):
 def _(shop):
     rows = train(shop)
     growth = M.annual_growth(rows, since=1996)
-    everything = M.feature_matrix(rows, growth)
+    everything = checkpointed(M.feature_matrix(rows, growth))
     models = {
         name: M.fit_log_linear(everything.withColumn("target", F.col(name)), M.FEATURES[name])
         for name in M.SERIES
@@ -154,7 +154,7 @@ def _(shop):
 @query("F09_gbt_predictions", "date:t target:d predicted:d")
 def _(shop):
     rows = train(shop)
-    table = M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue")
+    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue"))
     model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
     return M.predict(model, table, M.FEATURES["revenue"])
 
@@ -162,7 +162,7 @@ def _(shop):
 @query("F10_feature_importance", "feature:s importance:d")
 def _(shop):
     rows = train(shop)
-    table = M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue")
+    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue"))
     model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
     return M.feature_importance(model, M.FEATURES["revenue"], shop.spark)
 

@@ -10,7 +10,7 @@ from shelfwise.operators import fulfilment as X
 from shelfwise.operators import quality as Q
 from shelfwise.operators import regions as G
 from shelfwise.operators import timeseries as T
-from shelfwise.operators.aggregate import correlations
+from shelfwise.operators.aggregate import correlations, safe_corr
 from shelfwise.plans import common as C
 from shelfwise.plans.q_series import roll_sql
 from shelfwise.plans.registry import query, view
@@ -476,8 +476,8 @@ def _(shop):
 SELECT corr(shipping_fee, order_value) AS fee_value, corr(fee_ratio, order_value) AS ratio_value FROM x_shipping""")
 def _(shop):
     return shipping(shop).agg(
-        F.corr("shipping_fee", "order_value").alias("fee_value"),
-        F.corr("fee_ratio", "order_value").alias("ratio_value"),
+        safe_corr(F.col("shipping_fee"), F.col("order_value")).alias("fee_value"),
+        safe_corr(F.col("fee_ratio"), F.col("order_value")).alias("ratio_value"),
     )
 
 
