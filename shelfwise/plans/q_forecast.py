@@ -529,10 +529,10 @@ def _(shop):
     return catalog.sql_over_files(shop.spark, text, orders=f"{shop.folder}/orders.parquet")
 
 
-@query("IO07_write_metrics", "month:t revenue:d", "SELECT month, round(revenue, 2) AS revenue FROM x_monthly")
+@query("IO07_write_metrics", "month:t revenue:d", "SELECT month, revenue FROM x_monthly")
 def _(shop):
     folder = scratch_folder(shop.spark)
-    sinks.write_metrics(C.monthly(shop).select("month", F.round("revenue", 2).alias("revenue")), folder)
+    sinks.write_metrics(C.monthly(shop).select("month", "revenue"), folder)
     return catalog.read_table(shop.spark, folder, "month DATE, revenue DOUBLE")
 
 
