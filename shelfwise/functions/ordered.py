@@ -76,9 +76,9 @@ def quantiles(
     """
     known = df.select(*keys, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
     if small_input(df):
-        return known.groupBy(*keys).agg(
-            *[F.percentile("_value", F.lit(p)).alias(n) for n, p in probs.items()]
-        )
+        marks = F.percentile("_value", F.array(*[F.lit(float(p)) for p in probs.values()]))
+        found = known.groupBy(*keys).agg(marks.alias("_marks"))  # one buffer for all marks
+        return found.select(*keys, *[F.col("_marks")[i].alias(n) for i, n in enumerate(probs)])
     counts = known.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
     upto = running(counts, {"_upto": F.col("_n")}, [F.col("_value")], keys)
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))

@@ -64,15 +64,15 @@ def return_rate(returned: DataFrame, keys: Sequence[str], least: int = 20) -> Da
         F.sum("refund").alias("refund"),
         F.sum("revenue").alias("revenue"),
     )
-    few = F.percentile("lines", F.lit(0.1)).over(Window.partitionBy())
-    return sums.withColumns(
+    few = quantiles(sums, "lines", {"few": 0.1}).scalar()
+    return sums.withColumn("_few", few).withColumns(
         {
             "return_rate": ratio(F.col("returned_quantity"), F.col("quantity")),
             "refund_ratio": ratio(F.col("refund"), F.col("revenue")),
             "net_revenue": F.col("revenue") - F.col("refund"),
-            "small_sample": F.col("lines") < F.greatest(F.lit(float(least)), few),
+            "small_sample": F.col("lines") < F.greatest(F.lit(float(least)), F.col("_few")),
         }
-    )
+    ).drop("_few")
 
 
 def net_revenue_daily(sales: DataFrame, returns: DataFrame) -> DataFrame:
@@ -193,8 +193,9 @@ def rating_by(reviews: DataFrame, keys: Sequence[str], least: int = 20) -> DataF
     The median reads a map of at most five star values per group.
     """
     stats = reviews.where(F.col("rating").between(1, 5)).groupBy(*keys).agg(*rating_columns())
-    few = F.percentile("reviews", F.lit(0.1)).over(Window.partitionBy())
-    return stats.withColumn("small_sample", F.col("reviews") < F.greatest(F.lit(float(least)), few))
+    few = quantiles(stats, "reviews", {"few": 0.1}).scalar()
+    small = F.col("reviews") < F.greatest(F.lit(float(least)), F.col("_few"))
+    return stats.withColumn("_few", few).withColumn("small_sample", small).drop("_few")
 
 
 def product_ratings(reviews: DataFrame) -> DataFrame:

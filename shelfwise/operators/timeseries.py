@@ -441,8 +441,9 @@ def growth_profile(monthly: DataFrame, series: str, value: str = "revenue", rece
     )
     start, end = F.col(f"first.{value}"), F.col(f"last.{value}")
     gap = F.greatest(F.lit(1.0), F.months_between(F.col("last.month"), F.col("first.month")))
-    whole = F.sum("total").over(Window.partitionBy())
-    return stats.where("first IS NOT NULL").select(
+    whole = F.col("_whole")
+    sold = monthly.agg(F.sum(value).alias("w")).scalar()
+    return stats.where("first IS NOT NULL").withColumn("_whole", sold).select(
         series,
         "total",
         "observed_months",
