@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.ordered import quantiles, running
-from shelfwise.functions.scalars import at_least, entropy, herfindahl, ratio
+from shelfwise.functions.scalars import at_least, herfindahl, ratio
 from shelfwise.operators.timeseries import by_date, densify, lags, rolled
 
 

@@ -24,6 +24,8 @@ WINDOWS = [7, 30, 90, 365]
 SERIES = ["revenue", "cogs", "orders", "aov", "cogs_ratio"]
 BOOSTED = ["revenue", "cogs", "orders", "aov"]
 GROWTH_LOW, GROWTH_HIGH = 0.95, 1.25
+CARRY = 1.0
+BOOST = {"revenue": 1.0, "cogs": 1.0, "orders": 1.25, "aov": 1.35}
 FEATURES = {
     "revenue": [
         "revenue_seasonal_base", "aov_lag_1", "revenue_lag_1", "revenue_lag_7", "orders_lag_90",
@@ -71,15 +73,15 @@ def annual_growth(
     history: DataFrame,
     columns: Sequence[str] = SERIES,
     since: int = 2013,
-    carry: float = 0.0,
-    boost: Mapping[str, float] | None = None,
+    carry: float = CARRY,
+    boost: Mapping[str, float] = BOOST,
 ) -> DataFrame:
     """One row of yearly growth factors per series.
 
-    A positive last change is carried forward in part; otherwise the geometric mean
-    of the changes since a year is used. Both are limited.
+    A positive last change is carried forward, times the boost of its series; with
+    ``carry=0``, after a fall and for ratios the geometric mean of the changes since a
+    year is used. Both are limited.
     """
-    boost = boost or {}
     years = history.groupBy(F.year("date").alias("year")).agg(
         *[F.nullif(F.avg(c), F.lit(0.0)).alias(c) for c in columns]
     )

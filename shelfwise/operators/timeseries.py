@@ -19,7 +19,6 @@ from shelfwise.functions.scalars import (
     at_most,
     change,
     correlation_label,
-    month_start,
     ratio,
 )
 from shelfwise.operators.aggregate import safe_corr

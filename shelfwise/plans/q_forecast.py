@@ -67,7 +67,7 @@ THREE = ["revenue", "cogs", "orders"]
 
 @query("F02_annual_growth", "revenue:d cogs:d orders:d", "SELECT * FROM x_growth")
 def _(shop):
-    return M.annual_growth(train(shop), THREE, since=1996)
+    return M.annual_growth(train(shop), THREE, since=1996, carry=0.0)
 
 
 @query("F02b_growth_carried", "revenue:d cogs:d orders:d", """
@@ -104,7 +104,7 @@ FROM x_future f LEFT JOIN x_profile p ON p.month = month(f.date) AND p.day = day
 
 @query("F04_seasonal_baseline", "date:t revenue_seasonal_base:d cogs_seasonal_base:d orders_seasonal_base:d", "SELECT * FROM x_baseline")
 def _(shop):
-    growth = M.annual_growth(train(shop), THREE, since=1996)
+    growth = M.annual_growth(train(shop), THREE, since=1996, carry=0.0)
     return M.seasonal_baseline(train(shop), future(shop).select("date"), growth, THREE)
 
 
@@ -114,7 +114,7 @@ FROM x_baseline b LEFT JOIN (SELECT month(date) AS k, avg(revenue) AS v FROM x_t
 LEFT JOIN (SELECT quarter(date) AS k, avg(revenue) AS v FROM x_train GROUP BY 1) q ON q.k = quarter(b.date)
 LEFT JOIN (SELECT isodow(date) AS k, avg(orders) AS v FROM x_train GROUP BY 1) w ON w.k = isodow(b.date)""")
 def _(shop):
-    growth = M.annual_growth(train(shop), THREE, since=1996)
+    growth = M.annual_growth(train(shop), THREE, since=1996, carry=0.0)
     return M.reference_features(train(shop), future(shop).select("date"), growth, THREE)
 
 
@@ -133,13 +133,13 @@ SELECT date, revenue AS target, lag(revenue, 1) OVER (ORDER BY date) AS revenue_
        lag(orders, 7) OVER (ORDER BY date) AS orders_lag_7, {roll_sql("orders", "std", 7, 2, 1)} AS orders_roll_std_7 FROM x_train""")
 def _(shop):
     rows = train(shop)
-    return M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue")
+    return M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue")
 
 
 @query("F08_recursive_forecast", "date:t revenue:d cogs:d")
 def _(shop):
     rows = train(shop)
-    growth = M.annual_growth(rows, since=1996)
+    growth = M.annual_growth(rows, since=1996, carry=0.0)
     everything = checkpointed(M.feature_matrix(rows, growth))
     models = {
         name: M.fit_log_linear(everything.withColumn("target", F.col(name)), M.FEATURES[name])
@@ -154,7 +154,7 @@ def _(shop):
 @query("F09_gbt_predictions", "date:t target:d predicted:d")
 def _(shop):
     rows = train(shop)
-    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue"))
+    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue"))
     model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
     return M.predict(model, table, M.FEATURES["revenue"])
 
@@ -162,7 +162,7 @@ def _(shop):
 @query("F10_feature_importance", "feature:s importance:d")
 def _(shop):
     rows = train(shop)
-    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue"))
+    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue"))
     model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
     return M.feature_importance(model, M.FEATURES["revenue"], shop.spark)
 
@@ -222,7 +222,7 @@ METRICS = "n:i mae:d rmse:d r2:d mape:d smape:d bias:d mean_ratio:d"
 SELECT 'revenue' AS target, {metric_sql("revenue", "revenue_seasonal_base")} FROM x_baseline JOIN x_future USING (date)
 UNION ALL SELECT 'cogs', {metric_sql("cogs", "cogs_seasonal_base")} FROM x_baseline JOIN x_future USING (date)""")
 def _(shop):
-    growth = M.annual_growth(train(shop), THREE, since=1996)
+    growth = M.annual_growth(train(shop), THREE, since=1996, carry=0.0)
     base = M.seasonal_baseline(train(shop), future(shop), growth, THREE)
     return Q.union_all(
         [
@@ -539,7 +539,7 @@ def _(shop):
 @query("IO08_write_forecast", "rows:i first_date:t last_date:t missing:i negative:i extra_dates:i absent_dates:i", """
 SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, 0 AS missing, 0 AS negative, 0 AS extra_dates, 0 AS absent_dates FROM x_future""")
 def _(shop):
-    growth = M.annual_growth(train(shop), ["revenue", "cogs"], since=1996)
+    growth = M.annual_growth(train(shop), ["revenue", "cogs"], since=1996, carry=0.0)
     base = M.seasonal_baseline(train(shop), future(shop).select("date"), growth, ["revenue", "cogs"])
     forecast = base.select(
         "date", F.col("revenue_seasonal_base").alias("revenue"), F.col("cogs_seasonal_base").alias("cogs")
