@@ -72,9 +72,6 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space) and, per row, where its words begin."""
     n = len(raw)
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_CODES[lower][raw] * up[:n], out=total[1:])
     space = _SPACE[raw]
     edge = np.ones(n + 1, dtype=bool)  # a word cannot go on over this position
     edge[1:n] = space[:-1]
@@ -86,8 +83,15 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     stops[1:] = ~space
     stops &= edge
     ends = np.flatnonzero(stops)
-    hashes = mix((total[ends] - total[begins]) * down[begins])
-    return hashes, np.searchsorted(begins, offsets)
+    return run_hashes(raw, begins, ends, lower), np.searchsorted(begins, offsets)
+
+
+def run_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the byte runs from ``begins`` to ``ends``."""
+    up, down = _power_tables(len(raw))
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_CODES[lower][raw] * up[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[begins]) * down[begins])
 
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
