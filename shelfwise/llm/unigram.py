@@ -25,7 +25,7 @@ UNKNOWN = 10.0
 #: Words kept with their counts by a Python worker, and the longest of them.
 MEMO_WORDS, MEMO_CHARS = 1 << 20, 48
 #: White space between words (Unicode's White_Space).
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
