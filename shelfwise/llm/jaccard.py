@@ -5,9 +5,10 @@ The overlap of two documents is at most the sum of the coordinate minima of thei
 and an R-tree node at most that sum with the node's largest coordinates.
 
 In running text all points lie close together, so one tree over everything would visit every leaf. The points
-are therefore dealt first by rare coordinates: two sets with a similarity of 3/4 share a shingle among the
-first ``n - ceil(3n/4) + 1`` of each in any common order. Shingles found in many documents come last in that
-order, the others follow their hash. Each shared shingle is a cell; an R-tree is built inside a cell.
+are therefore dealt first by rare coordinates: two sets with a similarity of 3/4 share at least k shingles among the
+first ``n - ceil(3n/4) + k`` of each in any common order. Shingles found in many documents come last in that
+order, the others follow their hash. Each shared shingle is a cell. A set that shares fewer cells than the k of its
+smallest possible partner has no partner and leaves all its cells; an R-tree is built inside each cell that stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,9 @@ from shelfwise.llm.components import components
 from shelfwise.llm.storage import stored
 
 #: Groups of the count vectors.
-GROUPS = 128
+GROUPS = 512
+#: Shingles of a prefix that linked sets share beyond the first, per shingle of the set.
+SPARE = 0.08
 #: Entries of an R-tree node.
 FANOUT = 16
 #: Members of a cell that are compared as one block; larger cells are cut into pairs of blocks.
@@ -87,24 +89,24 @@ def _points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys.append(key)
                 sizes.append(n)
                 counts = np.bincount((values >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                vectors.append(counts.astype(np.uint32))
+                vectors.append(counts.astype(np.uint16))
                 prefix = values[:0]
                 if n and key not in seen:
                     seen.add(key)
-                    keep = n + (-n * WHOLE // PART) + 1
+                    keep = n + (-n * WHOLE // PART) + 1 + int(n * SPARE)
                     prefix = values[:keep]
                     if len(last.value):
                         at = np.minimum(np.searchsorted(last.value, values), len(last.value) - 1)
                         often = last.value[at] == values
                         prefix = np.concatenate([values[~often], values[often]])[:keep]
                 prefixes.append(_signed(prefix))
-            flat = np.concatenate(vectors) if vectors else np.zeros(0, dtype=np.uint32)
+            flat = np.concatenate(vectors) if vectors else np.zeros(0, dtype=np.uint16)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(keys, type=pa.int64()),
                     pa.array(sizes, type=pa.int64()),
-                    textnp.binary(flat, np.arange(len(keys) + 1) * (4 * GROUPS)),
+                    textnp.binary(flat, np.arange(len(keys) + 1) * (2 * GROUPS)),
                     textnp.lists(prefixes, pa.int64()),
                 ],
                 names=["doc_id", "key", "n", "point", "prefix"],
@@ -116,69 +118,92 @@ def _points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _cells(points: DataFrame) -> DataFrame:
-    """What the cells hold: rows (cell, a, b).
+    """Members (cell, key, tag, times) of the cells with two sets or more, and of those that a task boundary cuts.
 
-    With b: two sets that follow each other in a cell. Without: a set of a cell with three or more, or of one
-    that a task boundary cuts. Equal cells get one name, made from their members."""
+    The first shingle that two linked sets share lies among the first ``n - ceil(6n/7) + 1`` of the smaller (tag 2) and
+    the first ``n - ceil(3n/4) + 1`` of the larger (tag 1 or 2). Equal cells get one name, made from their members, and
+    the larger tags; ``times`` counts them."""
+    early = lambda part, whole: F.col("pos") <= F.col("n") - F.ceil(F.col("n") * part / whole)
     rows = (
         points.where("size(prefix) > 0")
-        .select(F.explode("prefix").alias("cell"), "key")
+        .select(F.posexplode("prefix").alias("pos", "cell"), "key", "n")
+        .select("cell", "key", F.when(early(2 * WHOLE, PART + WHOLE), 2).when(early(WHOLE, PART), 1).otherwise(0).cast("long").alias("tag"))
         .repartitionByRange("cell", "key")
         .sortWithinPartitions("cell", "key")
     )
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, keys, first = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), True
-
-        def out(cells: np.ndarray, keys: np.ndarray, cut: bool) -> pa.RecordBatch:
-            """Whole cells; ``cut``: the other side of a boundary may hold more of them."""
-            new = np.ones(len(cells), dtype=bool)
-            new[1:] = (cells[1:] != cells[:-1]) | (keys[1:] != keys[:-1])
-            cells, keys = cells[new], keys[new]
-            begin = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, dtype=int)
-            count = np.diff(np.append(begin, len(cells)))
-            name = cells.view(np.uint64)
-            if len(begin) and not cut:
-                mixed = textnp.mix(keys.view(np.uint64) + np.uint64(0x51ED270B27B4C5A3))
-                name = np.repeat(textnp.mix(np.add.reduceat(mixed, begin) + count.astype(np.uint64)), count)
-            many = np.repeat(count >= (1 if cut else 3), count)
-            pairs = np.flatnonzero(cells[1:] == cells[:-1])
-            pair = np.unique(np.stack([keys[pairs], keys[pairs + 1]]), axis=1) if len(pairs) else np.zeros((2, 0), dtype=np.int64)
-            member = np.unique(np.stack([name[many].view(np.int64), keys[many]]), axis=1) if many.any() else np.zeros((2, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.zeros(pair.shape[1], dtype=np.int64), member[0]])),
-                    pa.array(np.concatenate([pair[0], member[1]])),
-                    pa.concat_arrays([pa.array(pair[1]), pa.nulls(member.shape[1], pa.int64())]),
-                ],
-                names=["cell", "a", "b"],
-            )
+    def members(rows: np.ndarray, cut: bool) -> pa.RecordBatch:
+        """Of sorted rows (cell, key, tag); ``cut``: more rows of these cells may lie elsewhere."""
+        name, keys, tags = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])]
+        begin = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        count = np.diff(np.append(begin, len(name)))
+        if not cut:
+            mixed = textnp.mix(keys.view(np.uint64) + np.uint64(0x51ED270B27B4C5A3))
+            name = np.repeat(_signed(textnp.mix(np.add.reduceat(mixed, begin) + count.astype(np.uint64))), count)
+            many = np.repeat(count > 1, count)
+            name, keys, tags = name[many], keys[many], tags[many]
+        order = np.lexsort((-tags, keys, name))
+        name, keys, tags = name[order], keys[order], tags[order]
+        first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (keys[1:] != keys[:-1])])[: len(name)])
+        times = np.diff(np.append(first, len(name)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (name[first], keys[first], tags[first], times)], names=["cell", "key", "tag", "times"]
+        )
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, first = np.zeros((3, 0), dtype=np.int64), True
         for batch in batches:
-            cells = np.concatenate([cells, batch.column(0).to_numpy()])
-            keys = np.concatenate([keys, batch.column(1).to_numpy()])
-            if not len(cells):
-                continue
-            if first:  # the first cell may go on from the task before
-                whole = int(np.searchsorted(cells, cells[0], side="right"))
-                if whole < len(cells):
-                    yield out(cells[:whole], keys[:whole], True)
-                    cells, keys, first = cells[whole:], keys[whole:], False
-                elif whole > 8 * BLOCK:
-                    yield out(cells[:-1], keys[:-1], True)
-                    cells, keys = cells[-1:], keys[-1:]
-            if not first:
-                whole = int(np.searchsorted(cells, cells[-1], side="left"))
+            rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if first and rows.shape[1]:  # the first cell may go on from the task before
+                whole = int(np.searchsorted(rows[0], rows[0, 0], side="right"))
+                if whole < rows.shape[1] or whole > 8 * BLOCK:
+                    yield members(rows[:, :whole], True)
+                    first, rows = whole == rows.shape[1], rows[:, whole:]
+            if not first and rows.shape[1]:
+                whole = int(np.searchsorted(rows[0], rows[0, -1], side="left"))
                 if whole:
-                    yield out(cells[:whole], keys[:whole], False)
-                    cells, keys = cells[whole:], keys[whole:]
-                if len(cells) > 8 * BLOCK:  # one very large cell: in pieces, which meet by its name
-                    yield out(cells[:-1], keys[:-1], True)
-                    cells, keys, first = cells[-1:], keys[-1:], True
-        if len(cells):
-            yield out(cells, keys, True)
+                    yield members(rows[:, :whole], False)
+                elif rows.shape[1] > 8 * BLOCK:  # a very large cell: in pieces, which meet by its name
+                    yield members(rows, True)
+                    whole, first = rows.shape[1], True
+                rows = rows[:, whole:]
+        if rows.shape[1]:
+            yield members(rows, True)
+
+    found = rows.mapInArrow(scan, "cell long, key long, tag long, times long")
+    return found.groupBy("cell", "key").agg(F.max("tag").alias("tag"), F.sum("times").alias("times"))
+
+
+def _possible(members: DataFrame, points: DataFrame) -> DataFrame:
+    """The members that share as many cells as any partner would ask for, in the cells where a link must show."""
+    least = F.lit(1) + F.floor(F.ceil(F.col("n") * WHOLE / PART) * SPARE)
+    full = members
+    for last in (False, True):
+        enough = full.groupBy("key").agg(F.sum("times").alias("shared")).join(points.select("key", "n"), "key")
+        full = full.join(enough.where(F.col("shared") >= least).select("key"), "key", "left_semi")
+        if last:
+            full = full.where("tag > 0")
+        cells = full.groupBy("cell").agg(F.count("*").alias("sets"), F.max("tag").alias("early"))
+        cells = cells.where("sets > 1" + " AND early = 2" * last).select("cell")
+        full = stored(full.join(cells, "cell", "left_semi"))
+    return full.select("cell", "key")
+
+
+def _neighbours(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that follow each other in a cell, as far as one task sees them."""
+    rows = members.repartitionByRange("cell", "key").sortWithinPartitions("cell", "key")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((2, 0), dtype=np.int64)
+        for batch in batches:
+            both = np.concatenate([last, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])], axis=1)
+            if both.shape[1]:
+                at = np.flatnonzero(both[0, 1:] == both[0, :-1])
+                pair = np.unique(np.stack([both[1, at], both[1, at + 1]]), axis=1)
+                last = both[:, -1:]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    return rows.mapInArrow(scan, "cell long, a long, b long")
+    return rows.mapInArrow(follow, "a long, b long").distinct()
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -194,14 +219,14 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in batches:
             one, other = (_vectors(batch.column(k)) for k in (4, 5))
             n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
-            keep = np.minimum(one, other).sum(axis=1) >= least_overlap(n_a, n_b)
+            keep = np.minimum(one, other).sum(axis=1, dtype=np.int64) >= least_overlap(n_a, n_b)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return sized.mapInArrow(check, "a long, b long")
 
 
 def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, GROUPS).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
 
 
 def _document_filter(ids: DataFrame) -> np.ndarray:
@@ -261,8 +286,7 @@ class Tree:
     """An R-tree packed over the points of one block; nodes keep largest coordinates, sizes and components."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        spread = points.var(axis=0) if len(points) else np.zeros(points.shape[1])
-        axis = int(np.argmax(spread)) if len(spread) else 0
+        axis = int(np.argmax(points.max(axis=0) - points.min(axis=0))) if len(points) > FANOUT else 0
         self.order = np.lexsort((points[:, axis], sizes, labels))
         self.levels = []
         top, low, high = points[self.order], sizes[self.order], sizes[self.order]
@@ -289,7 +313,7 @@ class Tree:
             fits &= ~((first == last)[None, :] & (first[None, :] == labels[active][:, None]))
             q, e = np.nonzero(fits)
             if len(q):
-                bound = np.minimum(points[active[q]], top[e]).sum(axis=1)
+                bound = np.minimum(points[active[q]], top[e]).sum(axis=1, dtype=np.int64)
                 ok = bound >= least_overlap(n[q, 0], least[q, e])
                 q, e = q[ok], e[ok]
             if level == 0:
@@ -332,24 +356,40 @@ def _tree_pairs(members: DataFrame, points: DataFrame, roots: DataFrame) -> Data
         )
     )
     placed = placed.withColumn("home", F.explode(homes)).select("cell", "home.i", "home.j", "key", "root", "is_major")
-    full = placed.join(points.select("key", "n", "point"), "key")
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        keys, roots, sizes = block["key"].to_numpy(), block["root"].to_numpy(), block["n"].to_numpy()
-        vectors = np.frombuffer(b"".join(block["point"]), dtype=np.uint32).reshape(-1, GROUPS).astype(np.int64)
-        if block["i"].iloc[0] < 0:
-            side = block["is_major"].to_numpy()
+    full = placed.join(points.select("key", "n", "point"), "key").select("cell", "i", "j", "key", "root", "is_major", "n", "point")
+    blocks = full.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def compare(rows: pa.RecordBatch | pa.Table, begin: int, end: int) -> np.ndarray:
+        i, keys, roots, side, sizes = (rows.column(c).to_numpy()[begin:end] for c in (1, 3, 4, 5, 6))
+        vectors = _vectors(rows.column(7).slice(begin, end - begin))
+        e_at = q_at = np.arange(end - begin)
+        if i[0] < 0:
             e_at, q_at = np.flatnonzero(side), np.flatnonzero(~side)
-        else:
-            e_at = q_at = np.arange(len(keys))
-        if not len(e_at) or not len(q_at):
-            return pd.DataFrame({"a": keys[:0], "b": keys[:0]})
         q, e = Tree(vectors[e_at], sizes[e_at], roots[e_at]).search(vectors[q_at], sizes[q_at], roots[q_at])
         one, other = keys[q_at[q]], keys[e_at[e]]
-        different = roots[q_at[q]] != roots[e_at[e]]
-        return pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})[different].drop_duplicates()
+        return np.stack([np.minimum(one, other), np.maximum(one, other)])[:, roots[q_at[q]] != roots[e_at[e]]]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([*(rest or []), batch]).combine_chunks()
+            ids = np.stack([rows.column(c).to_numpy() for c in (0, 1, 2)])
+            if not ids.shape[1]:
+                continue
+            begin = np.append(np.flatnonzero(np.concatenate([[True], (ids[:, 1:] != ids[:, :-1]).any(axis=0)])), ids.shape[1])
+            found = [compare(rows, a, b) for a, b in zip(begin[:-2], begin[1:-1])]
+            rest = rows.slice(int(begin[-2])).to_batches()
+            yield from answer(found)
+        if rest:
+            rows = pa.Table.from_batches(rest).combine_chunks()
+            yield from answer([compare(rows, 0, rows.num_rows)])
+
+    def answer(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if found:
+            pair = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    return full.groupBy("cell", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return blocks.mapInArrow(search, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -370,11 +410,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     table = stored(_points(docs, _frequent(known)))
     usable = table.where("doc_id IS NOT NULL AND n > 0")
     points = stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")))
-    cells = stored(_cells(usable))
-    nearby = _bounded(cells.where("b IS NOT NULL").select("a", "b").distinct(), points)
-    links = _verified(docs, points, nearby)
+    members = _possible(stored(_cells(usable)), points)
+    links = _verified(docs, points, _bounded(_neighbours(members), points))
     roots = stored(components(links))
-    members = cells.where("b IS NULL").select("cell", F.col("a").alias("key")).distinct()
     more = _tree_pairs(members, points, roots)
     links = links.unionByName(_verified(docs, points, more))
     roots = stored(components(links))
