@@ -1,24 +1,59 @@
-"""A pipeline over documents."""
+"""From raw documents to sharded training text.
+
+Every stage takes (session, documents, table folder) and returns documents with the same columns; the last adds
+slot and shard. Rows with null ids or texts go through every stage by its operator's rules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard
+from shelfwise.llm import decontaminate, jaccard, mixing, quality, sharding
+from shelfwise.llm.storage import stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the good labels rejects go."""
+    return quality.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy group stays."""
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the smallest id stays."""
     return jaccard.one_per_component(docs)
 
 
-STAGES = [("near copies", near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One epoch in which every source weighs the same; copies are rows, in shuffled order."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def place_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its slot and shard."""
+    return sharding.placed(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", place_shards),
+]
+
+#: SQL cannot state the first three stages; tests compare the pipeline with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each stage's rows stored for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = stored(docs)
     return docs

@@ -6,20 +6,94 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import jaccard
+from shelfwise.llm import (
+    decontaminate,
+    hnsw,
+    html_text,
+    jaccard,
+    mixing,
+    quality,
+    quotations,
+    secrets,
+    sharding,
+    unigram,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest neighbours of every fiftieth embedding."""
+    vectors = _table(spark, folder, "embeddings")
+    return hnsw.nearest(vectors, hnsw.every_fiftieth(vectors))
+
+
+def op2_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages without quotes, with what they reply to."""
+    return quotations.conversations(_table(spark, folder, "conversations"))
+
+
+def op3_html_text_density(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extracted(_table(spark, folder, "pages"))
+
+
+def op4_count_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents."""
+    return unigram.counted(_table(spark, folder, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scanned(_table(spark, folder, "documents"))
+
+
+def op6_poisson_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """One epoch of all documents in which every source weighs the same."""
+    return mixing.mixed(_table(spark, folder, "documents"))
+
+
+def op7_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents kept for their likeness to those labelled good."""
+    return quality.sampled(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op8_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in all documents."""
+    return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op9_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their shards."""
+    return sharding.placed(_table(spark, folder, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-copy components of all documents."""
     return jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    query.__name__: query
+    for query in (
+        op1_hnsw_neighbours,
+        op2_quotation_linking,
+        op3_html_text_density,
+        op4_count_viterbi,
+        op5_secret_scan,
+        op6_poisson_mixing,
+        op7_importance_resampling,
+        op8_qgram_decontamination,
+        op9_lookup_sharding,
+        op10_ngram_jaccard_join,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: What SQL can state; the others are tested against plain versions.
+ORACLES: dict[str, str] = {
+    "op2_quotation_linking": quotations.QUOTE_SQL,
+    "op6_poisson_mixing": mixing.MIX_SQL,
+    "op9_lookup_sharding": sharding.SHARD_SQL,
+}
