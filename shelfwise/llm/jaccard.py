@@ -81,7 +81,7 @@ def _points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in textnp.pieces(batches, 1):
             keys, sizes, vectors, prefixes = [], [], [], []
             for values in textnp.shingle_sets(batch.column(1)):
                 n = len(values)
@@ -250,7 +250,7 @@ def _sets(docs: DataFrame, points: DataFrame, needed: DataFrame) -> DataFrame:
     slotted = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"), "doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textnp.pieces(batches, 2):
             slot = batch.column(0).to_numpy()
             hit = (bits.value[slot >> 6] >> (slot & 63)) & 1 == 1
             part = batch.filter(pa.array(hit))
@@ -300,9 +300,9 @@ class Tree:
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, entry) of different components that may be linked."""
-        found_q, found_e = [], []
+    def search(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, entry) of different components that may be linked, with their similarity at most."""
+        found_q, found_e, found_s = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)], [np.zeros(0)]
         todo = [(len(self.levels) - 1, 0, len(self.levels[-1][0]), np.arange(len(points)))]
         while todo:
             level, begin, end, active = todo.pop()
@@ -315,20 +315,24 @@ class Tree:
             if len(q):
                 bound = np.minimum(points[active[q]], top[e]).sum(axis=1, dtype=np.int64)
                 ok = bound >= least_overlap(n[q, 0], least[q, e])
-                q, e = q[ok], e[ok]
+                q, e, bound = q[ok], e[ok], bound[ok]
+                if level == 0:
+                    found_q.append(active[q])
+                    found_e.append(self.order[begin + e])
+                    found_s.append(bound / (n[q, 0] + low[e] - bound))
             if level == 0:
-                found_q.append(active[q])
-                found_e.append(self.order[begin + e])
                 continue
             width = len(self.levels[level - 1][0])
             for node in np.unique(e):
                 at = (begin + node) * FANOUT
                 todo.append((level - 1, at, min(at + FANOUT, width), active[q[e == node]]))
-        return np.concatenate(found_q) if found_q else np.zeros(0, dtype=int), np.concatenate(found_e) if found_e else np.zeros(0, dtype=int)
+        return np.concatenate(found_q), np.concatenate(found_e), np.concatenate(found_s)
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a cell and pass the bounds."""
+def _tree_pairs(members: DataFrame, points: DataFrame, roots: DataFrame, best: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a cell and pass the bounds.
+
+    With ``best`` only each set's so many most promising partners in a block."""
     labelled = (
         members.join(roots.withColumnRenamed("node", "key"), "key", "left")
         .select("cell", "key", F.coalesce("root", "key").alias("root"))
@@ -365,9 +369,17 @@ def _tree_pairs(members: DataFrame, points: DataFrame, roots: DataFrame) -> Data
         e_at = q_at = np.arange(end - begin)
         if i[0] < 0:
             e_at, q_at = np.flatnonzero(side), np.flatnonzero(~side)
-        q, e = Tree(vectors[e_at], sizes[e_at], roots[e_at]).search(vectors[q_at], sizes[q_at], roots[q_at])
+        q, e, likely = Tree(vectors[e_at], sizes[e_at], roots[e_at]).search(vectors[q_at], sizes[q_at], roots[q_at])
+        apart = roots[q_at[q]] != roots[e_at[e]]
+        q, e, likely = q[apart], e[apart], likely[apart]
+        if best:
+            order = np.lexsort((keys[e_at[e]], -likely, q))
+            q, e = q[order], e[order]
+            first = np.searchsorted(q, q, side="left")
+            top = np.arange(len(q)) - first < best
+            q, e = q[top], e[top]
         one, other = keys[q_at[q]], keys[e_at[e]]
-        return np.stack([np.minimum(one, other), np.maximum(one, other)])[:, roots[q_at[q]] != roots[e_at[e]]]
+        return np.stack([np.minimum(one, other), np.maximum(one, other)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -401,8 +413,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component. Equal sets are one node. Repeated rows are answered once each. A row with a null doc_id takes no
     part and gets a null component. Sets are told apart by 64-bit hashes.
 
-    Rounds: sets that follow each other in a cell are compared first; components of these links then leave the
-    R-trees only cells with several components, so a group of near copies is never expanded into its pairs.
+    Rounds: sets that follow each other in a cell are compared first, then each set with its most promising partners; the
+    components of these links leave the last round, which compares all pairs still possible, only cells with several
+    components. So a group of near copies is not expanded into its pairs.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -412,9 +425,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     points = stored(usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point")))
     members = _possible(stored(_cells(usable)), points)
     links = _verified(docs, points, _bounded(_neighbours(members), points))
-    roots = stored(components(links))
-    more = _tree_pairs(members, points, roots)
-    links = links.unionByName(_verified(docs, points, more))
+    for best in (2, None):
+        roots = stored(components(links))
+        links = links.unionByName(_verified(docs, points, _tree_pairs(members, points, roots, best)))
     roots = stored(components(links))
     ids = points.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key")
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
