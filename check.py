@@ -12,7 +12,7 @@ import duckdb
 from shelfwise.plans import catalog
 from shelfwise.sources.session import local_session
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(value):

@@ -1,9 +1,9 @@
 """Running totals, positions and quantiles over orderings of any size.
 
-A window without a bounded partition sends a whole ordering to one task. Below
-the size limit of :mod:`sizing` that is the fastest plan. Above it the rows are
-range-partitioned on the full ordering and materialised, each slice is totalled,
-and the totals of earlier slices are added to the running value inside a slice.
+A window without a bounded partition sends a whole ordering to one task. Here the rows are range-partitioned on the
+full ordering and materialised, each slice is totalled, and the totals of earlier slices are added to the running value
+inside a slice. Null keys are a group of their own. Frames that the calendar bounds use :func:`bounded_quantiles` or a
+plain window instead.
 """
 
 from __future__ import annotations
@@ -13,32 +13,35 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.sizing import small_input
 from shelfwise.sources.session import checkpointed
 
 START = Window.unboundedPreceding
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, a null being equal to a null; the keys come from ``left``."""
+    if not keys:
+        return left.join(right, how=how)
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     sums: Mapping[str, Column],
     order: Sequence[Column],
     keys: Sequence[str] = (),
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add ``sums`` accumulated up to each row of ``order`` within ``keys``.
 
-    ``order`` must be a total order inside a key, and keys must not be null.
+    ``order`` must be a total order inside a key. ``whole`` names further columns for the totals of a key's sums.
     """
     inputs = {f"_in_{name}": value for name, value in sums.items()}
-    df = df.withColumns(inputs)
-    if small_input(df):
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(START, 0)
-        done = df.withColumns({n: F.sum(f"_in_{n}").over(window) for n in sums})
-        return done.drop(*inputs)
-
     ranges = [*[F.col(k) for k in keys], *order]
     slices = checkpointed(
-        df.repartitionByRange(*ranges).withColumn("_slice", F.spark_partition_id())
+        df.withColumns(inputs).repartitionByRange(*ranges).withColumn("_slice", F.spark_partition_id())
     )
     totals = slices.groupBy(*keys, "_slice").agg(
         *[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums]
@@ -48,11 +51,12 @@ def running(
         *keys,
         "_slice",
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.sum(f"_sum_{n}").over(Window.partitionBy(*keys)).alias(name) for n, name in (whole or {}).items()],
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(START, 0)
+    done = slices.withColumns({f"_run_{n}": F.sum(f"_in_{n}").over(inside) for n in sums})
     return (
-        slices.withColumns({f"_run_{n}": F.sum(f"_in_{n}").over(inside) for n in sums})
-        .join(offsets, [*keys, "_slice"])
+        null_safe_join(done, offsets, [*keys, "_slice"])
         .withColumns({n: F.col(f"_off_{n}") + F.col(f"_run_{n}") for n in sums})
         .drop("_slice", *inputs, *[f"_off_{n}" for n in sums], *[f"_run_{n}" for n in sums])
     )
@@ -69,58 +73,63 @@ def positions(
 def quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles of ``value`` per ``keys``.
+    """Exact linearly interpolated quantiles of ``value`` per ``keys``."""
+    return quantiles_of(df, {value: probs}, keys)
+
+
+def quantiles_of(
+    df: DataFrame, marks: Mapping[str, Mapping[str, float]], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Exact linearly interpolated quantiles of several columns per ``keys``: ``marks`` is {column: {name: p}}.
 
-    Large inputs are first collapsed to one row per distinct value, so a hot key
-    or a hot value never reaches a single task as raw rows.
+    Rows are first collapsed to one per column and distinct value, so a hot key or a hot value never reaches a single task
+    as raw rows; all columns share one ordering. Nulls and NaN are left out; a key without values has no row.
     """
-    known = df.select(*keys, F.col(value).alias("_value")).where(F.col("_value").isNotNull())
-    if small_input(df):
-        marks = F.percentile("_value", F.array(*[F.lit(float(p)) for p in probs.values()]))
-        found = known.groupBy(*keys).agg(marks.alias("_marks"))  # one buffer for all marks
-        return found.select(*keys, *[F.col("_marks")[i].alias(n) for i, n in enumerate(probs)])
-    counts = known.groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
-    upto = running(counts, {"_upto": F.col("_n")}, [F.col("_value")], keys)
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    if keys:
-        placed = upto.join(sizes, list(keys))
-    else:
-        placed = upto.withColumn("_size", sizes.scalar())
-
-    def at(index: Column) -> Column:
-        hit = (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in marks])
+    known = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.c").alias("_column"), F.col("_p.v").alias("_value"))
+    counts = known.where(F.col("_value").isNotNull() & ~F.isnan("_value")).groupBy(*keys, "_column", "_value").agg(F.count("*").alias("_n"))
+    placed = running(counts, {"_upto": F.col("_n")}, [F.col("_value")], [*keys, "_column"], {"_upto": "_size"})
+
+    def at(column: str, index: Column) -> Column:
+        hit = (F.col("_column") == column) & (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
         return F.max(F.when(hit, F.col("_value")))
 
     parts, finals = [], []
-    for name, p in probs.items():
-        spot = F.lit(p) * (F.col("_size") - 1)
-        parts += [
-            at(F.floor(spot)).alias(f"_lo_{name}"),
-            at(F.ceil(spot)).alias(f"_hi_{name}"),
-            F.max(spot - F.floor(spot)).alias(f"_part_{name}"),
-        ]
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        finals.append((low + (high - low) * F.col(f"_part_{name}")).alias(name))
+    for column, probs in marks.items():
+        for name, p in probs.items():
+            spot = F.lit(float(p)) * (F.col("_size") - 1)
+            parts += [
+                at(column, F.floor(spot)).alias(f"_lo_{name}"),
+                at(column, F.ceil(spot)).alias(f"_hi_{name}"),
+                F.max(F.when(F.col("_column") == column, spot - F.floor(spot))).alias(f"_part_{name}"),
+            ]
+            low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+            finals.append((low + (high - low) * F.col(f"_part_{name}")).alias(name))
     return placed.groupBy(*keys).agg(*parts).select(*keys, *finals)
 
 
+def bounded_quantiles(
+    df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """The same for frames that the calendar bounds, such as daily or monthly series: one aggregate, no ordering."""
+    marks = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(marks.alias("_marks"))
+    return found.select(*keys, *[F.col("_marks")[i].alias(n) for i, n in enumerate(probs)])
+
+
 def percent_ranks(
     df: DataFrame, value: str, name: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add the average-method percentile rank of ``value`` (null stays null)."""
-    if small_input(df):
-        return df.withColumn(name, percent_rank_over(F.col(value), keys))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count("*").alias("_ties"))
     )
-    upto = running(counts, {"_upto": F.col("_ties")}, [F.col(value)], keys)
-    sizes = counts.groupBy(*keys).agg(F.sum("_ties").alias("_size"))
-    placed = upto.join(sizes, list(keys)) if keys else upto.withColumn("_size", sizes.scalar())
+    placed = running(counts, {"_upto": F.col("_ties")}, [F.col(value)], keys, {"_upto": "_size"})
     average = F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)
     ranks = placed.select(*keys, value, (average / F.col("_size")).alias(name))
-    return df.join(ranks, [*keys, value], "left")
+    return null_safe_join(df, ranks, [*keys, value], "left")
 
 
 def percent_rank_over(value: Column, keys: Sequence[str] = ()) -> Column:

@@ -8,9 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import average_rank_over, quantiles
+from shelfwise.functions.ordered import average_rank_over, null_safe_join, quantiles
 from shelfwise.functions.scalars import log1p_safe, ratio, skew_adjusted, weighted_mean
-from shelfwise.functions.sizing import small_input
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -22,11 +21,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.count("*").alias("rows"),
-        *([F.percentile(value, F.lit(0.5)).alias("median")] if small_input(df) else []),
     )
-    if "median" in stats.columns:
-        return stats
-    return stats.join(quantiles(df, value, {"median": 0.5}, keys), list(keys), "left")
+    return null_safe_join(stats, quantiles(df, value, {"median": 0.5}, keys), list(keys), "left")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:

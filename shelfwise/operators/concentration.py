@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import quantiles, running
+from shelfwise.functions.ordered import quantiles, running, quantiles_of
 from shelfwise.functions.scalars import at_least, herfindahl, ratio
 from shelfwise.operators.timeseries import by_date, densify, lags, rolled
 
@@ -246,15 +246,15 @@ def financial_summary(lines: DataFrame, group: str) -> DataFrame:
 
 def quadrants(df: DataFrame, x: str, y: str, x_name: str, y_name: str) -> DataFrame:
     """Label rows by the medians of two values."""
-    cuts = quantiles(df, x, {"a": 0.5}).select(F.col("a")).scalar()
-    other = quantiles(df, y, {"b": 0.5}).select(F.col("b")).scalar()
+    cuts = quantiles_of(df, {x: {"a": 0.5}, y: {"b": 0.5}}).select(F.struct("a", "b")).scalar()
     level = lambda v, cut, name: F.concat(
         F.when(at_least(F.col(v), F.col(cut)), "high_").otherwise("low_"), F.lit(name)
     )
     return (
-        df.withColumns({"_x": cuts, "_y": other})
+        df.withColumn("_c", cuts)
+        .withColumns({"_x": F.col("_c.a"), "_y": F.col("_c.b")})
         .withColumn("quadrant", F.concat_ws("_", level(x, "_x", x_name), level(y, "_y", y_name)))
-        .drop("_x", "_y")
+        .drop("_x", "_y", "_c")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import quantiles
+from shelfwise.functions.ordered import null_safe_join, quantiles
 from shelfwise.functions.scalars import month_start, order_tier, ratio
 from shelfwise.operators.timeseries import densify, event_days, lags, rolled
 
@@ -190,7 +190,7 @@ def acquisition_channel_quality(rollup: DataFrame, customers: DataFrame) -> Data
     middle = quantiles(joined, "total_value", {"median_revenue_per_customer": 0.5}, ["channel"])
     rank = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
     score = rank("customers") + rank("repeat_ratio") + rank("revenue_per_customer") + rank("revenue")
-    return stats.join(middle, "channel").withColumn("quality_score", score)
+    return null_safe_join(stats, middle, ["channel"], "left").withColumn("quality_score", score)
 
 
 def acquisition_over_time(rollup: DataFrame, customers: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def demographic_summary(order_level: DataFrame, groups: Sequence[str]) -> DataFr
     )
     middle = quantiles(order_level, "revenue", {"median_order_value": 0.5}, groups)
     whole = F.sum("revenue").over(Window.partitionBy())
-    return sums.join(middle, list(groups), "left").withColumns(
+    return null_safe_join(sums, middle, list(groups), "left").withColumns(
         {
             "revenue_share": ratio(F.col("revenue"), whole),
             "aov": ratio(F.col("revenue"), F.col("orders")),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import quantiles
+from shelfwise.functions.ordered import null_safe_join, quantiles, quantiles_of
 from shelfwise.functions.scalars import (
     at_least,
     at_most,
@@ -288,15 +288,11 @@ def review_volume_vs_revenue(sales: DataFrame, reviews: DataFrame) -> DataFrame:
 def review_revenue_groups(risk: DataFrame) -> DataFrame:
     """Products with many reviews by revenue, and those with bad ratings and many returns."""
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    stat = lambda c: quantiles(risk, c, marks).select(F.struct(*marks)).scalar()
-    placed = risk.withColumns(
-        {
-            "_n": stat("reviews"),
-            "_v": stat("revenue"),
-            "_r": stat("mean_rating"),
-            "_b": stat("returns"),
-        }
-    )
+    columns = {"_n": "reviews", "_v": "revenue", "_r": "mean_rating", "_b": "returns"}
+    named = {column: {f"{short}_{q}": p for q, p in marks.items()} for short, column in columns.items()}
+    cuts = quantiles_of(risk, named).select(F.struct("*")).scalar()
+    stats = lambda short: F.struct(*[F.col(f"_cuts.{short}_{q}").alias(q) for q in marks])
+    placed = risk.withColumn("_cuts", cuts).withColumns({short: stats(short) for short in columns}).drop("_cuts")
     enough = F.col("reviews") >= F.greatest(F.lit(5), F.floor("_n.q50"))
     many = enough & (at_least(F.col("reviews"), F.col("_n.q75")))
     return placed.withColumns(
@@ -350,15 +346,9 @@ def rating_lead_correlations(panel: DataFrame) -> DataFrame:
 
 def risk_matrix(risk: DataFrame) -> DataFrame:
     """Five risk groups from the medians of revenue, rating, return rate and reviews."""
-    middle = lambda c: quantiles(risk, c, {"m": 0.5}).scalar()
-    placed = risk.withColumns(
-        {
-            "_v": middle("revenue"),
-            "_r": middle("mean_rating"),
-            "_b": middle("return_rate"),
-            "_n": middle("reviews"),
-        }
-    )
+    columns = {"_v": "revenue", "_r": "mean_rating", "_b": "return_rate", "_n": "reviews"}
+    cuts = quantiles_of(risk, {column: {short: 0.5} for short, column in columns.items()}).select(F.struct("*")).scalar()
+    placed = risk.withColumn("_cuts", cuts).withColumns({short: F.col(f"_cuts.{short}") for short in columns}).drop("_cuts")
     rich = at_least(F.col("revenue"), F.col("_v"))
     good = at_least(F.col("mean_rating"), F.col("_r"))
     back = at_least(F.col("return_rate"), F.col("_b"))
@@ -399,7 +389,7 @@ def payment_methods(payments: DataFrame, flags: Sequence[str] = ("is_cancelled",
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
     marks = quantiles(payments, "payment_value", probs, ["payment_method"])
     whole = lambda c: F.sum(c).over(Window.partitionBy())
-    return sums.join(marks, "payment_method", "left").withColumns(
+    return null_safe_join(sums, marks, ["payment_method"], "left").withColumns(
         {
             "share": F.col("payments") / whole("payments"),
             "value_share": ratio(F.col("value"), whole("value")),
@@ -442,7 +432,7 @@ def installments_by(payments: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     marks = quantiles(payments, "payment_value", {"p50": 0.5, "p75": 0.75, "p90": 0.9}, keys)
     whole = lambda c: F.sum(c).over(Window.partitionBy())
-    return sums.join(marks, list(keys), "left").withColumns(
+    return null_safe_join(sums, marks, list(keys), "left").withColumns(
         {
             "share": F.col("payments") / whole("payments"),
             "value_share": ratio(F.col("value"), whole("value")),
@@ -516,7 +506,7 @@ def delivery_by(delivered: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(F.col("from_order") < 0).alias("invalid"),
     )
     marks = quantiles(delivered, "from_ship", {"median_days": 0.5, "p90_days": 0.9}, keys)
-    return sums.join(marks, list(keys), "left") if keys else sums.withColumn(
+    return null_safe_join(sums, marks, list(keys), "left") if keys else sums.withColumn(
         "_m", marks.select(F.struct("*")).scalar()
     ).select("*", "_m.*").drop("_m")
 
@@ -596,7 +586,7 @@ def shipping_by(shipping: DataFrame, keys: Sequence[str]) -> DataFrame:
         ratio(F.count_if("is_cancelled"), F.count("*")).alias("cancel_rate"),
     )
     marks = quantiles(shipping, "shipping_fee", {"median_fee": 0.5, "p90_fee": 0.9}, keys)
-    return sums.join(marks, list(keys), "left")
+    return null_safe_join(sums, marks, list(keys), "left")
 
 
 def monthly_features(months: DataFrame, metrics: Sequence[str]) -> DataFrame:

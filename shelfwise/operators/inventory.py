@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import quantiles
+from shelfwise.functions.ordered import null_safe_join, quantiles, quantiles_of
 from shelfwise.functions.scalars import at_least, at_most, month_start, ratio
 from shelfwise.operators.aggregate import correlations, safe_corr
 from shelfwise.operators.joins import month_to_day
@@ -127,10 +127,8 @@ def overstock(product_months: DataFrame, group: str = "category") -> DataFrame:
             ),
         }
     )
-    stock = quantiles(base, "stock_on_hand", {"stock_p75": 0.75}, [group])
-    sales = quantiles(base, "units_sold", {"sales_p50": 0.5}, [group])
-    through = quantiles(base, "sell_through", {"through_p25": 0.25}, [group])
-    joined = base.join(stock, group, "left").join(sales, group, "left").join(through, group, "left")
+    marks = {"stock_on_hand": {"stock_p75": 0.75}, "units_sold": {"sales_p50": 0.5}, "sell_through": {"through_p25": 0.25}}
+    joined = null_safe_join(base, quantiles_of(base, marks, [group]), [group], "left")
     high = F.col("stock_on_hand") >= F.col("stock_p75")
     slow = F.coalesce("units_sold", F.lit(0.0)) <= F.coalesce("sales_p50", F.lit(0.0))
     weak = F.coalesce(F.col("sell_through") <= F.col("through_p25"), F.lit(False))

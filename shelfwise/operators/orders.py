@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import percent_rank_over, quantiles
+from shelfwise.functions.ordered import null_safe_join, percent_rank_over, quantiles
 from shelfwise.functions.scalars import at_least, change, clip, ratio
 from shelfwise.operators.aggregate import correlations
 from shelfwise.operators.joins import aggregate_then_join
@@ -114,7 +114,7 @@ def aov_by(order_rows: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.sum("revenue").alias("revenue"),
         F.avg("revenue").alias("aov"),
     )
-    return sums.join(quantiles(known, "revenue", {"median_aov": 0.5}, groups), list(groups), "left")
+    return null_safe_join(sums, quantiles(known, "revenue", {"median_aov": 0.5}, groups), list(groups), "left")
 
 
 def aov_anomalies(daily: DataFrame) -> DataFrame:

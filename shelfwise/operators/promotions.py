@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import positions, quantiles
+from shelfwise.functions.ordered import null_safe_join, positions, quantiles
 from shelfwise.functions.scalars import equal_count_bin, ratio
 from shelfwise.operators.aggregate import distinct_list
 from shelfwise.operators.joins import expand_intervals
@@ -137,7 +137,7 @@ def promo_line_comparison(lines: DataFrame, group: str = "promo_used") -> DataFr
         F.sum("profit").alias("profit"),
         ratio(F.sum("profit"), F.sum("revenue")).alias("margin"),
     )
-    return sums.join(quantiles(lines, "revenue", {"median_revenue": 0.5}, [group]), group, "left")
+    return null_safe_join(sums, quantiles(lines, "revenue", {"median_revenue": 0.5}, [group]), [group], "left")
 
 
 def promo_daily_decomposition(lines: DataFrame) -> DataFrame:

@@ -56,39 +56,38 @@ def shape_summary(tables: Mapping[str, DataFrame], expected: Sequence[str] = ())
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Type, non-null, null and distinct count and five smallest values per column."""
+    """Type, non-null, null and distinct count and five smallest values per column.
+
+    One scan: cells are grouped by column and value, so a frequent value is one row before anything is ranked."""
     names = list(columns or df.columns)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     kinds = dict(df.dtypes)
-    counts = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.count(c).alias(f"non_null__{c}") for c in names],
-        *[distinct(F.col(c)).alias(f"distinct__{c}") for c in names],
-    ).withColumns(
-        {
-            **{f"nulls__{c}": F.col("_rows") - F.col(f"non_null__{c}") for c in names},
-            **{f"dtype__{c}": F.lit(kinds[c]) for c in names},
-        }
-    )
-    profile = stacked(
-        counts,
-        names,
-        "column",
-        {"dtype": "string", "non_null": "bigint", "nulls": "bigint", "distinct": "bigint"},
-    )
-    samples = union_all(
-        [
-            df.where(F.col(c).isNotNull())
-            .select(F.lit(c).alias("column"), F.col(c).alias("v"))
-            .distinct()
-            .orderBy("v")
-            .limit(5)
-            .groupBy("column")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list("v")), lambda v: v.cast("string")), ", ").alias("samples"))
+    # numbers order as such, all else by its text
+    number = lambda c: kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(c).cast("string").alias("v"),
+                (F.col(c).cast("double") if number(c) else F.lit(0.0)).alias("place"),
+            )
             for c in names
         ]
     )
-    return profile.join(samples, "column", "left")
+    values = df.select(F.inline(cells)).groupBy("column", "v", "place").agg(F.count("*").alias("n"))
+    known = F.col("v").isNotNull()
+    distinct = F.approx_count_distinct("v") if approximate else F.count("v")
+    profile = values.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("nulls"),
+        distinct.alias("distinct"),
+    )
+    first = F.row_number().over(Window.partitionBy("column").orderBy("place", "v"))
+    samples = (
+        values.where(known).withColumn("_r", first).where("_r <= 5").groupBy("column")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "v"))), lambda x: x["v"]), ", ").alias("samples"))
+    )
+    kind = F.create_map(*[F.lit(x) for c in names for x in (c, kinds[c])])
+    return profile.join(samples, "column", "left").withColumn("dtype", kind[F.col("column")])
 
 
 def missing_summary(df: DataFrame, threshold: float = 50.0) -> DataFrame:
@@ -482,18 +481,17 @@ def reconcile_series(left: DataFrame, right: DataFrame, value: str, key: str = "
 
 def distribution_summary(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles per column."""
-    parts = []
-    for name in columns:
-        stats = df.agg(
-            F.count(name).alias("count"),
-            F.avg(name).alias("mean"),
-            F.stddev_samp(name).alias("std"),
-            F.min(name).alias("min"),
-            F.max(name).alias("max"),
-        ).withColumn("column", F.lit(name))
-        marks = quantiles(df, name, {f"p{round(p * 100)}": p for p in probs})
-        parts.append(stats.join(marks.withColumn("column", F.lit(name)), "column"))
-    return union_all(parts)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(pairs))
+    stats = long.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    marks = quantiles(long, "value", {f"p{round(p * 100)}": p for p in probs}, ["column"])
+    return stats.join(marks, "column", "left")
 
 
 def duplicate_names(products: DataFrame) -> DataFrame:

@@ -209,11 +209,11 @@ def _(shop):
 WITH s AS (SELECT regr_slope(revenue, orders) AS m, regr_intercept(revenue, orders) AS b,
                   regr_sxx(revenue, orders) AS sxx, regr_syy(revenue, orders) AS syy, regr_sxy(revenue, orders) AS sxy,
                   avg(orders) AS c, count(*) AS n, min(orders) AS lo, max(orders) AS hi FROM x_daily),
-     g AS (SELECT i AS step, lo + (hi - lo) * i / 9.0 AS x, s.* FROM s, range(10) t(i)),
+     g AS (SELECT i AS step, lo + (hi - lo) * i / 99.0 AS x, s.* FROM s, range(100) t(i)),
      f AS (SELECT *, b + m * x AS fitted, sqrt((syy - sxy * sxy / sxx) / (n - 2)) * sqrt(1.0 / n + pow(x - c, 2) / sxx) AS w FROM g)
 SELECT step, x, fitted, fitted - 1.98 * w AS low_band, fitted + 1.98 * w AS high_band FROM f""")
 def _(shop):
-    return A.fit_band(C.daily(shop), "orders", "revenue", points=10)
+    return A.fit_band(C.daily(shop), "orders", "revenue")
 
 
 @query("A23_skewness", "year:i skew:d log_skew:d n:i", """

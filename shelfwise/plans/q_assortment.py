@@ -46,10 +46,9 @@ def _(shop):
 
 @query("D25_never_sold", "product_id:i product_name:s", """
 SELECT product_id, product_name FROM x_products
-WHERE product_id NOT IN (SELECT product_id FROM x_items WHERE promo_id IS NOT NULL AND return_flag = 'N')""")
+WHERE product_id NOT IN (SELECT product_id FROM x_items WHERE product_id IS NOT NULL)""")
 def _(shop):
-    sold = shop.items.where("promo_id IS NOT NULL AND return_flag = 'N'")
-    return K.never_sold(shop.products, sold)
+    return K.never_sold(shop.products, shop.items)
 
 
 CONC = """

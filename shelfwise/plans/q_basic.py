@@ -1,9 +1,10 @@
 """Projections, scalar functions and joins."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import scalars as S
-from shelfwise.functions.ordered import positions, quantiles
+from shelfwise.functions.ordered import bounded_quantiles, quantiles
 from shelfwise.operators import aggregate as A
 from shelfwise.operators import derive as P
 from shelfwise.operators import joins as J
@@ -272,7 +273,8 @@ WITH r AS (SELECT revenue, row_number() OVER (ORDER BY revenue, date) AS rn, cou
 SELECT greatest(1, ceil((rn - 1) * 5.0 / (n - 1))) AS bin, count(*) AS days, min(revenue) AS low,
        max(revenue) AS high FROM r GROUP BY 1""")
 def _(shop):
-    placed = positions(shop.sales, [F.col("revenue"), F.col("date")])
+    one = Window.orderBy("revenue", "date")  # a row per day: bounded by the calendar
+    placed = shop.sales.withColumn("position", F.row_number().over(one))
     size = shop.sales.agg(F.count("*").alias("n")).scalar()
     binned = placed.withColumn("n", size).withColumn(
         "bin", S.equal_count_bin(F.col("position"), F.col("n"), 5)
@@ -566,13 +568,13 @@ def _(shop):
 
 @query("J13_near_days", "date:t revenue:d", """
 WITH h AS (SELECT date, revenue FROM x_sales WHERE revenue >= (SELECT quantile_cont(revenue, 0.97) FROM x_sales)),
-     r AS (SELECT return_date AS date FROM x_returns GROUP BY 1 HAVING count(*) >= 15)
+     r AS (SELECT return_date AS date FROM x_returns GROUP BY 1)
 SELECT date, revenue FROM h WHERE EXISTS (SELECT 1 FROM r WHERE abs(r.date - h.date) <= 7)""")
 def _(shop):
-    cut = quantiles(shop.sales, "revenue", {"p": 0.97}).scalar()
+    cut = bounded_quantiles(shop.sales, "revenue", {"p": 0.97}).scalar()
     high = shop.sales.withColumn("cut", cut).where(S.at_least(F.col("revenue"), F.col("cut")))
-    busy = shop.returns.groupBy(F.col("return_date").alias("date")).agg(F.count("*").alias("n"))
-    return J.near_days(high, busy.where("n >= 15"), 7)
+    busy = shop.returns.select(F.col("return_date").alias("date")).distinct()
+    return J.near_days(high, busy, 7)
 
 
 @query("J14_offset_lookup", "date:t revenue:d t1:d t3:d t7:d", """

@@ -8,29 +8,59 @@ from shelfwise.operators import quality as Q
 from shelfwise.plans.registry import query
 
 
-@query("Q01_shape_summary", "table:s rows:i columns:i present:b", """
-SELECT 'orders' AS "table", count(*) AS rows, 6 AS columns, true AS present FROM orders
-UNION ALL SELECT 'lineitem', count(*), 11, true FROM lineitem
-UNION ALL SELECT 'part', count(*), 6, true FROM part
-UNION ALL SELECT 'shipments', NULL, NULL, false""")
+TABLES = {
+    "region": "r_regionkey:int r_name:string",
+    "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:double",
+    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:double",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:double l_extendedprice:double "
+    "l_discount:double l_tax:double l_returnflag:string l_linestatus:string l_shipdate:timestamp_ntz",
+    "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
+}
+
+SHAPE = "SELECT '{t}' AS \"table\", count(*) AS rows, {n} AS columns, true AS present FROM {t}"
+
+
+@query(
+    "Q01_shape_summary",
+    "table:s rows:i columns:i present:b",
+    " UNION ALL ".join(SHAPE.format(t=t, n=len(c.split())) for t, c in TABLES.items()) + " UNION ALL SELECT 'shipments', NULL, NULL, false",
+)
+def _(shop):
+    return Q.shape_summary({t: shop.table(t) for t in TABLES}, [*TABLES, "shipments"])
+
+
+PROFILE = """
+SELECT '{t}' AS "table", '{c}' AS "column", '{kind}' AS dtype, count({c}) AS non_null, count(*) - count({c}) AS nulls,
+       count(DISTINCT {c}) AS "distinct"
+FROM {t}"""
+
+
+@query(
+    "Q02_column_profile",
+    "table:s column:s dtype:s non_null:i nulls:i distinct:i",
+    " UNION ALL ".join(
+        PROFILE.format(t=t, c=c.split(":")[0], kind=c.split(":")[1]) for t, columns in TABLES.items() for c in columns.split()
+    ),
+)
 def _(shop):
-    names = ["orders", "lineitem", "part"]
-    return Q.shape_summary({n: shop.table(n) for n in names}, [*names, "shipments"])
+    return Q.union_all([Q.column_profile(shop.table(t)).withColumn("table", F.lit(t)) for t in TABLES])
 
 
-@query("Q02_column_profile", "column:s dtype:s non_null:i nulls:i distinct:i samples:s", """
-SELECT 'p_type' AS "column", 'string' AS dtype, count(p_type) AS non_null,
-       count(*) - count(p_type) AS nulls, count(DISTINCT p_type) AS "distinct",
-       (SELECT string_agg(v, ', ' ORDER BY v) FROM
-          (SELECT DISTINCT p_type AS v FROM part ORDER BY v LIMIT 5)) AS samples
-FROM part
+@query("Q02b_column_samples", "column:s samples:s", """
+SELECT 'p_type' AS "column", string_agg(v, ', ' ORDER BY v) AS samples FROM (SELECT DISTINCT p_type AS v FROM part ORDER BY v LIMIT 5)
 UNION ALL
-SELECT 'p_size', 'int', count(p_size), count(*) - count(p_size), count(DISTINCT p_size),
-       (SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM
-          (SELECT DISTINCT p_size AS v FROM part ORDER BY v LIMIT 5))
-FROM part""")
+SELECT 'p_size', string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT p_size AS v FROM part ORDER BY v LIMIT 5)
+UNION ALL
+SELECT 'p_partkey', string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) FROM (SELECT DISTINCT p_partkey AS v FROM part ORDER BY v LIMIT 5)
+UNION ALL
+SELECT 'p_name', string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT p_name AS v FROM part ORDER BY v LIMIT 5)
+UNION ALL
+SELECT 'p_brand', string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT p_brand AS v FROM part ORDER BY v LIMIT 5)""")
 def _(shop):
-    return Q.column_profile(shop.table("part"), ["p_type", "p_size"])
+    return Q.column_profile(shop.table("part").drop("p_retailprice"))
 
 
 @query("Q03_missing_summary", "column:s missing:i missing_pct:d mostly_missing:b", """
@@ -102,16 +132,16 @@ def _(shop):
     )
 
 
-@query("Q08_repair_ratio", "bounce_day:t repaired:d", """
-SELECT date AS bounce_day, CASE WHEN abs(v) > 1.5 THEN v / 100 ELSE v END AS repaired
-FROM (SELECT date, CASE WHEN day(date) % 2 = 0 THEN 100 * bounce_rate ELSE bounce_rate END AS v
-      FROM x_traffic WHERE traffic_source = 'view')""")
+@query("Q08_repair_ratio", "traffic_source:s bounce_day:t repaired:d", """
+SELECT traffic_source, date AS bounce_day, CASE WHEN abs(v) > 1.5 THEN v / 100 ELSE v END AS repaired
+FROM (SELECT traffic_source, date, CASE WHEN day(date) % 2 = 0 THEN 100 * bounce_rate ELSE bounce_rate END AS v
+      FROM x_traffic)""")
 def _(shop):
     mixed = F.when(F.dayofmonth("date") % 2 == 0, F.col("bounce_rate") * 100).otherwise(
         F.col("bounce_rate")
     )
-    return shop.traffic.where("traffic_source = 'view'").select(
-        F.col("date").alias("bounce_day"), S.repair_ratio(mixed).alias("repaired")
+    return shop.traffic.select(
+        "traffic_source", F.col("date").alias("bounce_day"), S.repair_ratio(mixed).alias("repaired")
     )
 
 
@@ -232,14 +262,24 @@ FROM (SELECT {child}) c LEFT JOIN (SELECT DISTINCT {parent}) p ON c.k = p.k"""
         FK.format(name="'items_orders'", child="order_id AS k FROM x_items", parent="order_id AS k FROM x_orders"),
         FK.format(name="'items_promotions'", child="promo_id_2 AS k FROM x_items",
                   parent="promo_id AS k FROM x_promotions"),
+        FK.format(name="'returns_products'", child="product_id AS k FROM x_returns", parent="product_id AS k FROM x_products"),
+        FK.format(name="'customers_geography'", child="zip AS k FROM x_customers", parent="zip AS k FROM x_geography"),
+        FK.format(name="'orders_geography'", child="zip AS k FROM x_orders LEFT JOIN x_customers USING (customer_id)",
+                  parent="zip AS k FROM x_geography"),
     ]),
 )
 def _(shop):
     first = Q.foreign_key_check(shop.items, shop.orders, "order_id")
     second = Q.foreign_key_check(shop.items, shop.promotions, "promo_id_2", "promo_id", normalise=True)
-    return first.withColumn("relation", F.lit("items_orders")).unionByName(
-        second.withColumn("relation", F.lit("items_promotions"))
-    )
+    placed = shop.orders.join(shop.customers.select("customer_id", "zip"), "customer_id", "left")
+    found = {
+        "items_orders": first,
+        "items_promotions": second,
+        "returns_products": Q.foreign_key_check(shop.returns, shop.products, "product_id"),
+        "customers_geography": Q.foreign_key_check(shop.customers, shop.geography, "zip"),
+        "orders_geography": Q.foreign_key_check(placed, shop.geography, "zip"),
+    }
+    return Q.union_all([df.withColumn("relation", F.lit(name)) for name, df in found.items()])
 
 
 @query("Q18_orphan_samples", "promo_id:s", """
@@ -268,7 +308,7 @@ def _(shop):
 
 @query("Q20_promo_quality", "check:s count:i", """
 WITH u AS (SELECT DISTINCT promo_id FROM x_items WHERE promo_id IS NOT NULL),
-     p AS (SELECT promo_id FROM x_promotions WHERE promo_id <> 'PROMO-7'),
+     p AS (SELECT promo_id FROM x_promotions),
      m AS (SELECT *, profit / nullif(revenue, 0) AS margin FROM x_lines)
 SELECT 'promo_ids_in_items_not_promotions' AS "check", (SELECT count(*) FROM u WHERE promo_id NOT IN (SELECT promo_id FROM p)) AS count
 UNION ALL SELECT 'promotions_with_no_matching_items', (SELECT count(*) FROM p WHERE promo_id NOT IN (SELECT promo_id FROM u))
@@ -280,7 +320,7 @@ UNION ALL SELECT 'negative_revenue', count(*) FROM m WHERE revenue < 0
 UNION ALL SELECT 'zero_or_negative_quantity', count(*) FROM m WHERE quantity <= 0
 UNION ALL SELECT 'impossible_margin_values', count(*) FROM m WHERE margin < -1 OR margin > 1""")
 def _(shop):
-    return Q.promo_quality(shop.lines, shop.promotions.where("promo_id <> 'PROMO-7'"))
+    return Q.promo_quality(shop.lines, shop.promotions)
 
 
 @query("Q21_financial_quality", "check:s count:i", """

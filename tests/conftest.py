@@ -12,12 +12,3 @@ from shelfwise.sources.session import local_session  # noqa: E402
 def spark():
     return local_session("4", **{"spark.sql.shuffle.partitions": "4"})
 
-
-@pytest.fixture
-def one_task(spark):
-    """Force the distributed path of orderings, whatever the size."""
-    from shelfwise.functions.sizing import LIMIT_KEY
-
-    spark.conf.set(LIMIT_KEY, "-1")
-    yield
-    spark.conf.unset(LIMIT_KEY)

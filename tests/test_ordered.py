@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import percent_ranks, positions, quantiles, running
+from shelfwise.functions.ordered import bounded_quantiles, percent_ranks, positions, quantiles, quantiles_of, running
+from shelfwise.operators.aggregate import group_stats
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def frame():
     )
 
 
-def test_running_total(spark, frame, one_task):
+def test_running_total(spark, frame):
     df = spark.createDataFrame(frame).repartition(7)
     out = running(df, {"sofar": F.col("v")}, [F.desc("v"), F.col("id")], ["k"]).toPandas()
     want = frame.sort_values(["v", "id"], ascending=[False, True])
@@ -32,7 +33,7 @@ def test_running_total(spark, frame, one_task):
     assert len(out) == len(frame)
 
 
-def test_positions_are_a_permutation(spark, frame, one_task):
+def test_positions_are_a_permutation(spark, frame):
     df = spark.createDataFrame(frame).repartition(5)
     out = positions(df, [F.col("v"), F.col("id")]).toPandas().sort_values("position")
     want = frame.sort_values(["v", "id"]).id.tolist()
@@ -41,7 +42,7 @@ def test_positions_are_a_permutation(spark, frame, one_task):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_quantiles(spark, frame, one_task, keys):
+def test_quantiles(spark, frame, keys):
     df = spark.createDataFrame(frame).repartition(6)
     probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
     out = quantiles(df, "v", probs, keys).toPandas()
@@ -51,14 +52,33 @@ def test_quantiles(spark, frame, one_task, keys):
             assert row[name] == pytest.approx(part.v.quantile(p))
 
 
-def test_percent_ranks(spark, frame, one_task):
+def test_percent_ranks(spark, frame):
     df = spark.createDataFrame(frame).repartition(6)
     out = percent_ranks(df, "v", "r").toPandas().set_index("id").r.sort_index()
     assert np.allclose(out, frame.set_index("id").v.rank(pct=True).sort_index())
 
 
-def test_small_path_agrees(spark, frame):
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_bounded_quantiles_agree(spark, frame, keys):
+    df = spark.createDataFrame(frame)
+    marks = {"a": 0.33, "b": 0.9}
+    one = quantiles(df, "v", marks, keys).orderBy(*keys).toPandas()
+    other = bounded_quantiles(df, "v", marks, keys).orderBy(*keys).toPandas()
+    assert np.allclose(one[["a", "b"]], other[["a", "b"]])
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(1, None, 2.0), (2, None, 3.0), (3, "x", 4.0), (4, "x", None), (5, None, None)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    assert {r.id: r.position for r in positions(df, [F.col("id")], ["k"]).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3}
+    assert {r.k: r.m for r in quantiles(df, "v", {"m": 0.5}, ["k"]).collect()} == {None: 2.5, "x": 4.0}
+    assert {r.id: r.r for r in percent_ranks(df, "v", "r", ["k"]).collect()} == {1: 0.5, 2: 1.0, 3: 1.0, 4: None, 5: None}
+    assert {r.k: (r.rows, r.median) for r in group_stats(df, ["k"], "v").collect()} == {None: (3, 2.5), "x": (2, 4.0)}
+
+
+def test_several_columns_in_one_ordering(spark, frame):
     df = spark.createDataFrame(frame)
-    out = quantiles(df, "v", {"p": 0.33}, ["k"]).toPandas().set_index("k").p
-    for k, value in out.items():
-        assert value == pytest.approx(frame[frame.k == k].v.quantile(0.33))
+    got = quantiles_of(df, {"v": {"v50": 0.5}, "id": {"i25": 0.25, "i75": 0.75}}, ["k"]).toPandas().set_index("k")
+    for k, row in got.iterrows():
+        part = frame[frame.k == k]
+        assert (row.v50, row.i25, row.i75) == pytest.approx((part.v.quantile(0.5), part.id.quantile(0.25), part.id.quantile(0.75)))

@@ -43,7 +43,7 @@ def test_query(spark, db, name):
 
 
 @pytest.mark.parametrize("name", ORDERED)
-def test_distributed_ordering(spark, db, one_task, name):
+def test_distributed_ordering(spark, db, name):
     compare(spark, db, name)
 
 
