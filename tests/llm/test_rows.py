@@ -77,20 +77,24 @@ def test_scanned_rows(spark):
     assert {r[4] for r in got[2:]} == {empty} and got[0][5] == "assign:0:12"
 
 
-@pytest.mark.parametrize("fallback", [True, False])
-def test_counts_match_the_tokenizer(fallback):
+def tokenizer(entries, fallback):
+    """The tokenizers library's own unigram model over ``entries``."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    entries = unigram.vocabulary()
     plain = Tokenizer(models.Unigram([(p, float(s)) for p, s in entries], unk_id=0, byte_fallback=fallback))
     plain.pre_tokenizer = pre_tokenizers.Sequence(
         [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)]
     )
     plain.encode_special_tokens = True
-    texts = fuzz(list("abcdeéß中文😀 ▁\t\x1cth ") + ["the ", "an", "<0x0A>", "ing"], 3000, 30, 2) + ["", " ", "x" * 5000]
-    want = [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(e.ids) for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_counts_match_the_tokenizer(fallback):
+    entries = unigram.vocabulary()
+    texts = fuzz(list("abcdeéß中文😀 ▁\t\x1cth ") + ["the ", "an", "<0x0A>", "ing"], 3000, 30, 2) + ["", " ", "x" * 5000]
     counter = unigram.Counter(entries, byte_fallback=fallback)
-    assert [counter.words(t)[0] for t in texts] == want
+    assert [counter.words(t)[0] for t in texts] == tokenizer(entries, fallback)(texts)
 
 
 def test_ties_take_the_earlier_start():
@@ -99,5 +103,7 @@ def test_ties_take_the_earlier_start():
 
 
 def test_counted_rows(spark):
-    docs = spark.createDataFrame([(1, "the cat"), (None, None), (2, " ")], "doc_id long, text string")
-    assert {(r.doc_id, r.n_tokens) for r in unigram.counted(docs).collect()} == {(1, 2), (None, 0), (2, 0)}
+    docs = spark.createDataFrame([(1, "the cat sat", 0), (None, None, 0), (2, " ", 0)], "doc_id long, text string, n_tokens int")
+    (want,) = tokenizer(unigram.vocabulary(), True)(["the cat sat"])
+    assert {(r.doc_id, r.n_tokens, r.n_unknown) for r in unigram.counted(docs).collect()} == {(1, want, 0), (None, 0, 0), (2, 0, 0)}
+    assert unigram.counted(docs.limit(0)).count() == 0
