@@ -157,6 +157,11 @@ def reference_features(history: DataFrame, dates: DataFrame, growth: DataFrame,
     return out
 
 
+def least_values(window: int) -> int:
+    """Known values that a rolling feature of ``window`` days needs."""
+    return max(2, min(window // 3, 30))
+
+
 def history_features(history: DataFrame, columns: Sequence[str] = SERIES, series: Sequence[str] = ()) -> DataFrame:
     """Lags, year-ago mean and leak-safe rolling statistics of every series."""
     order = by_date(series)
@@ -165,9 +170,8 @@ def history_features(history: DataFrame, columns: Sequence[str] = SERIES, series
         out |= {f"{c}_lag_{k}": F.lag(c, k).over(order) for k in LAGS}
         out[f"{c}_yoy_lag_mean"] = mean_of(*[F.lag(c, k).over(order) for k in (364, 365, 366)])
         for w in WINDOWS:
-            least = max(2, min(w // 3, 30))
-            out[f"{c}_roll_mean_{w}"] = rolled(c, w, "mean", least, 1, series)
-            out[f"{c}_roll_std_{w}"] = rolled(c, w, "std", least, 1, series)
+            out[f"{c}_roll_mean_{w}"] = rolled(c, w, "mean", least_values(w), 1, series)
+            out[f"{c}_roll_std_{w}"] = rolled(c, w, "std", least_values(w), 1, series)
     return history.withColumns(out)
 
 
@@ -248,6 +252,29 @@ def fit_log_linear(features: DataFrame, columns: Sequence[str], penalty: float =
     return LogLinear(tuple(columns), tuple(fitted.coefficients.toArray()), float(fitted.intercept))
 
 
+def next_day_features(names: Sequence[str], state: Mapping[str, Sequence[float]], row: Mapping[str, float]) -> dict[str, float]:
+    """``row`` with the features of the day after ``state``, as :func:`history_features` has them; NaN is unknown."""
+    out = dict(row)
+
+    def back(values: Sequence[float], k: int) -> float:
+        return values[-k] if k <= len(values) else float("nan")
+
+    for name in names:
+        if m := re.match(r"(\w+)_lag_(\d+)$", name):
+            out[name] = back(state[m[1]], int(m[2]))
+        elif m := re.match(r"(\w+)_roll_(mean|std)_(\d+)$", name):
+            tail = np.array(state[m[1]][-int(m[3]) :], dtype=float)
+            tail = tail[~np.isnan(tail)]
+            if len(tail) < least_values(int(m[3])):
+                out[name] = float("nan")
+            else:
+                out[name] = float(tail.mean() if m[2] == "mean" else tail.std(ddof=1))
+        elif m := re.match(r"(\w+)_yoy_lag_mean$", name):
+            year = np.array([back(state[m[1]], k) for k in (364, 365, 366)], dtype=float)
+            out[name] = float(np.nanmean(year)) if not np.isnan(year).all() else float("nan")
+    return out
+
+
 def recursive_forecast(
     history: DataFrame,
     bases: DataFrame,
@@ -268,29 +295,12 @@ def recursive_forecast(
     past = history.select(label.alias("series"), "date", *[F.col(c).cast("double") for c in SERIES])
     ahead = bases.select(label.alias("series"), "date", *fixed)
 
-    def features(state: dict[str, list[float]], row: Mapping[str, float]) -> dict[str, float]:
-        out = dict(row)
-
-        def back(values: list[float], k: int) -> float:
-            return values[-k] if k <= len(values) else float("nan")
-
-        for name in wanted:
-            if m := re.match(r"(\w+)_lag_(\d+)$", name):
-                out[name] = back(state[m[1]], int(m[2]))
-            elif m := re.match(r"(\w+)_roll_(mean|std)_(\d+)$", name):
-                tail = np.array(state[m[1]][-int(m[3]) :])
-                out[name] = float(tail.mean() if m[2] == "mean" else tail.std(ddof=1))
-            elif m := re.match(r"(\w+)_yoy_lag_mean$", name):
-                year = np.array([back(state[m[1]], k) for k in (364, 365, 366)])
-                out[name] = float(np.nanmean(year)) if not np.isnan(year).all() else float("nan")
-        return out
-
     def run(key: tuple, known: pd.DataFrame, future: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("date")
         state = {c: known[c].tolist() for c in SERIES}
         rows = []
         for row in future.sort_values("date").to_dict("records"):
-            x = features(state, row)
+            x = next_day_features(wanted, state, row)
             p = {name: model.value(x) for name, model in models.items()}
             revenue = revenue_weight * p["revenue"] + (1 - revenue_weight) * p["orders"] * p["aov"]
             cogs = cogs_weight * p["cogs"] + (1 - cogs_weight) * revenue * p["cogs_ratio"]

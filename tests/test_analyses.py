@@ -138,6 +138,18 @@ def test_recursive_forecast_is_complete(spark):
     assert M.template_check(template, "2020-03-11", "2020-04-09").first().valid
 
 
+@pytest.mark.parametrize("days", [1, 2, 9, 10, 40])
+def test_recursion_has_the_features_of_training(spark, days):
+    known = [(DAY + dt.timedelta(days=i), None if i % 4 == 3 else 10.0 + i * i % 7) for i in range(days)]
+    history = spark.createDataFrame([*known, (DAY + dt.timedelta(days=days), 1.0)], "date date, revenue double")
+    names = [f"revenue_roll_{k}_{w}" for k in ("mean", "std") for w in (7, 30, 365)] + ["revenue_lag_1", "revenue_yoy_lag_mean"]
+    trained = M.history_features(history, ["revenue"]).orderBy(F.desc("date")).select(*names).first().asDict()
+    state = {"revenue": [np.nan if v is None else v for _, v in known]}
+    recursed = M.next_day_features(names, state, {})
+    want = [np.nan if trained[n] is None else trained[n] for n in names]
+    assert np.allclose([recursed[n] for n in names], want, equal_nan=True)
+
+
 def test_write_forecast_refuses_bad_frames(spark, tmp_path):
     days = [(DAY + dt.timedelta(days=i),) for i in range(3)]
     template = spark.createDataFrame(days, "date date")
