@@ -184,14 +184,15 @@ def calendar_features(dates: DataFrame, first_day: Column) -> DataFrame:
     return dates.withColumns({"time_index": index.cast("double"), **plain, **cyclic_parts(day)})
 
 
-def feature_matrix(history: DataFrame, growth: DataFrame, target: str | None = None) -> DataFrame:
+def feature_matrix(history: DataFrame, growth: DataFrame, target: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """Calendar, reference and history features of every history date.
 
-    With ``target`` only the columns on its allow-list are kept.
+    With ``target`` only the columns on its allow-list are kept. References come from the rows of ``known`` (the whole
+    history without it), so that later dates can be scored without having been seen.
     """
     first = history.agg(F.min("date")).scalar()
     past = history_features(history)
-    base = reference_features(history, history.select("date"), growth)
+    base = reference_features(history if known is None else known, history.select("date"), growth)
     marked = calendar_features(past.withColumn("_first", first), F.col("_first")).drop("_first")
     joined = marked.join(base, "date")
     if target is None:

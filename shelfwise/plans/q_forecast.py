@@ -27,8 +27,10 @@ CUT = "2000-12-31"  # last day of training for the single-split queries
 
 
 def history(shop):
-    """Daily history, stored once: one row per calendar day that many steps read."""
-    return checkpointed(M.load_history(shop.sales))
+    """Daily history, stored once per shop: one row per calendar day that many steps read."""
+    if "history" not in vars(shop):
+        shop.history = checkpointed(M.load_history(shop.sales))
+    return shop.history
 
 
 def train(shop):
@@ -81,6 +83,21 @@ def _(shop):
     return M.annual_growth(train(shop), THREE, since=1996, carry=0.5, boost={"revenue": 1.2})
 
 
+@query("F02c_growth_default", "revenue:d cogs:d orders:d aov:d cogs_ratio:d", """
+WITH y AS (SELECT year(date) AS year, avg(revenue) AS r, avg(cogs) AS c, avg(orders) AS o, avg(aov) AS a, avg(cogs_ratio) AS q FROM x_train GROUP BY 1),
+     g AS (SELECT year, r / lag(r) OVER w - 1 AS r, c / lag(c) OVER w - 1 AS c, o / lag(o) OVER w - 1 AS o, a / lag(a) OVER w - 1 AS a, q / lag(q) OVER w - 1 AS q
+           FROM y WINDOW w AS (ORDER BY year)),
+     l AS (SELECT * FROM g WHERE year = 2000),
+     k AS (SELECT *, (SELECT exp(avg(ln(1 + a))) FROM g WHERE year >= 1996) AS aov, (SELECT exp(avg(ln(1 + q))) FROM g WHERE year >= 1996) AS cogs_ratio FROM x_growth)
+SELECT least(greatest(CASE WHEN l.r > 0 THEN 1 + l.r ELSE k.revenue END, 0.95), 1.25) AS revenue,
+       least(greatest(CASE WHEN l.c > 0 THEN 1 + l.c ELSE k.cogs END, 0.95), 1.25) AS cogs,
+       least(greatest(CASE WHEN l.o > 0 THEN 1 + l.o * 1.25 ELSE k.orders END, 0.95), 1.25) AS orders,
+       least(greatest(CASE WHEN l.a > 0 THEN 1 + l.a * 1.35 ELSE k.aov END, 0.95), 1.25) AS aov,
+       least(greatest(k.cogs_ratio, 0.95), 1.25) AS cogs_ratio FROM l, k""")
+def _(shop):
+    return M.annual_growth(train(shop), since=1996)
+
+
 view("x_profile", """
 WITH n AS (SELECT date, revenue / avg(revenue) OVER (PARTITION BY year(date)) AS r, cogs / avg(cogs) OVER (PARTITION BY year(date)) AS c,
                   orders / avg(orders) OVER (PARTITION BY year(date)) AS o FROM x_train)
@@ -153,17 +170,20 @@ def _(shop):
 
 @query("F09_gbt_predictions", "date:t target:d predicted:d")
 def _(shop):
+    """Days after the cut only, each from the values known the day before and references of the training days."""
     rows = train(shop)
-    table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue"))
-    model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
-    return M.predict(model, table, M.FEATURES["revenue"])
+    growth = M.annual_growth(rows, since=1996)
+    table = checkpointed(M.feature_matrix(history(shop), growth, "revenue", known=rows))
+    seen = F.col("date") <= F.lit(CUT).cast("date")
+    model = M.fit_gbt(table.where(seen), M.FEATURES["revenue"])
+    return M.predict(model, table.where(~seen), M.FEATURES["revenue"])
 
 
 @query("F10_feature_importance", "feature:s importance:d")
 def _(shop):
     rows = train(shop)
     table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue"))
-    model = M.fit_gbt(table, M.FEATURES["revenue"], maxIter=10, maxDepth=4)
+    model = M.fit_gbt(table, M.FEATURES["revenue"])
     return M.feature_importance(model, M.FEATURES["revenue"], shop.spark)
 
 
@@ -274,9 +294,24 @@ def _(shop):
     return B.metrics_by_month(preds(shop), "actual_revenue", "pred_current")
 
 
-SCALES = [0.8, 0.9, 1.0, 1.1]
-SCALE_VALUES = "(VALUES (0.8::DOUBLE), (0.9::DOUBLE), (1.0::DOUBLE), (1.1::DOUBLE)) g(scale)"
-view("x_scale_grid", f"SELECT fold, scale, {metric_sql('actual_revenue', '(pred_current * scale)')} FROM x_preds, {SCALE_VALUES} GROUP BY 1, 2")
+# The calibration grids.
+SCALES = [0.70, 0.725, 0.75, 0.775, 0.80, 0.825, 0.85, 0.875, 0.90, 0.925, 0.95, 0.975, 1.00, 1.025, 1.05]
+YEAR1 = [0.75, 0.80, 0.85, 0.90, 0.95, 1.00, 1.05]
+YEAR2 = [0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 1.00]
+WEIGHTS = [k / 10 for k in range(11)]
+WINDOWS = [14, 30, 60, 90]
+RATES = [-0.25, -0.20, -0.15, -0.10, -0.05, 0.00, 0.05, 0.10, 0.15]
+COGS_SCALES = [0.80, 0.85, 0.90, 0.95, 1.00, 1.05, 1.10]
+COGS_CAPS = [None, 1.05, 1.10, 1.15, 1.20]
+
+
+def values(name: str, numbers: list, kind: str = "DOUBLE") -> str:
+    """The numbers as a one-column SQL table named like the column."""
+    rows = ", ".join(f"({'NULL' if n is None else n}::{kind})" for n in numbers)
+    return f'(VALUES {rows}) g_{name}("{name}")'
+
+
+view("x_scale_grid", f"SELECT fold, scale, {metric_sql('actual_revenue', '(pred_current * scale)')} FROM x_preds, {values('scale', SCALES)} GROUP BY 1, 2")
 
 
 @query("F16_global_scale", f"fold:s scale:d {METRICS}", "SELECT * FROM x_scale_grid")
@@ -286,20 +321,20 @@ def _(shop):
 
 @query("F16b_horizon_scale", f"fold:s year1:d year2:d {METRICS}", f"""
 SELECT fold, year1, year2, {metric_sql("actual_revenue", "(pred_current * CASE WHEN horizon_day <= 365 THEN year1 ELSE year2 END)")}
-FROM x_preds, (VALUES (0.9::DOUBLE), (1.0::DOUBLE)) a(year1), (VALUES (0.8::DOUBLE), (1.0::DOUBLE)) b(year2) GROUP BY 1, 2, 3""")
+FROM x_preds, {values("year1", YEAR1)}, {values("year2", YEAR2)} GROUP BY 1, 2, 3""")
 def _(shop):
-    return B.horizon_scale(preds(shop), [0.9, 1.0], [0.8, 1.0])
+    return B.horizon_scale(preds(shop), YEAR1, YEAR2)
 
 
 @query("F16c_ensemble", f"fold:s w:d scale:d {METRICS}", f"""
 SELECT fold, w, scale, {metric_sql("actual_revenue", "((w * pred_direct + (1 - w) * pred_component) * scale)")}
-FROM x_preds, (VALUES (0.0::DOUBLE), (0.3::DOUBLE), (1.0::DOUBLE)) a(w), (VALUES (0.9::DOUBLE), (1.0::DOUBLE)) b(scale) GROUP BY 1, 2, 3""")
+FROM x_preds, {values("w", WEIGHTS)}, {values("scale", SCALES)} GROUP BY 1, 2, 3""")
 def _(shop):
-    return B.ensemble(preds(shop), [0.0, 0.3, 1.0], [0.9, 1.0])
+    return B.ensemble(preds(shop), WEIGHTS, SCALES)
 
 
-view("x_levels", """
-WITH k AS (SELECT * FROM (VALUES (14), (30), (90)) v("window")),
+view("x_levels", f"""
+WITH k AS (SELECT * FROM {values("window", WINDOWS, "INT")}),
      r AS (SELECT fold, "window", avg(revenue) AS recent FROM x_history, x_folds, k WHERE date <= train_end AND train_end - date < "window" GROUP BY 1, 2),
      f AS (SELECT fold, avg(pred_current) AS first_mean FROM x_preds WHERE horizon_day <= 30 GROUP BY 1)
 SELECT fold, "window", recent / first_mean AS multiplier FROM r JOIN f USING (fold)
@@ -311,33 +346,33 @@ SELECT fold, "window", multiplier, {metric_sql("actual_revenue", "(pred_current
 def _(shop):
     rows = history(shop)
     table = checkpointed(B.fold_predictions(rows, FOLDS))
-    return B.recent_level(table, rows, FOLDS, [14, 30, 90])
+    return B.recent_level(table, rows, FOLDS, WINDOWS)
 
 
 @query("F18_growth_multiplier", f"fold:s growth:d {METRICS}", f"""
 SELECT fold, growth, {metric_sql("actual_revenue", "(pred_current * pow(1 + growth, (horizon_day - 1) / 365.0::DOUBLE))")}
-FROM x_preds, (VALUES (-0.1::DOUBLE), (0.0::DOUBLE), (0.1::DOUBLE)) g(growth) GROUP BY 1, 2""")
+FROM x_preds, {values("growth", RATES)} GROUP BY 1, 2""")
 def _(shop):
-    return B.growth_multiplier(preds(shop), [-0.1, 0.0, 0.1])
+    return B.growth_multiplier(preds(shop), RATES)
 
 
 @query("F19_seasonal_blend", f"fold:s alpha:d {METRICS}", f"""
 SELECT p.fold, alpha, {metric_sql("actual_revenue", "(alpha * pred_current + (1 - alpha) * v)")}
-FROM x_preds p JOIN x_naive n ON n.fold = p.fold AND n.date = p.date, (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) g(alpha) GROUP BY 1, 2""")
+FROM x_preds p JOIN x_naive n ON n.fold = p.fold AND n.date = p.date, {values("alpha", WEIGHTS)} GROUP BY 1, 2""")
 def _(shop):
     table = preds(shop)
     naive = table.select("fold", "date", F.col("pred_direct").alias("revenue_naive"))
-    return B.seasonal_blend(table, naive, [0.0, 0.5, 1.0])
+    return B.seasonal_blend(table, naive, WEIGHTS)
 
 
 @query("F20_cogs_scale_cap", f"fold:s scale:d cap_name:s {METRICS} days_above_revenue:i max_share:d mean_share:d", f"""
 WITH g AS (SELECT *, CASE WHEN cap IS NULL THEN pred_cogs * scale ELSE least(pred_cogs * scale, pred_current * cap) END AS c,
-                  CASE WHEN cap IS NULL THEN 'no_cap' ELSE 'cap_0.30' END AS cap_name
-           FROM x_preds, (VALUES (0.9::DOUBLE), (1.1::DOUBLE)) a(scale), (VALUES (NULL::DOUBLE), (0.3::DOUBLE)) b(cap))
+                  CASE WHEN cap IS NULL THEN 'no_cap' ELSE 'cap_' || printf('%.2f', cap) END AS cap_name
+           FROM x_preds, {values("scale", COGS_SCALES)}, {values("cap", COGS_CAPS)})
 SELECT fold, scale, cap_name, {metric_sql("actual_cogs", "c")}, count(*) FILTER (c > pred_current) AS days_above_revenue,
        max(c / pred_current) AS max_share, avg(c / pred_current) AS mean_share FROM g GROUP BY 1, 2, 3""")
 def _(shop):
-    return B.cogs_scale_cap(preds(shop), [0.9, 1.1], [None, 0.3])
+    return B.cogs_scale_cap(preds(shop), COGS_SCALES, COGS_CAPS)
 
 
 SUMMARY = """avg(mae) AS all_mae, avg(rmse) AS all_rmse, avg(r2) AS all_r2, avg(bias) AS all_bias, avg(mean_ratio) AS all_mean_ratio,

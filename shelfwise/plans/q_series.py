@@ -386,7 +386,12 @@ def _(shop):
 
 @query("T34_partial_autocorrelation", "series:s lag:i partial_correlation:d pairs:i")
 def _(shop):
-    return T.partial_autocorrelation(C.daily(shop), "revenue", 20)
+    """Per category and for all of them."""
+    day = F.col("order_date").alias("date")
+    parts = shop.lines.groupBy("category", day).agg(F.sum("revenue").alias("revenue"))
+    parts = T.densify(parts, {"revenue": 0.0}, ["category"]).select("category", "date", "revenue")
+    whole = C.daily(shop).select(F.lit("all").alias("category"), "date", "revenue")
+    return T.partial_autocorrelation(parts.unionByName(whole), "revenue", 60, "category")
 
 
 @query("T35_cross_correlation", "lag:i feature:s correlation:d pairs:i", """
