@@ -200,3 +200,19 @@ def test_reconcile_with_itself(spark):
     df = spark.createDataFrame([(DAY + dt.timedelta(days=i), float(i)) for i in range(5)], "date date, v double")
     row = Q.reconcile_series(df, df, "v").first()
     assert row.correlation == pytest.approx(1.0) and row.total_difference == 0
+
+
+def test_references_come_from_known_days_only(spark):
+    def features(level):
+        rows = [
+            (DAY + dt.timedelta(days=i), v, v / 2, 3, v / 3, 0.5)
+            for i in range(500)
+            for v in [100.0 + i % 7 if i < 400 else level]
+        ]
+        whole = spark.createDataFrame(rows, "date date, revenue double, cogs double, orders long, aov double, cogs_ratio double")
+        known = whole.where(F.col("date") < F.lit(DAY + dt.timedelta(days=400)))
+        table = M.feature_matrix(whole, M.annual_growth(known), known=known)
+        return {r.date: r.revenue_seasonal_base for r in table.select("date", "revenue_seasonal_base").collect()}
+
+    one, other = features(5.0), features(900.0)
+    assert len(one) == 500 and one == pytest.approx(other)
