@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import (
+    bpe,
     decontaminate,
     hnsw,
     html_text,
@@ -14,8 +15,10 @@ from shelfwise.llm import (
     mixing,
     quality,
     quotations,
+    repeats,
     secrets,
     sharding,
+    token_links,
     unigram,
 )
 
@@ -75,6 +78,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, folder, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in all documents."""
+    return token_links.measured(_table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of all documents, a tenth of which get a planted one."""
+    return repeats.digests(repeats.periodic_runs(_table(spark, folder, "documents"), repeats.planted))
+
+
+def op13_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    return bpe.digests(bpe.decoded(bpe.encoded(_table(spark, folder, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -88,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_qgram_decontamination,
         op9_lookup_sharding,
         op10_ngram_jaccard_join,
+        op11_token_alignment,
+        op12_periodic_runs,
+        op13_tree_bpe,
     )
 }
 

@@ -153,3 +153,11 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
+
+
+def gathered(table: pa.Array, places: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The entries of a large binary array at ``places``, one after another, and where each begins and the last ends."""
+    if not len(places):
+        return memoryview(b""), np.zeros(1, dtype=np.int64)
+    _, offsets, data = table.take(pa.array(places)).buffers()
+    return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(offsets, dtype=np.int64)[: len(places) + 1]
