@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import horizon_band, ratio
 from shelfwise.operators.forecast import seasonal_naive
 from shelfwise.operators.joins import with_grid
+from shelfwise.operators.recursion import coming_days, fit_linear, known_features, linear_models, recursive_forecast, training_rows
+from shelfwise.sources.session import checkpointed
 
 Fold = tuple[str, str, str, str]  # name, last training day, first and last validation day
 
@@ -265,12 +267,8 @@ def refined_scales(preds: DataFrame, coarse: Sequence[float], reach: int = 5) ->
 
 
 def blend_weights(preds: DataFrame, steps: int = 10) -> DataFrame:
-    """Weight of the direct prediction with the lowest RMSE, smallest on ties."""
-    grid = [{"w": i / steps} for i in range(steps + 1)]
-    scored = forecast_metrics(with_grid(preds, grid), "actual_revenue", blend(), ["w"])
-    return scored.select("w", "rmse").withColumn(
-        "is_best", F.row_number().over(Window.orderBy(F.round("rmse", 6), "w")) == 1
-    )
+    """Weight of the direct revenue prediction with the lowest RMSE, smallest on ties."""
+    return blend_weights_of(preds, "actual_revenue", "pred_direct", "pred_component", steps)
 
 
 def candidate_comparison(preds: DataFrame, revenue: Sequence[Mapping[str, object]], cogs: Sequence[Mapping[str, object]], recent: Sequence[str] = ("C", "D")) -> DataFrame:
@@ -295,3 +293,42 @@ def candidate_comparison(preds: DataFrame, revenue: Sequence[Mapping[str, object
         *[mean(m, late).alias(f"cogs_{m}_recent") for m in names],
     )
     return a.join(b, keys[:2])
+
+
+# --- predictions of fitted models ---------------------------------------------------
+
+def model_predictions(history: DataFrame, folds: Sequence[Fold], weights: tuple[float, float] = (0.5, 0.5), since: int = 2013) -> DataFrame:
+    """Fold by date table of actuals and recursive predictions of models fitted on each fold's training days.
+
+    All folds and targets are fitted from one aggregate. Three recursions run per fold: from the direct models, from the
+    component models, and from both with ``weights``; each feeds on its own values, so the third is no mean of the others.
+    """
+    rows = rolling_origin(history, folds)
+    train, ahead = checkpointed(rows.where("role = 'train'").drop("role", "horizon_day")), rows.where("role = 'validate'")
+    features, growth = known_features(train, ["fold"], since)
+    models = linear_models(fit_linear(training_rows(features, ["fold"]), ["fold"]), ["fold"])
+    variants = {"direct": (1.0, 1.0), "component": (0.0, 0.0), "current": weights}
+    found = recursive_forecast(train, coming_days(train, ahead, growth, ["fold"]), models, variants, ["fold"])
+    of = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
+    wide = found.groupBy(F.col("series").alias("fold"), "date").agg(
+        *[of(v, "revenue").alias(f"pred_{v}") for v in variants],
+        of("current", "cogs").alias("pred_cogs"),
+        of("direct", "cogs").alias("pred_cogs_direct"),
+        of("component", "cogs").alias("pred_cogs_component"),
+        *[of("current", c).alias(f"pred_{c}") for c in ("orders", "aov", "cogs_ratio")],
+    )
+    actual = ahead.select("fold", "date", "horizon_day", F.col("revenue").alias("actual_revenue"), F.col("cogs").alias("actual_cogs"))
+    return actual.join(wide, ["fold", "date"])
+
+
+def blend_weights_of(preds: DataFrame, actual: str, direct: str, component: str, steps: int = 10) -> DataFrame:
+    """Weight of one prediction against another with the lowest RMSE, smallest on ties."""
+    grid = [{"w": i / steps} for i in range(steps + 1)]
+    value = F.col("w") * F.col(direct) + (1 - F.col("w")) * F.col(component)
+    scored = forecast_metrics(with_grid(preds, grid), actual, value, ["w"])
+    return scored.select("w", "rmse").withColumn("is_best", F.row_number().over(Window.orderBy(F.round("rmse", 6), "w")) == 1)
+
+
+def best_weight(table: DataFrame) -> float:
+    """The chosen weight of a weight table."""
+    return float(table.where("is_best").first()["w"])

@@ -1,16 +1,12 @@
-"""History, seasonal profiles, features, models and recursive forecasts."""
+"""History, seasonal profiles, features, single models and baselines."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +71,20 @@ def annual_growth(
     since: int = 2013,
     carry: float = CARRY,
     boost: Mapping[str, float] = BOOST,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """One row of yearly growth factors per series.
+    """One row of yearly growth factors of every column (per ``keys``, if given).
 
-    A positive last change is carried forward, times the boost of its series; with
+    A positive last change is carried forward, times the boost of its column; with
     ``carry=0``, after a fall and for ratios the geometric mean of the changes since a
     year is used. Both are limited.
     """
-    years = history.groupBy(F.year("date").alias("year")).agg(
+    years = history.groupBy(*keys, F.year("date").alias("year")).agg(
         *[F.nullif(F.avg(c), F.lit(0.0)).alias(c) for c in columns]
     )
-    order = Window.orderBy("year")
+    order = Window.partitionBy(*keys).orderBy("year")
     moved = years.select(
-        "year", *[change(F.col(c), F.lag(c).over(order)).alias(c) for c in columns]
+        *keys, "year", *[change(F.col(c), F.lag(c).over(order)).alias(c) for c in columns]
     )
     out = []
     for c in columns:
@@ -97,36 +94,46 @@ def annual_growth(
         use = (last > 0) & F.lit(carry > 0 and c in BOOSTED)
         growth = F.when(F.coalesce(use, F.lit(False)), carried).otherwise(F.coalesce(steady, F.lit(1.0)))
         out.append(clip(growth, GROWTH_LOW, GROWTH_HIGH).alias(c))
-    return moved.agg(*out)
+    return moved.groupBy(*keys).agg(*out)
 
 
-def seasonal_profile(history: DataFrame, columns: Sequence[str] = SERIES) -> DataFrame:
+def seasonal_profile(history: DataFrame, columns: Sequence[str] = SERIES, keys: Sequence[str] = ()) -> DataFrame:
     """Value over its year's mean, averaged per month and day."""
-    year = Window.partitionBy(F.year("date"))
+    year = Window.partitionBy(*keys, F.year("date"))
     normed = history.select(
+        *keys,
         F.month("date").alias("month"),
         F.dayofmonth("date").alias("day"),
         *[ratio(F.col(c), F.avg(c).over(year)).alias(c) for c in columns],
     )
-    return normed.groupBy("month", "day").agg(*[F.avg(c).alias(f"{c}_profile") for c in columns])
+    return normed.groupBy(*keys, "month", "day").agg(*[F.avg(c).alias(f"{c}_profile") for c in columns])
 
 
-def latest_level(history: DataFrame, columns: Sequence[str] = SERIES) -> DataFrame:
-    """Mean of the last year on record, in one row."""
-    years = history.groupBy(F.year("date").alias("year")).agg(*[F.avg(c).alias(c) for c in columns])
-    return years.agg(
+def latest_level(history: DataFrame, columns: Sequence[str] = SERIES, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of the last year on record, in one row (per ``keys``)."""
+    years = history.groupBy(*keys, F.year("date").alias("year")).agg(*[F.avg(c).alias(c) for c in columns])
+    return years.groupBy(*keys).agg(
         F.max("year").alias("year"), *[F.max_by(c, "year").alias(c) for c in columns]
     )
 
 
-def seasonal_baseline(history: DataFrame, dates: DataFrame, growth: DataFrame, columns: Sequence[str] = SERIES) -> DataFrame:
+def with_row(df: DataFrame, row: DataFrame, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Add the one row of ``row`` (the one of equal ``keys``) as a struct column."""
+    if not keys:
+        return df.withColumn(name, row.select(F.struct("*")).scalar())
+    return df.join(row.select(*keys, F.struct(*[c for c in row.columns if c not in keys]).alias(name)), list(keys), "left")
+
+
+def seasonal_baseline(
+    history: DataFrame, dates: DataFrame, growth: DataFrame, columns: Sequence[str] = SERIES, keys: Sequence[str] = ()
+) -> DataFrame:
     """Level times growth to the power of years ahead times profile (1 where unknown)."""
-    level = latest_level(history, columns).select(F.struct("*")).scalar()
-    rates = growth.select(F.struct(*columns)).scalar()
     keyed = dates.withColumns({"month": F.month("date"), "day": F.dayofmonth("date")})
-    joined = keyed.join(seasonal_profile(history, columns), ["month", "day"], "left")
+    joined = keyed.join(seasonal_profile(history, columns, keys), [*keys, "month", "day"], "left")
+    joined = with_row(joined, latest_level(history, columns, keys), "_l", keys)
+    joined = with_row(joined, growth.select(*keys, *columns), "_g", keys)
     ahead = F.year("date") - F.col("_l.year")
-    return joined.withColumns({"_l": level, "_g": rates}).select(
+    return joined.select(
         *dates.columns,
         *[
             (
@@ -227,96 +234,6 @@ def feature_importance(model: PipelineModel, columns: Sequence[str], spark, n: i
     return table.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-@dataclass(frozen=True)
-class LogLinear:
-    """Weights of a linear model on logs, small enough to travel with a task."""
-
-    columns: tuple[str, ...]
-    weights: tuple[float, ...]
-    intercept: float
-
-    def value(self, row: Mapping[str, float]) -> float:
-        x = np.array([row[c] for c in self.columns])
-        x = np.where(np.isnan(x), 0.0, x)
-        total = self.intercept + float(np.dot(self.weights, np.log1p(np.maximum(x, 0.0))))
-        return max(float(np.expm1(min(total, 50.0))), 0.0)
-
-
-def fit_log_linear(features: DataFrame, columns: Sequence[str], penalty: float = 0.05) -> LogLinear:
-    """Regularised linear model of log target on log features."""
-    positive = [F.log1p(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).alias(c) for c in columns]
-    ready = features.where("target IS NOT NULL").select(
-        F.log1p(F.greatest("target", F.lit(0.0))).alias("label"), *positive
-    )
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(ready)
-    fitted = LinearRegression(regParam=penalty, solver="normal").fit(assembled)
-    return LogLinear(tuple(columns), tuple(fitted.coefficients.toArray()), float(fitted.intercept))
-
-
-def next_day_features(names: Sequence[str], state: Mapping[str, Sequence[float]], row: Mapping[str, float]) -> dict[str, float]:
-    """``row`` with the features of the day after ``state``, as :func:`history_features` has them; NaN is unknown."""
-    out = dict(row)
-
-    def back(values: Sequence[float], k: int) -> float:
-        return values[-k] if k <= len(values) else float("nan")
-
-    for name in names:
-        if m := re.match(r"(\w+)_lag_(\d+)$", name):
-            out[name] = back(state[m[1]], int(m[2]))
-        elif m := re.match(r"(\w+)_roll_(mean|std)_(\d+)$", name):
-            tail = np.array(state[m[1]][-int(m[3]) :], dtype=float)
-            tail = tail[~np.isnan(tail)]
-            if len(tail) < least_values(int(m[3])):
-                out[name] = float("nan")
-            else:
-                out[name] = float(tail.mean() if m[2] == "mean" else tail.std(ddof=1))
-        elif m := re.match(r"(\w+)_yoy_lag_mean$", name):
-            year = np.array([back(state[m[1]], k) for k in (364, 365, 366)], dtype=float)
-            out[name] = float(np.nanmean(year)) if not np.isnan(year).all() else float("nan")
-    return out
-
-
-def recursive_forecast(
-    history: DataFrame,
-    bases: DataFrame,
-    models: Mapping[str, LogLinear],
-    revenue_weight: float = 0.5,
-    cogs_weight: float = 0.5,
-    series: str | None = None,
-) -> DataFrame:
-    """Day-by-day forecast that feeds its own values back into the lags.
-
-    ``bases`` holds the forecast dates with their seasonal bases, ``time_index`` and
-    cyclical columns. Direct and component predictions are blended. One task per
-    series; a series has one row per calendar day.
-    """
-    wanted = sorted({c for m in models.values() for c in m.columns})
-    fixed = [c for c in wanted if not re.search(r"_(lag|roll|yoy)_", c)]
-    label = F.col(series).cast("string") if series else F.lit("all")
-    past = history.select(label.alias("series"), "date", *[F.col(c).cast("double") for c in SERIES])
-    ahead = bases.select(label.alias("series"), "date", *fixed)
-
-    def run(key: tuple, known: pd.DataFrame, future: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("date")
-        state = {c: known[c].tolist() for c in SERIES}
-        rows = []
-        for row in future.sort_values("date").to_dict("records"):
-            x = next_day_features(wanted, state, row)
-            p = {name: model.value(x) for name, model in models.items()}
-            revenue = revenue_weight * p["revenue"] + (1 - revenue_weight) * p["orders"] * p["aov"]
-            cogs = cogs_weight * p["cogs"] + (1 - cogs_weight) * revenue * p["cogs_ratio"]
-            aov = revenue / p["orders"] if p["orders"] > 1e-9 else p["aov"]
-            share = cogs / revenue if revenue > 1e-9 else p["cogs_ratio"]
-            for name, value in zip(SERIES, (revenue, cogs, p["orders"], aov, share), strict=True):
-                state[name].append(value)
-            rows.append((key[0], row["date"], round(revenue, 2), round(cogs, 2)))
-        return pd.DataFrame(rows, columns=["series", "date", "revenue", "cogs"])
-
-    return past.groupBy("series").cogroup(ahead.groupBy("series")).applyInPandas(
-        run, "series string, date date, revenue double, cogs double"
-    )
-
-
 # --- baselines ------------------------------------------------------------------
 
 def seasonal_naive(history: DataFrame, dates: DataFrame, value: str = "revenue", horizon: int = 364, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import backtest as B
 from shelfwise.operators import forecast as M
 from shelfwise.operators import quality as Q
+from shelfwise.operators import recursion as R
 from shelfwise.operators import report as V
 from shelfwise.operators import seasonality as E
 from shelfwise.operators import traffic as W
@@ -153,19 +154,79 @@ def _(shop):
     return M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue")
 
 
-@query("F08_recursive_forecast", "date:t revenue:d cogs:d")
+def forecast_parts(shop):
+    """Features of the training days, and the days after them with their seasonal bases."""
+    features, growth = R.known_features(train(shop), since=1996)
+    return checkpointed(features), R.coming_days(train(shop), future(shop), growth)
+
+
+def chosen_weights(shop):
+    """The shares of the direct models that did best over the folds."""
+    table = model_preds(shop)
+    revenue = B.blend_weights(table)
+    cogs = B.blend_weights_of(table, "actual_cogs", "pred_cogs_direct", "pred_cogs_component")
+    return B.best_weight(revenue), B.best_weight(cogs)
+
+
+@query("F08_recursive_forecast", "date:t revenue:d cogs:d orders:d aov:d")
 def _(shop):
-    rows = train(shop)
-    growth = M.annual_growth(rows, since=1996, carry=0.0)
-    everything = checkpointed(M.feature_matrix(rows, growth))
-    models = {
-        name: M.fit_log_linear(everything.withColumn("target", F.col(name)), M.FEATURES[name])
-        for name in M.SERIES
-    }
-    ahead = M.seasonal_baseline(rows, future(shop).select("date"), growth)
-    first = rows.agg(F.min("date")).scalar()
-    bases = M.calendar_features(ahead.withColumn("_first", first), F.col("_first"))
-    return M.recursive_forecast(rows, bases, models)
+    """By boosted trees, blended with the weights that did best in the backtests."""
+    features, bases = forecast_parts(shop)
+    models = {"all": R.fit_trees(features)}
+    return R.recursive_forecast(train(shop), bases, models, {"blend": chosen_weights(shop)})
+
+
+def category_history(shop):
+    """Daily history of every category."""
+    baskets = shop.lines.groupBy("category", F.col("order_date").alias("date"), "order_id").agg(
+        F.sum("revenue").alias("revenue"), F.sum("cost").alias("cogs")
+    )
+    days = baskets.groupBy("category", "date").agg(
+        F.sum("revenue").alias("revenue"), F.sum("cogs").alias("cogs"), F.count("*").alias("orders")
+    )
+    return checkpointed(M.load_history(days, ["category"]))
+
+
+def category_forecast(shop):
+    """Recursive forecasts of all categories by linear models fitted at once, with what they rest on."""
+    rows = category_history(shop)
+    known, ahead = M.until(rows, CUT), rows.where(F.col("date") > F.lit(CUT).cast("date"))
+    features, growth = R.known_features(known, ["category"], since=1996)
+    fitted = checkpointed(R.fit_linear(R.training_rows(features, ["category"]), ["category"]))
+    bases = R.coming_days(known, ahead, growth, ["category"])
+    found = R.recursive_forecast(known, bases, R.linear_models(fitted, ["category"]), {"blend": (0.5, 0.5)}, ["category"])
+    return rows, fitted, found
+
+
+@query("F08b_category_forecast", "category:s date:t revenue:d cogs:d orders:d")
+def _(shop):
+    return category_forecast(shop)[2].withColumnRenamed("series", "category")
+
+
+@query("F08c_category_checks", "category:s days:i first_date:t last_date:t known:b first_day:b", """
+WITH b AS (SELECT category, order_date, order_id FROM x_lines GROUP BY 1, 2, 3),
+     s AS (SELECT category, min(order_date) AS a, max(order_date) AS z FROM b GROUP BY 1)
+SELECT category, z - DATE '2000-12-31' AS days, DATE '2001-01-01' AS first_date, z AS last_date, true AS known, true AS first_day FROM s""")
+def _(shop):
+    """Every day once, nothing unknown or negative, and the first day as the models give it from the known values."""
+    rows, fitted, found = category_forecast(shop)
+    start = F.date_add(F.lit(CUT).cast("date"), 1)
+    known = M.until(rows, CUT)
+    growth = M.annual_growth(known, since=1996, keys=["category"])
+    day = M.history_features(rows, series=["category"]).where(F.col("date") == start).drop(*M.SERIES)
+    day = day.join(R.coming_days(known, day, growth, ["category"]), ["category", "date"])
+    blank = day.withColumns({c: F.lit(0.0) for c in M.SERIES})  # only the features count
+    fit = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+    value = F.greatest(F.expm1(fit), F.lit(0.0))
+    direct = R.training_rows(blank, ["category"]).join(fitted, ["category", "model"]).groupBy("category").pivot("model", M.SERIES).agg(F.first(value))
+    want = direct.select("category", (0.5 * F.col("revenue") + 0.5 * F.col("orders") * F.col("aov")).alias("want"))
+    rest = found.withColumnRenamed("series", "category").join(want, "category")
+    off = F.abs(F.col("revenue") - F.col("want")) > 1e-6 * (1 + F.abs("want"))
+    good = F.greatest(*M.SERIES).isNotNull() & (F.least(*M.SERIES) >= 0) & ~F.isnan(F.least(*M.SERIES))
+    return rest.groupBy("category").agg(
+        F.count("*").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.bool_and(good).alias("known"), (F.count_if((F.col("date") == start) & off) == 0).alias("first_day"),
+    )
 
 
 @query("F09_gbt_predictions", "date:t target:d predicted:d")
@@ -215,8 +276,17 @@ SELECT *, (pred_direct + pred_component) / 2 AS pred_current, (pred_direct + pre
 
 
 def preds(shop):
-    """Fold predictions, stored once: every grid point reads them."""
-    return checkpointed(B.fold_predictions(history(shop), FOLDS))
+    """Fold predictions of the baselines, stored once per shop: every grid point reads them."""
+    if "fold_table" not in vars(shop):
+        shop.fold_table = checkpointed(B.fold_predictions(history(shop), FOLDS))
+    return shop.fold_table
+
+
+def model_preds(shop):
+    """Fold predictions of fitted models, stored once per shop."""
+    if "model_table" not in vars(shop):
+        shop.model_table = checkpointed(B.model_predictions(history(shop), FOLDS, since=1996))
+    return shop.model_table
 
 
 @query("F11_seasonal_naive", "fold:s date:t revenue_naive:d", "SELECT fold, date, v AS revenue_naive FROM x_naive")
@@ -344,9 +414,7 @@ SELECT fold, "window", recent / first_mean AS multiplier FROM r JOIN f USING (fo
 @query("F17_recent_level", f"fold:s window:i multiplier:d {METRICS}", f"""
 SELECT fold, "window", multiplier, {metric_sql("actual_revenue", "(pred_current * multiplier)")} FROM x_preds JOIN x_levels USING (fold) GROUP BY 1, 2, 3""")
 def _(shop):
-    rows = history(shop)
-    table = checkpointed(B.fold_predictions(rows, FOLDS))
-    return B.recent_level(table, rows, FOLDS, WINDOWS)
+    return B.recent_level(preds(shop), history(shop), FOLDS, WINDOWS)
 
 
 @query("F18_growth_multiplier", f"fold:s growth:d {METRICS}", f"""
@@ -448,6 +516,70 @@ def _(shop):
     return B.strategy_apply(preds(shop), STRATEGIES)
 
 
+# --- the same on predictions of fitted models: SQL has no part in the fits, so what must hold is checked --------------
+
+@query("F13c_model_predictions", "fold:s date:t horizon_day:i actual_revenue:d actual_cogs:d pred_direct:d pred_component:d pred_current:d pred_cogs:d pred_orders:d pred_aov:d")
+def _(shop):
+    return model_preds(shop)
+
+
+@query("F13d_model_checks", "fold:s days:i first_date:t last_date:t steps:i actual_revenue:d known:b first_day:b", """
+SELECT fold, count(*) AS days, min(date) AS first_date, max(date) AS last_date, max(date - val_start + 1) AS steps, sum(revenue) AS actual_revenue,
+       true AS known, true AS first_day FROM x_history JOIN x_folds ON date BETWEEN val_start AND val_end GROUP BY 1""")
+def _(shop):
+    """Every validation day once, nothing unknown or negative, and on the first day, when the three recursions still
+    know the same, the blend is the mean of the others."""
+    named = ["pred_direct", "pred_component", "pred_current", "pred_cogs", "pred_orders", "pred_aov", "pred_cogs_ratio"]
+    mean = (F.col("pred_direct") + F.col("pred_component")) / 2
+    off = F.abs(F.col("pred_current") - mean) > 1e-6 * (1 + mean)
+    low = F.least(*[F.coalesce(c, F.lit(-1.0)) for c in named])
+    return model_preds(shop).groupBy("fold").agg(
+        F.count("*").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("horizon_day").alias("steps"),
+        F.sum("actual_revenue").alias("actual_revenue"), F.bool_and((low >= 0) & ~F.isnan(low)).alias("known"),
+        (F.count_if((F.col("horizon_day") == 1) & off) == 0).alias("first_day"),
+    )
+
+
+@query("F13e_model_optimum", "fold:s model:s rows:i optimal:b", f"""
+SELECT fold, model, count(*) AS rows, true AS optimal FROM x_history JOIN x_folds ON date <= train_end,
+       (VALUES {", ".join(f"('{m}')" for m in M.SERIES)}) m(model) GROUP BY 1, 2""")
+def _(shop):
+    """All models of all folds from one pass: at the optimum mean residual and penalised gradient are zero."""
+    known = B.rolling_origin(history(shop), FOLDS).where("role = 'train'").drop("role", "horizon_day")
+    features, _ = R.known_features(known, ["fold"], since=1996)
+    rows = checkpointed(R.training_rows(features, ["fold"]))
+    found = R.gradients(rows, R.fit_linear(rows, ["fold"]), ["fold"])
+    best = (F.col("residual") < 1e-6) & (F.coalesce("gradient", F.lit(0.0)) < 1e-6)
+    return found.withColumn("optimal", best)
+
+
+def on_models(name, columns, build):
+    """Register a calibration step over the models' predictions."""
+    query(name, columns)(lambda shop: build(model_preds(shop), shop))
+
+
+BOTH = {"revenue": ("actual_revenue", "pred_current"), "cogs": ("actual_cogs", "pred_cogs")}
+on_models("F14m_bias", "fold:s target:s actual_mean:d prediction_mean:d bias:d mean_ratio:d volatility_ratio:d", lambda t, shop: B.bias_table(t, BOTH))
+on_models("F15m_horizons", f"fold:s band:s {METRICS}", lambda t, shop: B.metrics_by_horizon(t, "actual_revenue", "pred_current"))
+on_models("F15n_months", f"fold:s month:i {METRICS}", lambda t, shop: B.metrics_by_month(t, "actual_revenue", "pred_current"))
+on_models("F16m_global_scale", f"fold:s scale:d {METRICS}", lambda t, shop: B.global_scale(t, SCALES))
+on_models("F16n_horizon_scale", f"fold:s year1:d year2:d {METRICS}", lambda t, shop: B.horizon_scale(t, YEAR1, YEAR2))
+on_models("F16o_ensemble", f"fold:s w:d scale:d {METRICS}", lambda t, shop: B.ensemble(t, WEIGHTS, SCALES))
+on_models("F17m_recent_level", f"fold:s window:i multiplier:d {METRICS}", lambda t, shop: B.recent_level(t, history(shop), FOLDS, WINDOWS))
+on_models("F18m_growth", f"fold:s growth:d {METRICS}", lambda t, shop: B.growth_multiplier(t, RATES))
+on_models("F19m_seasonal_blend", f"fold:s alpha:d {METRICS}", lambda t, shop: B.seasonal_blend(
+    t, preds(shop).select("fold", "date", F.col("pred_direct").alias("revenue_naive")), WEIGHTS))
+on_models("F20m_cogs_cap", f"fold:s scale:d cap_name:s {METRICS} days_above_revenue:i", lambda t, shop: B.cogs_scale_cap(t, COGS_SCALES, COGS_CAPS))
+on_models("F21m_refined", f"scale:d {SUMMARY_COLUMNS}", lambda t, shop: B.refined_scales(t, SCALES))
+on_models("F22m_summary", f"scale:d {SUMMARY_COLUMNS}", lambda t, shop: B.summarize_grid(B.global_scale(t, SCALES), ["scale"]))
+on_models("F23m_best", f"scale:d {SUMMARY_COLUMNS}", lambda t, shop: B.select_best(B.summarize_grid(B.global_scale(t, SCALES), ["scale"])))
+on_models("F24m_weights", "w:d rmse:d is_best:b", lambda t, shop: B.blend_weights(t))
+on_models("F24n_cogs_weights", "w:d rmse:d is_best:b", lambda t, shop: B.blend_weights_of(t, "actual_cogs", "pred_cogs_direct", "pred_cogs_component"))
+on_models("F25m_candidates", "revenue_strategy:s cogs_strategy:s revenue_mae_all:d revenue_r2_all:d revenue_mae_recent:d cogs_mae_all:d cogs_rmse_recent:d",
+          lambda t, shop: B.candidate_comparison(t, STRATEGIES, [{"name": "plain"}, {"name": "capped", "scale": 0.95, "cap": 0.35}]))
+on_models("F26m_strategies", "name:s fold:s date:t predicted:d", lambda t, shop: B.strategy_apply(t, STRATEGIES))
+
+
 @query("F27_horizon_awareness", "lag:i known_days:i recursive_days:i first_recursive:t recursive_share:d", """
 WITH s AS (SELECT min(date) AS s FROM x_future)
 SELECT k AS lag, count(*) FILTER (date - k < s) AS known_days, count(*) FILTER (date - k >= s) AS recursive_days,
