@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 LEAF, WINDOW = 256, 4
 #: Texts of more bytes are shared among tasks, in parts of about ``PART`` bytes.
 LONG, PART = 1 << 20, 1 << 16
-#: Segments kept with their ids by a Python worker, and the longest of them.
-MEMO, MEMO_CHARS = 1 << 19, 48
+#: Segments kept with their ids by a Python worker (twice as many at most), and the longest of them.
+MEMO, MEMO_CHARS = 1 << 18, 48
 
 # Fixed value: how the byte-level pre-tokenizer splits text.
 WORDS = regex.compile(
@@ -151,14 +152,14 @@ class Encoder:
 
     def segment(self, text: str) -> list[int]:
         """The ids of a text without special tokens."""
-        if len(words := WORDS.findall(text)) == 1:
+        if text.removeprefix(" ").isalpha():  # a run of letters is one word
             return self.word(text.encode())
+        words = WORDS.findall(text)
         return [x for w in words for x in self.word(w.encode())]
 
     def text(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        self.memo.age()
         known = self.memo.__getitem__
         if self.special is None or not self.special.search(text):
             return np.frombuffer(b"".join(map(known, _CUTS.split(text))), dtype=np.int32)
@@ -169,22 +170,30 @@ class Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype=np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 class _Memo(dict):
-    """Segments and their packed ids."""
+    """Segments and their packed ids: those used since the last turn, and behind them those of the turn before."""
 
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = _packed(self.encoder.segment(text))
+        found = self.older.get(text)
+        if found is None:
+            found = _packed(self.encoder.segment(text))
         if len(text) <= MEMO_CHARS:
             self[text] = found
         return found
 
+    def age(self) -> None:
+        """Forget what was not used for a whole turn."""
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
 
 _vocabularies: dict[str, Vocabulary] = {}
 _encoders: dict[tuple, Encoder] = {}
@@ -240,8 +249,10 @@ def parts_of(text: str, special: re.Pattern | None, part: int = PART) -> Iterato
             yield 0, "".join(whole).encode()
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARY, special: bool = True, long_bytes: int = LONG, part: int = PART) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, ids (array of int).
+def encoded(
+    docs: DataFrame, path: str = VOCABULARY, special: bool = True, long_bytes: int = LONG, part: int = PART, again: bool = False
+) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, ids (array of int); with ``again`` also decoded, their text.
 
     The ids are those of the tokenizers library without added tokens; with ``special`` the strings of special tokens in a
     text are those tokens. A null or empty text has no ids. Repeated rows, null ids and other columns need no care. Each
@@ -250,11 +261,15 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, special: bool = True, long_
     rows = docs.select("doc_id", "text")
     is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
 
+    def finished(doc_ids: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        texts = [texts_of(vocabulary(path), ids)] if again else []
+        return pa.RecordBatch.from_arrays([doc_ids, ids, *texts], names=["doc_id", "ids", "decoded"][: 2 + len(texts)])
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, special)
         for batch in pieces(batches, 1):
-            ids = [tool.text(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(ids)], names=["doc_id", "ids"])
+            ids = id_lists([tool.text(t.as_py() or "") for t in batch.column(1)])
+            yield finished(batch.column(0), ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, special)
@@ -300,13 +315,27 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, special: bool = True, long_
             else:
                 done.append(ids.values.to_numpy())
         close()
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": id_lists([np.concatenate(done)])})
+        doc_id = table.column("doc_id").slice(0, 1).combine_chunks()
+        return pa.Table.from_batches([finished(doc_id, id_lists([np.concatenate(done)]))])
 
     split = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = split.mapInArrow(cut, "row long, doc_id long, at long, kind int, raw binary")
     shared = parts.repartition("row", "at").mapInArrow(encode_part, "row long, doc_id long, at long, kind int, ids array<int>")
-    long_rows = shared.groupBy("row").applyInArrow(together, "doc_id long, ids array<int>")
-    return rows.where(~is_long).mapInArrow(whole, "doc_id long, ids array<int>").unionByName(long_rows)
+    schema = "doc_id long, ids array<int>" + ", decoded string" * again
+    long_rows = shared.groupBy("row").applyInArrow(together, schema)
+    return rows.where(~is_long).mapInArrow(whole, schema).unionByName(long_rows)
+
+
+def texts_of(known: Vocabulary, column: pa.Array) -> pa.Array:
+    """The texts of id lists."""
+    values = column.flatten().to_numpy(zero_copy_only=False)  # without what null rows hide
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    places = np.nan_to_num(values, nan=-1).astype(np.int64)
+    inside = (places >= 0) & (places < known.size)
+    data, offsets = gathered(known.table, places[inside])
+    stops = offsets[np.append(0, np.cumsum(inside))[np.append(0, np.cumsum(sizes))]].tolist()
+    rows = zip(stops[:-1], stops[1:], column.is_valid().to_pylist())
+    return pa.array([str(data[a:b], "utf-8", "replace") if ok else None for a, b, ok in rows], type=pa.string())
 
 
 def decoded(df: DataFrame, path: str = VOCABULARY, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -321,22 +350,8 @@ def decoded(df: DataFrame, path: str = VOCABULARY, ids: str = "ids", text: str =
     schema = StructType([*df.schema.fields, StructField(text, StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
         for batch in batches:
-            column = batch.column(at)
-            flat = column.flatten()  # without what null rows hide
-            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            values = flat.to_numpy(zero_copy_only=False)
-            places = np.nan_to_num(values, nan=-1).astype(np.int64)
-            inside = (places >= 0) & (places < known.size)
-            data, offsets = gathered(known.table, places[inside])
-            kept = np.append(0, np.cumsum(inside))[np.append(0, np.cumsum(sizes))]
-            stops = offsets[kept]
-            texts = [
-                str(data[a:b], "utf-8", "replace") if ok else None
-                for a, b, ok in zip(stops[:-1].tolist(), stops[1:].tolist(), column.is_valid().to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(vocabulary(path), batch.column(at))], names=schema.names)
 
     return df.mapInArrow(decode, schema)
 

@@ -90,7 +90,7 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def op13_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """All documents encoded and decoded again."""
-    return bpe.digests(bpe.decoded(bpe.encoded(_table(spark, folder, "documents"))))
+    return bpe.digests(bpe.encoded(_table(spark, folder, "documents"), again=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
