@@ -77,35 +77,78 @@ def quantiles(
     return quantiles_of(df, {value: probs}, keys)
 
 
+#: Bins per doubling of a value, coarse and fine: a coarse bin spans one part in a hundred, a fine one in a hundred thousand.
+LEVELS = (64, 1 << 16)
+_OCTAVES = 1100  # doublings from the smallest double to the largest
+
+
+def histogram_bin(value: Column, per_octave: int) -> Column:
+    """A number that never falls as the value grows: bins are even on a logarithmic scale on both sides of zero."""
+    size = F.least(F.log2(F.abs(value)), F.lit(_OCTAVES - 1.0)) * per_octave
+    place = F.floor(size).cast("long") + _OCTAVES * per_octave
+    return F.when(value > 0, place).when(value < 0, -place).otherwise(F.lit(0).cast("long"))
+
+
 def quantiles_of(
     df: DataFrame, marks: Mapping[str, Mapping[str, float]], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of several columns per ``keys``: ``marks`` is {column: {name: p}}.
 
-    Rows are first collapsed to one per column and distinct value, so a hot key or a hot value never reaches a single task
-    as raw rows; all columns share one ordering. Nulls and NaN are left out; a key without values has no row.
+    Nothing is sorted but what is left at the end: rows are collapsed to one per key, column and distinct value, counted in
+    coarse bins, and the bins that hold the wanted ranks are counted in fine ones; only the distinct values of those are put
+    in order. All keys, columns and ranks go through together. Nulls and NaN are left out; a key without values has no row.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in marks])
     known = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, F.col("_p.c").alias("_column"), F.col("_p.v").alias("_value"))
     counts = known.where(F.col("_value").isNotNull() & ~F.isnan("_value")).groupBy(*keys, "_column", "_value").agg(F.count("*").alias("_n"))
-    placed = running(counts, {"_upto": F.col("_n")}, [F.col("_value")], [*keys, "_column"], {"_upto": "_size"})
-
-    def at(column: str, index: Column) -> Column:
-        hit = (F.col("_column") == column) & (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(hit, F.col("_value")))
+    group = [*keys, "_column"]
 
+    # every wanted rank, from 0, as an entry of its own
+    size = F.col("_size")
+    ranks = F.lit(None).cast("array<struct<mark:string,high:boolean,rank:bigint>>")
+    for column, probs in marks.items():
+        entries = []
+        for name, p in probs.items():
+            spot = F.lit(float(p)) * (size - 1)
+            entries += [
+                F.struct(F.lit(name).alias("mark"), F.lit(high).alias("high"), cut(spot).cast("long").alias("rank"))
+                for high, cut in ((False, F.floor), (True, F.ceil))
+            ]
+        ranks = F.when(F.col("_column") == column, F.array(*entries)).otherwise(ranks)
+    wanted, left = None, counts
+    for level, per_octave in enumerate(LEVELS):
+        left = left.withColumn("_bin", histogram_bin(F.col("_value"), per_octave))
+        by = group if wanted is None else [*group, "_mark", "_high"]
+        bins = left.groupBy(*by, *([] if wanted is None else ["_rank", "_size"]), "_bin").agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(START, 0))
+        bins = bins.withColumn("_upto", upto)
+        if wanted is None:
+            bins = bins.withColumn("_size", F.sum("_n").over(Window.partitionBy(*by)))
+            bins = bins.withColumn("_e", F.explode(ranks)).select(
+                *group, "_bin", "_n", "_upto", "_size", F.col("_e.mark").alias("_mark"), F.col("_e.high").alias("_high"), F.col("_e.rank").alias("_rank")
+            )
+        hit = (F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
+        before = F.col("_rank") - (F.col("_upto") - F.col("_n"))  # the rank inside the bin
+        wanted = bins.where(hit).select(*group, "_mark", "_high", "_bin", "_size", before.alias("_rank"))
+        if level:
+            left = null_safe_join(left.drop("_rank", "_size"), wanted, [*group, "_mark", "_high", "_bin"])
+        else:
+            left = null_safe_join(left, wanted, [*group, "_bin"])
+    upto = F.sum("_n").over(Window.partitionBy(*group, "_mark", "_high").orderBy("_value").rowsBetween(START, 0))
+    picked = left.withColumn("_upto", upto).where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
     parts, finals = [], []
     for column, probs in marks.items():
         for name, p in probs.items():
-            spot = F.lit(float(p)) * (F.col("_size") - 1)
+            own = (F.col("_column") == column) & (F.col("_mark") == name)
+            spot = F.lit(float(p)) * (size - 1)
             parts += [
-                at(column, F.floor(spot)).alias(f"_lo_{name}"),
-                at(column, F.ceil(spot)).alias(f"_hi_{name}"),
-                F.max(F.when(F.col("_column") == column, spot - F.floor(spot))).alias(f"_part_{name}"),
+                F.max(F.when(own & ~F.col("_high"), F.col("_value"))).alias(f"_lo_{name}"),
+                F.max(F.when(own & F.col("_high"), F.col("_value"))).alias(f"_hi_{name}"),
+                F.max(F.when(own, spot - F.floor(spot))).alias(f"_part_{name}"),
             ]
             low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
             finals.append((low + (high - low) * F.col(f"_part_{name}")).alias(name))
-    return placed.groupBy(*keys).agg(*parts).select(*keys, *finals)
+    return picked.groupBy(*keys).agg(*parts).select(*keys, *finals)
 
 
 def bounded_quantiles(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.ordered import average_rank_over, null_safe_join, quantiles
 from shelfwise.functions.scalars import log1p_safe, ratio, skew_adjusted, weighted_mean
@@ -264,3 +267,47 @@ def distinct_list(df: DataFrame, keys: Sequence[str], value: str, limit: int = 2
         F.array_join(F.sort_array(F.collect_list(shown)), ", ").alias("values"),
         F.count("*").alias("distinct_values"),
     )
+
+
+# --- sums of products --------------------------------------------------------------
+
+def gram(rows: DataFrame, keys: Sequence[str], values: Column) -> DataFrame:
+    """Sums of products of any two entries of an array per ``keys``: keys, place, total.
+
+    The pair of entries i and j <= i, both from 0, has the place i * (i + 1) / 2 + j. Every Arrow batch is multiplied at once
+    and leaves one row per key, whatever its rows; arrays of one key have one length and no unknown entries.
+    """
+    picked = rows.select(*keys, values.cast("array<double>").alias("_v"))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField("_totals", T.ArrayType(T.DoubleType()))])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(keys))
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            codes = np.zeros(batch.num_rows, dtype=np.int64)
+            if keys:
+                codes = batch.select(list(keys)).to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            groups = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
+            totals = []
+            for where in groups:
+                block = flat[starts[where][:, None] + np.arange(sizes[where[0]])]
+                totals.append((block.T @ block)[np.tril_indices(block.shape[1])])
+            firsts = pa.array([int(where[0]) for where in groups])
+            columns = [batch.column(i).take(firsts) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, type=pa.list_(pa.float64()))], names=schema.names)
+
+    parts = picked.mapInArrow(multiply, schema).select(*keys, F.posexplode("_totals").alias("place", "p"))
+    return parts.groupBy(*keys, "place").agg(F.sum("p").alias("total"))
+
+
+def square(places: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of the sums of :func:`gram`."""
+    size = int((np.sqrt(8 * (places.max() + 1) + 1) - 1) / 2 + 0.5)
+    out = np.zeros((size, size))
+    i, j = np.tril_indices(size)
+    out[i[places], j[places]] = out[j[places], i[places]] = totals
+    return out

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators.aggregate import gram, square
 from shelfwise.operators.forecast import (
     FEATURES,
     LAGS,
@@ -41,30 +42,7 @@ PENALTY = 0.05
 REACH = max(*LAGS, *WINDOWS)
 
 
-# --- sums of products --------------------------------------------------------------
-
-def products(values: Column) -> Column:
-    """All products of two entries of an array, entry j times entry i for i = 0.. and j = 0..i."""
-    row = lambda v, i: F.transform(F.slice(values, 1, i + 1), lambda w: w * v)
-    return F.flatten(F.transform(values, row))
-
-
-def gram(rows: DataFrame, keys: Sequence[str], values: Column) -> DataFrame:
-    """Sums of products of the entries of an array per ``keys``: keys, place (of :func:`products`), total.
-
-    One row per key and place leaves every task, however many rows a key has.
-    """
-    return rows.select(*keys, F.posexplode(products(values)).alias("place", "p")).groupBy(*keys, "place").agg(F.sum("p").alias("total"))
-
-
-def square(places: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The symmetric matrix of the sums of :func:`gram`."""
-    size = int((np.sqrt(8 * (places.max() + 1) + 1) - 1) / 2 + 0.5)
-    out = np.zeros((size, size))
-    i, j = np.tril_indices(size)
-    out[i[places], j[places]] = out[j[places], i[places]] = totals
-    return out
-
+# --- linear models ------------------------------------------------------------------
 
 def ridge(sums: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and intercept from the sums of products of (1, features, target)."""

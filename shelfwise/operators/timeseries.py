@@ -21,7 +21,7 @@ from shelfwise.functions.scalars import (
     correlation_label,
     ratio,
 )
-from shelfwise.operators.aggregate import safe_corr
+from shelfwise.operators.aggregate import gram, safe_corr, square
 
 
 def by_date(series: Sequence[str] = (), date: str = "date") -> Window:
@@ -570,25 +570,54 @@ def cycle_check(acf: DataFrame, cycles: Mapping[str, Sequence[int]] = CYCLES) ->
     return stats.withColumn("verdict", verdict)
 
 
+def lag_products(df: DataFrame, value: str, max_lag: int, series: Sequence[str] = ()) -> DataFrame:
+    """Sums of products of a series with its lags, standardised: series, depth, place, total.
+
+    A day with ``depth`` known values in a row counts with the vector (1, value, lag 1, ..., lag depth - 1), its depth being
+    ``max_lag`` + 1 at most; ``place`` is that of a pair in :func:`gram`. The sample of lag k is all days of depth above k.
+    """
+    group = Window.partitionBy(*series)
+    spread = F.stddev_samp(value).over(group)
+    z = F.when(spread > 0, (F.col(value) - F.avg(value).over(group)) / spread).when(F.col(value).isNotNull(), F.lit(0.0))
+    scored = df.select(*series, "date", z.alias("_z"))
+    order = by_date(series)
+    lags = scored.select(*series, F.array(*[F.lag("_z", k).over(order) for k in range(max_lag + 1)]).alias("_v"))
+    gap = F.array_position(F.transform("_v", lambda v: v.isNull()), True)
+    depth = F.when(gap > 0, gap - 1).otherwise(max_lag + 1).cast("int")
+    known = lags.withColumn("depth", depth)
+    return gram(known, [*series, "depth"], F.concat(F.array(F.lit(1.0)), F.slice("_v", F.lit(1), F.col("depth"))))
+
+
 def partial_autocorrelation(df: DataFrame, value: str, max_lag: int = 60, series: str | None = None, min_pairs: int = 20) -> DataFrame:
     """Correlation of residuals after the lags in between are fitted away.
 
-    One task per series; a series has one row per calendar day.
+    Only sums of products leave the tasks that hold a series; a lag's correlation is read from a Cholesky factor of its
+    sums. It is null with fewer days than ``min_pairs`` or the lag plus 5, and where the lags in between leave nothing.
     """
-    def correlogram(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("date")["value"].to_numpy(float)
-        out = []
-        for lag in range(1, min(max_lag, len(x) - 2) + 1):
-            table = np.column_stack([x[lag - k : len(x) - k] for k in range(lag + 1)])
-            table = table[~np.isnan(table).any(axis=1)]
+    label = F.col(series).cast("string") if series else F.lit("all")
+    rows = df.select(label.alias("series"), "date", F.col(value).cast("double").alias("value"))
+
+    def correlogram(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        out, size = [], max_lag + 2
+        seen = round(sums.loc[sums["place"] == 0, "total"].sum())
+        total = np.zeros((size, size))
+        parts = {depth: square(p["place"].to_numpy(), p["total"].to_numpy()) for depth, p in sums.groupby("depth")}
+        for lag in range(max_lag, 0, -1):
+            part = parts.get(lag + 1)
+            if part is not None:
+                total[: lag + 2, : lag + 2] += part
+            if lag > seen - 2:
+                continue
+            pairs = round(total[0, 0])
+            order = [0, *range(2, lag + 1), 1, lag + 1]  # the constant and the lags in between come first
             result = None
-            if len(table) >= max(min_pairs, lag + 5):
-                controls = np.column_stack([np.ones(len(table)), table[:, 1:lag]])
-                ends = table[:, [0, lag]]
-                rest = ends - controls @ np.linalg.lstsq(controls, ends, rcond=None)[0]
-                if rest.std(axis=0, ddof=1).min() > 0:
-                    result = float(np.corrcoef(rest.T)[0, 1])
-            out.append((str(rows["series"].iloc[0]), lag, result, len(table)))
+            if pairs >= max(min_pairs, lag + 5):
+                own = total[np.ix_(order, order)]
+                a, b, c, d = own[:-2, :-2], own[:-2, -2:], own[-2:, -2:], 1e-10 * pairs
+                rest = c - b.T @ _solved(a, b)
+                if rest[0, 0] > d and rest[1, 1] > d:
+                    result = float(rest[0, 1] / np.sqrt(rest[0, 0] * rest[1, 1]))
+            out.append((key[0], lag, result, pairs))
         return pd.DataFrame(out, columns=["series", "lag", "partial_correlation", "pairs"])
 
     schema = T.StructType(
@@ -599,9 +628,16 @@ def partial_autocorrelation(df: DataFrame, value: str, max_lag: int = 60, series
             T.StructField("pairs", T.LongType()),
         ]
     )
-    label = F.col(series).cast("string") if series else F.lit("all")
-    rows = df.select(label.alias("series"), "date", F.col(value).cast("double").alias("value"))
-    return rows.groupBy("series").applyInPandas(correlogram, schema)
+    return lag_products(rows, "value", max_lag, ["series"]).groupBy("series").applyInPandas(correlogram, schema)
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric system, by a Cholesky factor or, where lags depend on each other, in least squares."""
+    try:
+        low = np.linalg.cholesky(a)
+        return np.linalg.solve(low.T, np.linalg.solve(low, b))
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=1e-12)[0]
 
 
 def sign_changes(df: DataFrame, value: str, series: Sequence[str] = ()) -> DataFrame:

@@ -384,14 +384,54 @@ def _(shop):
     return T.cycle_check(T.autocorrelation(C.daily(shop), "revenue", 366))
 
 
-@query("T34_partial_autocorrelation", "series:s lag:i partial_correlation:d pairs:i")
-def _(shop):
-    """Per category and for all of them."""
+view("x_series", """
+WITH d AS (SELECT category, order_date AS date, sum(revenue) AS v FROM x_lines GROUP BY 1, 2),
+     e AS (SELECT category, min(date) AS a, max(date) AS b FROM d GROUP BY 1),
+     g AS (SELECT category, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM e),
+     f AS (SELECT g.category AS series, g.date, coalesce(v, 0) AS v FROM g LEFT JOIN d ON d.category = g.category AND d.date = g.date
+           UNION ALL SELECT 'all', date, revenue FROM x_daily)
+SELECT series, row_number() OVER (PARTITION BY series ORDER BY date) AS t, (v - avg(v) OVER (PARTITION BY series)) / stddev_samp(v) OVER (PARTITION BY series) AS z FROM f
+""")
+
+
+def revenue_series(shop):
+    """Daily revenue per category and of all of them."""
     day = F.col("order_date").alias("date")
     parts = shop.lines.groupBy("category", day).agg(F.sum("revenue").alias("revenue"))
     parts = T.densify(parts, {"revenue": 0.0}, ["category"]).select("category", "date", "revenue")
     whole = C.daily(shop).select(F.lit("all").alias("category"), "date", "revenue")
-    return T.partial_autocorrelation(parts.unionByName(whole), "revenue", 60, "category")
+    return parts.unionByName(whole).withColumnRenamed("category", "series")
+
+
+@query("T34_partial_autocorrelation", "series:s lag:i partial_correlation:d pairs:i")
+def _(shop):
+    """Per category and for all of them."""
+    return T.partial_autocorrelation(revenue_series(shop), "revenue", 60, "series")
+
+
+@query("T34b_lag_products", "series:s place:i total:d", """
+WITH p AS (SELECT a, b, b * (b + 1) // 2 + a AS place FROM range(0, 62) x(a), range(0, 62) y(b) WHERE a <= b),
+     v AS (SELECT series, t, 0 AS i, 1.0::DOUBLE AS z FROM x_series WHERE t > 60
+           UNION ALL SELECT s.series, s.t + k, k + 1, s.z FROM x_series s, range(0, 61) r(k)
+           WHERE s.t + k > 60 AND s.t + k <= (SELECT max(t) FROM x_series m WHERE m.series = s.series))
+SELECT u.series, place, sum(u.z * w.z) AS total FROM p JOIN v u ON u.i = p.a JOIN v w ON w.i = p.b AND w.series = u.series AND w.t = u.t GROUP BY 1, 2""")
+def _(shop):
+    """The sums behind the correlogram, over the days that know all sixty lags."""
+    return T.lag_products(revenue_series(shop), "revenue", 60, ["series"]).where("depth = 61")
+
+
+@query("T34c_first_partials", "series:s lag:i partial_correlation:d pairs:i", """
+WITH l AS (SELECT series, t, z AS a, lag(z, 1) OVER w AS b, lag(z, 2) OVER w AS c, lag(z, 3) OVER w AS d FROM x_series WINDOW w AS (PARTITION BY series ORDER BY t)),
+     two AS (SELECT series, count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM l WHERE c IS NOT NULL GROUP BY 1),
+     three AS (SELECT series, count(*) AS n, corr(a, b) AS ab, corr(a, c) AS ac, corr(a, d) AS ad, corr(b, c) AS bc, corr(b, d) AS bd, corr(c, d) AS cd
+               FROM l WHERE d IS NOT NULL GROUP BY 1),
+     given AS (SELECT series, n, (ac - ab * bc) / sqrt((1 - ab * ab) * (1 - bc * bc)) AS ac, (ad - ab * bd) / sqrt((1 - ab * ab) * (1 - bd * bd)) AS ad,
+                      (cd - bc * bd) / sqrt((1 - bc * bc) * (1 - bd * bd)) AS cd FROM three)
+SELECT series, 1 AS lag, corr(a, b) AS partial_correlation, count(*) AS pairs FROM l WHERE b IS NOT NULL GROUP BY 1
+UNION ALL SELECT series, 2, (ac - ab * bc) / sqrt((1 - ab * ab) * (1 - bc * bc)), n FROM two
+UNION ALL SELECT series, 3, (ad - ac * cd) / sqrt((1 - ac * ac) * (1 - cd * cd)), n FROM given""")
+def _(shop):
+    return T.partial_autocorrelation(revenue_series(shop), "revenue", 60, "series").where("lag <= 3")
 
 
 @query("T35_cross_correlation", "lag:i feature:s correlation:d pairs:i", """

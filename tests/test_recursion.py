@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise.operators import aggregate as A
 from shelfwise.operators import forecast as M
 from shelfwise.operators import recursion as R
+from shelfwise.operators.timeseries import partial_autocorrelation
 
 
 @pytest.fixture(scope="module")
@@ -50,9 +52,9 @@ def test_one_pass_gives_the_models_of_single_fits(spark):
 
 def test_sums_of_products(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (1, [4.0, 5.0, 6.0]), (2, [1.0, 0.0, 1.0])], "k int, v array<double>")
-    found = R.gram(rows, ["k"], F.col("v")).where("k = 1").toPandas()
+    found = A.gram(rows, ["k"], F.col("v")).where("k = 1").toPandas()
     v = np.array([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]])
-    assert np.allclose(R.square(found["place"].to_numpy(), found["total"].to_numpy()), v.T @ v)
+    assert np.allclose(A.square(found["place"].to_numpy(), found["total"].to_numpy()), v.T @ v)
 
 
 def test_flat_trees_predict_what_spark_predicts(spark, history):
@@ -110,3 +112,43 @@ def test_models_without_data(spark, history):
     flat = R.training_rows(spark.createDataFrame([("x", None, 1.0, 2.0)], "shop string, date date, f double, t double"), ["shop"], {"t": ["f"]})
     row = R.fit_linear(flat, ["shop"]).first()
     assert row.weights == [0.0] and np.isclose(row.intercept, np.log1p(2.0))
+
+
+def plain_partial(x, lag, least=20):
+    table = np.column_stack([x[lag - k : len(x) - k] for k in range(lag + 1)])
+    table = table[~np.isnan(table).any(axis=1)]
+    if len(table) < max(least, lag + 5):
+        return None, len(table)
+    controls = np.column_stack([np.ones(len(table)), table[:, 1:lag]])
+    ends = table[:, [0, lag]]
+    rest = ends - controls @ np.linalg.lstsq(controls, ends, rcond=None)[0]
+    if rest.std(axis=0, ddof=1).min() <= 1e-9:
+        return None, len(table)
+    return float(np.corrcoef(rest.T)[0, 1]), len(table)
+
+
+def test_partial_autocorrelation_from_sums(spark):
+    random = np.random.default_rng(4)
+    walk = np.cumsum(random.normal(size=300)) * 1e4 + 1e6
+    holes = np.where(random.random(300) < 0.05, np.nan, walk)
+    cases = {"walk": walk, "holes": holes, "flat": np.full(300, 7.0), "short": walk[:24], "one": walk[:1]}
+    dates = pd.date_range("2020-01-01", periods=300).date
+    rows = [(k, d, None if np.isnan(v) else float(v)) for k, x in cases.items() for d, v in zip(dates, x)]
+    df = spark.createDataFrame(rows, "s string, date date, v double")
+    got = {(r.series, r.lag): r for r in partial_autocorrelation(df, "v", 15, "s").collect()}
+    for name, x in cases.items():
+        steps = range(1, min(15, len(x) - 2) + 1)
+        assert {lag for k, lag in got if k == name} == {*steps}
+        for lag in steps:
+            want, pairs = plain_partial(x, lag)
+            row = got[name, lag]
+            assert row.pairs == pairs
+            assert (row.partial_correlation is None) if want is None else np.isclose(row.partial_correlation, want, atol=1e-7)
+
+
+def test_sums_keep_null_keys(spark):
+    rows = spark.createDataFrame([(None, [1.0, 2.0]), ("x", [1.0, 1.0]), (None, [1.0, 3.0])], "k string, v array<double>")
+    got = {(r.k, r.place): r.total for r in A.gram(rows, ["k"], F.col("v")).collect()}
+    assert got == {(None, 0): 2.0, (None, 1): 5.0, (None, 2): 13.0, ("x", 0): 1.0, ("x", 1): 1.0, ("x", 2): 1.0}
+    whole = {r.place: r.total for r in A.gram(rows, [], F.col("v")).collect()}
+    assert whole == {0: 3.0, 1: 6.0, 2: 14.0}
