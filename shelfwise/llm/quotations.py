@@ -18,30 +18,48 @@ BUCKET = 1024
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
 
 
-def passages(text: Column) -> Column:
-    """An array of (level, body), in the order of the text; ``body`` has no quote marks."""
+def marked_lines(text: Column) -> Column:
+    """An array of (level, body), one per line; ``body`` has no quote marks."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n", -1)
-    marks = lambda line: F.regexp_extract(line, _MARKS, 0)
-    level = lambda line: F.length(F.regexp_replace(marks(line), "[^>]", ""))
-    parsed = F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("body")))
-    count = F.size(parsed)
+    level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
+    return F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("body")))
+
+
+def passages(lines: Column) -> Column:
+    """An array of (level, body) of the runs of lines of one level, in their order.
+
+    ``lines`` must be a column of its own and no expression: it is looked into once per run."""
+    count = F.size(lines)
     starts = F.filter(
         F.sequence(F.lit(1), count),
-        lambda i: (i == 1) | (F.get(parsed, i - 1)["level"] != F.get(parsed, i - 2)["level"]),
-    )
-    runs = F.transform(
-        starts,
-        lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get(starts, i + 1), count + 1) - s).alias("size")),
+        lambda i: (i == 1) | (F.get(lines, i - 1)["level"] != F.get(lines, i - 2)["level"]),
     )
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(count + 1))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("size")))
     return F.transform(
         runs,
         lambda r: F.struct(
-            F.get(parsed, r["start"] - 1)["level"].alias("level"),
-            F.array_join(F.transform(F.slice(parsed, r["start"], r["size"]), lambda x: x["body"]), "\n").alias("body"),
+            F.get(lines, r["start"] - 1)["level"].alias("level"),
+            F.array_join(F.transform(F.slice(lines, r["start"], r["size"]), lambda x: x["body"]), "\n").alias("body"),
         ),
     )
 
 
+def _with_held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row: the optimizer would put its expression wherever it is read, also
+    into the loops over its own entries. A generator of one row is a border that it doesn't cross."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, passages, own_text and n_quotes of messages, each text read once."""
+    lines = _with_held(messages.select("conv_id", "turn", "role", "text"), "lines", marked_lines(F.col("text")))
+    found = _with_held(lines.drop("text"), "passages", passages(F.col("lines"))).drop("lines")
+    own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
+    clean = F.regexp_replace(F.regexp_replace(own, r"[ \t]+(?=\n|$)", ""), r"^\n+|\n+$", "")
+    return found.withColumn("own_text", clean).withColumn("n_quotes", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long"))
+
+
 def normalised(text: Column) -> Column:
     """Lower case with single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -118,10 +136,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     (depth 0, no parent). A null or empty text has an empty text and no quotes. Rows with equal conv_id and turn are pooled
     for linking and each answered; a null conv_id or turn is never linked.
     """
-    parsed = messages.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("passages"))
-    own = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
-    clean = F.regexp_replace(F.regexp_replace(own, r"[ \t]+(?=\n|$)", ""), r"^\n+|\n+$", "")
-    parsed = parsed.withColumn("own_text", clean).withColumn("n_quotes", F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long"))
+    parsed = stored(parsed_messages(messages))
     linked = stored(links(parsed))
     rows = parsed.join(chains(linked), ["conv_id", "turn"], "left") if linked.limit(1).count() else (
         parsed.withColumns({c: F.lit(None).cast("long") for c in ("parent", "thread", "depth")})
