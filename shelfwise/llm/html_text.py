@@ -4,7 +4,8 @@ Every DOM node has characters, tags, link characters and link tags in its subtre
 adjusted by a logarithm that falls as more of the text lies in links. A node's density sum adds up the densities of its
 children; the node with the largest sum holds the main text. The least density on its path to the body is the
 threshold: below it, further nodes are searched only through children that reach it. Sums and candidates are blocks;
-inline elements count as tags of their blocks. A node inside an article element stands for the outermost article.
+inline elements count as tags of their blocks. Page furniture is left out by the names of elements and by the words of
+their classes; the latter only where little of the page's text is in it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 # Element names of the HTML standard and usual names of page furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp svg math".split())
+_RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp svg".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -30,15 +31,22 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 _FURNITURE = frozenset("nav header footer aside form button select menu dialog object audio video canvas head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|"
+_WORDS = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|"
     r"header|masthead|footer|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|"
-    r"toolbar|skip|copyright|legal|disclaimer|search)(?:$|[\s_-])",
+    r"toolbar|skip|copyright|legal|disclaimer|search)(?:$|[_-])",
     re.I,
 )
+_WHOLE = frozenset(
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist comment-list cookie-banner "
+    "cookie-notice cookies disqus disqus_thread footer newsletter respond sidebar site-footer site-header".split()
+)
+#: An element with a furniture word in its class goes if it holds at most this share of the page's text.
+SHARE = 0.4
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[=\"'])*+)(?:>|$)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -48,45 +56,100 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Node:
     """An element: its children are nodes and strings in page order."""
 
-    __slots__ = ("name", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "parent", "block", "inside", "opened", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
         self.children: list[Node | str] = []
+        self.block: Node = self if name in _BLOCK or parent is None else parent.block  # the nearest block, itself included
+        self.inside: bool = name in ("article", "main") or (parent is not None and parent.inside)
+        self.opened: dict[str, int] = {}  # of a block: its open inline elements by name
+        self.doubt = 0  # 1: the class has a furniture word, 2: the class is one
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _furniture(name: str, attributes: str, inside_article: bool) -> bool:
+def _furniture(name: str, attributes: str, inside: bool) -> int:
+    """3: leave the element out; 2 and 1: its class is or has a furniture word; 0: nothing speaks against it."""
     if name in _FURNITURE:
-        return not (name == "header" and inside_article)
-    if not attributes:
-        return False
-    for key, one, two, three in _ATTRIBUTE.findall(attributes):
+        return 0 if name == "header" and inside else 3
+    doubt = 0
+    for key, one, two, three in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, key = one or two or three, key.lower()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
+            return 3
         if key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("article", "main", "body", "html") and _NAMES.search(value):
-            return True
-    return False
+            return 3
+        if key in ("class", "id") and name not in ("article", "main", "body", "html"):
+            for word in value.lower().split():
+                if inside and "header" in word:
+                    continue  # the headline of an article
+                doubt = max(doubt, 2 if word in _WHOLE else int(bool(_WORDS.search(word))))
+    return doubt
+
+
+class _Builder:
+    """The open elements while a page is read. Every element is opened and closed once, so the work grows with the page."""
+
+    def __init__(self) -> None:
+        self.root = self.top = Node("html", None)
+        self.blocks: dict[str, int] = {}  # open blocks by name
+
+    def _count(self, node: Node) -> dict[str, int]:
+        return self.blocks if node.block is node else node.block.opened
+
+    def open(self, node: Node) -> None:
+        counts = self._count(node)
+        counts[node.name] = counts.get(node.name, 0) + 1
+        self.top = node
+
+    def close_to(self, node: Node) -> None:
+        """Close ``node`` and all inside it."""
+        while True:
+            done = self.top
+            self._count(done)[done.name] -= 1
+            self.top = done.parent
+            if done is node:
+                return
+
+    def close(self, name: str) -> None:
+        """An end tag: one that nothing is open for, or an inline one beyond its block, closes nothing."""
+        counts = self.blocks if name in _BLOCK else self.top.block.opened
+        if counts.get(name, 0):
+            node = self.top
+            while node.name != name:
+                node = node.parent
+            self.close_to(node)
+
+    def make_room(self, name: str) -> None:
+        """Close what the start of ``name`` ends."""
+        if name in _CLOSES_P and self.top.block.name == "p":
+            self.close_to(self.top.block)
+        same = _SAME.get(name, ())
+        counts = lambda n: self.blocks.get(n, 0) + self.top.block.opened.get(n, 0)
+        if any(counts(n) for n in same):
+            node = self.top
+            while node is not self.root and node.name not in _SCOPE[name]:
+                if node.name in same:
+                    self.close_to(node)
+                    return
+                node = node.parent
 
 
 def parsed(page: str) -> Node:
     """The tree of a page without scripts, styles, comments and page furniture. Missing end tags are supplied."""
-    root = Node("html", None)
-    top, at, skipping, depth = root, 0, "", 0
+    tree = _Builder()
+    at, skipping, depth = 0, "", 0
     while at < len(page):
         match = _TOKEN.search(page, at)
         if not skipping and (text := page[at : match.start() if match else len(page)]):
-            top.children.append(text)
+            tree.top.children.append(text)
         if not match:
             break
         at = match.end()
         if not match[2]:
             if not skipping and match[0].startswith("<![CDATA["):
-                top.children.append(match[0][9:].removesuffix("]]>"))
+                tree.top.children.append(match[0][9:].removesuffix("]]>"))
             continue
         name, closing = match[2].lower(), bool(match[1])
         if skipping:
@@ -105,49 +168,49 @@ def parsed(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         if closing:
-            node = top
-            while node is not root and node.name != name:
-                if name not in _BLOCK and node.name in _BLOCK:
-                    node = root  # an inline end tag closes nothing beyond its block
-                    break
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            tree.close(name)
             continue
-        if name in _CLOSES_P:
-            node = top
-            while node is not root and node.name != "p" and node.name not in _BLOCK:
-                node = node.parent
-            if node.name == "p":
-                top = node.parent
-        if name in _SAME:
-            node = top
-            while node is not root and node.name not in _SCOPE[name]:
-                if node.name in _SAME[name]:
-                    top = node.parent
-                    break
-                node = node.parent
+        tree.make_room(name)
+        top = tree.top
         if name in _VOID:
             top.children.append(Node(name, top))
             continue
-        node, inside = top, False
-        while node is not None and not inside:
-            inside, node = node.name in ("article", "main"), node.parent
-        if _furniture(name, match[3], inside):
+        doubt = _furniture(name, match[3], top.inside)
+        if doubt == 3:
             if not match[3].endswith("/"):
                 skipping, depth = name, 1
             continue
-        if name in ("html", "body"):
-            if name == "body":
-                node = Node(name, root)
-                root.children.append(node)
-                top = node
+        if name == "html":
             continue
-        node = Node(name, top)
-        top.children.append(node)
+        node = Node(name, tree.root if name == "body" else top)
+        node.doubt = doubt
+        if name == "body":
+            while tree.top is not tree.root:
+                tree.close_to(tree.top)
+        node.parent.children.append(node)
         if not match[3].endswith("/") or name in _BLOCK:
-            top = node
-    return root
+            tree.open(node)
+    _leave_out(tree.root)
+    return tree.root
+
+
+def _leave_out(root: Node) -> None:
+    """Take out the elements whose classes make them furniture: with a whole furniture name unless headline or article are
+    in them, with a furniture word if they hold no more than ``SHARE`` of the text."""
+    nodes = _nodes(root)
+    if not any(node.doubt for node in nodes):
+        return
+    chars: dict[int, int] = {}
+    main: dict[int, bool] = {}
+    for node in reversed(nodes):
+        chars[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else chars[id(c)] for c in node.children)
+        main[id(node)] = node.name in ("article", "main", "h1") or any(main[id(c)] for c in node.children if isinstance(c, Node))
+    limit = SHARE * chars[id(root)]
+    for node in nodes:
+        small = chars[id(node)] <= limit
+        if node.doubt and not main[id(node)] and (small or node.doubt == 2):
+            node.children = []
+            node.name = "hr"  # a block without text in its place
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -188,11 +251,6 @@ def _content(root: Node, nodes: list[Node]) -> set[int]:
     best = max(nodes, key=lambda node: node.total)
     if best.total == 0:
         best = max(nodes, key=lambda node: node.density)
-    node, article = best, None
-    while node is not None:
-        article, node = node if node.name == "article" else article, node.parent
-    if article is not None:
-        return {id(article)}
     threshold, node = best.density, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
