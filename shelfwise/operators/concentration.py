@@ -174,43 +174,87 @@ def mix_summary(mix: DataFrame) -> DataFrame:
     )
 
 
-def rolling_concentration(daily: DataFrame, key: str, value: str = "revenue", days: int = 30, least: int = 7) -> DataFrame:
-    """Concentration of the ``days`` days before each date, from sparse rows.
+def rolling_steps(daily: DataFrame, key: str, value: str, days: int) -> DataFrame:
+    """Sums of the ``days`` days before each date, per key, as steps: key, start, end (exclusive), v, before.
+
+    A key's sum changes only the day after a sale and ``days`` days later, so a sale makes two steps whatever ``days`` is.
+    Sums are taken over the sales in reach and not carried along: one without sales is exactly zero.
+    """
+    number = F.unix_date("date")
+    sales = daily.select(key, number.alias("day"), F.col(value).alias("s"))
+    marks = sales.select(key, F.explode(F.array(F.col("day") + 1, F.col("day") + days + 1)).alias("day")).distinct()
+    events = sales.withColumn("mark", F.lit(False)).unionByName(
+        marks.withColumns({"s": F.lit(None).cast("double"), "mark": F.lit(True)})
+    )
+    reach = Window.partitionBy(key).orderBy("day").rangeBetween(-days, -1)
+    order = Window.partitionBy(key).orderBy("day")
+    steps = events.withColumn("v", F.coalesce(F.sum("s").over(reach), F.lit(0.0))).where("mark")
+    return steps.select(
+        key,
+        F.col("day").alias("start"),
+        F.lead("day").over(order).alias("end"),
+        F.greatest("v", F.lit(0.0)).alias("v"),
+        F.coalesce(F.lag(F.greatest("v", F.lit(0.0))).over(order), F.lit(0.0)).alias("before"),
+    )
+
 
-    A row counts on each of the following ``days`` dates, so no date-by-key grid is
-    built; shares are aggregated per date and the best ten are ranked after a
-    per-task top-ten cut.
+def top_of_steps(steps: DataFrame, key: str, n: int, block: int = 32) -> DataFrame:
+    """The ``n`` largest positive values of every day: day, place, v.
+
+    Of a block of days, n keys hold at least the n-th largest of all keys' least values on every day of it; keys whose
+    largest value stays below that are left out before steps are laid out by day.
     """
-    span = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    reach = F.sequence(F.date_add("date", 1), F.date_add("date", days), F.expr("interval 1 day"))
-    sums = (
-        daily.select(key, F.col(value).alias("v"), F.explode(reach).alias("date"))
-        .groupBy("date", key)
-        .agg(F.sum("v").alias("v"))
-        .where("v > 0")
+    place = lambda c: F.floor(c / block)
+    parts = steps.where("end IS NOT NULL AND v > 0").withColumn("block", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))))
+    first, last = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    parts = parts.select(key, "block", "v", first.alias("start"), last.alias("end"))
+    held = parts.groupBy("block", key).agg(
+        F.max("v").alias("high"), F.when(F.sum(F.col("end") - F.col("start")) == block, F.min("v")).alias("low")
     )
-    # entropy and HHI follow from three sums: log T - sum(v log v)/T and sum(v^2)/T^2
-    totals = sums.groupBy("date").agg(
-        F.sum("v").alias("t"),
-        F.sum(F.col("v") * F.col("v")).alias("v2"),
-        F.sum(F.col("v") * F.ln("v")).alias("vl"),
-        F.count("*").alias("active"),
+    ranked = held.where("low IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("low"), key)))
+    bars = ranked.where(F.col("r") <= n).groupBy("block").agg(F.max(F.when(F.col("r") == n, F.col("low"))).alias("bar"))
+    likely = held.join(bars, "block", "left").where("bar IS NULL OR high >= bar").select("block", key)
+    laid = parts.join(likely, ["block", key]).select(key, "v", F.explode(F.sequence("start", F.col("end") - 1)).alias("day"))
+    found = laid.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("v"), key)))
+    return found.where(F.col("place") <= n).select("day", "place", "v")
+
+
+def rolling_concentration(daily: DataFrame, key: str, value: str = "revenue", days: int = 30, least: int = 7) -> DataFrame:
+    """Concentration of the ``days`` days before each date, and the best key's value of the day before.
+
+    ``daily`` has one row per key and date. Entropy and the sum of squared shares follow from sums that change with a step
+    only: what each step adds is totalled per day and added up over the calendar.
+    """
+    steps = rolling_steps(daily, key, value, days)
+    span = daily.agg(F.unix_date(F.min("date")).alias("a"), F.unix_date(F.max("date")).alias("b"))
+    log = lambda c: F.when(F.col(c) > 0, F.col(c) * F.ln(c)).otherwise(0.0)
+    names = {
+        "t": F.col("v") - F.col("before"),
+        "v2": F.col("v") * F.col("v") - F.col("before") * F.col("before"),
+        "vl": log("v") - log("before"),
+        "active": (F.col("v") > 0).cast("long") - (F.col("before") > 0).cast("long"),
+    }
+    moved = steps.groupBy(F.col("start").alias("day")).agg(*[F.sum(e).alias(n) for n, e in names.items()])
+    calendar = span.select(F.explode(F.sequence("a", "b")).alias("day"), "a")
+    order = Window.orderBy("day")  # one row per calendar day
+    sums = calendar.join(moved, "day", "left").select(
+        "day", "a", *[F.sum(F.coalesce(n, F.lit(0))).over(order).alias(n) for n in names]
     )
-    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("v"), key))
-    best = sums.withColumn("place", place).where("place <= 10").groupBy("date").agg(
+    best = top_of_steps(steps, key, 10).groupBy("day").agg(
         *[F.sum(F.when(F.col("place") <= k, F.col("v"))).alias(f"top_{k}") for k in (1, 5, 10)]
     )
-    known = (F.col("date") >= F.date_add("_s.a", least)) & (F.col("date") <= F.col("_s.b"))
+    yesterday = daily.groupBy((F.unix_date("date") + 1).alias("day")).agg(F.max(value).alias("top"))
     return (
-        totals.join(best, "date")
-        .withColumn("_s", span.select(F.struct("a", "b")).scalar())
-        .where(known)
+        sums.where((F.col("day") >= F.col("a") + least) & (F.col("active") > 0))
+        .join(best, "day")
+        .join(yesterday, "day", "left")
         .select(
-            "date",
+            F.date_from_unix_date(F.col("day").cast("int")).alias("date"),
             "active",
             *[ratio(F.col(f"top_{k}"), F.col("t")).alias(f"top_{k}_share") for k in (1, 5, 10)],
             ratio(F.col("v2"), F.col("t") * F.col("t")).alias("hhi"),
             (F.ln("t") - F.col("vl") / F.col("t")).alias("entropy"),
+            F.coalesce("top", F.lit(0.0)).alias("top_value_before"),
         )
     )
 

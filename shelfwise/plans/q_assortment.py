@@ -119,6 +119,11 @@ def _(shop):
     return K.mix_summary(K.monthly_mix(C.category_months(shop), "category"))
 
 
+def product_days(shop):
+    """Revenue per product and day."""
+    return shop.sold.groupBy("product_id", F.col("order_date").alias("date")).agg(F.sum("revenue").alias("revenue"))
+
+
 @query("D31_rolling_concentration", "date:t active:i top_1_share:d top_5_share:d top_10_share:d hhi:d entropy:d", """
 WITH p AS (SELECT order_date AS d, product_id, sum(revenue) AS v FROM x_sold GROUP BY 1, 2),
      s AS (SELECT x.date, p.product_id, sum(p.v) AS v FROM x_days x JOIN p ON p.d BETWEEN x.date - 30 AND x.date - 1
@@ -128,10 +133,16 @@ WITH p AS (SELECT order_date AS d, product_id, sum(revenue) AS v FROM x_sold GRO
 SELECT date, count(*) AS active, sum(s) FILTER (r <= 1) AS top_1_share, sum(s) FILTER (r <= 5) AS top_5_share,
        sum(s) FILTER (r <= 10) AS top_10_share, sum(s * s) AS hhi, -sum(s * ln(s)) AS entropy FROM h GROUP BY 1""")
 def _(shop):
-    daily = shop.sold.groupBy("product_id", F.col("order_date").alias("date")).agg(
-        F.sum("revenue").alias("revenue")
-    )
-    return K.rolling_concentration(daily, "product_id")
+    return K.rolling_concentration(product_days(shop), "product_id")
+
+
+@query("D31c_top_product_before", "date:t top_value_before:d", """
+WITH p AS (SELECT order_date AS d, product_id, sum(revenue) AS v FROM x_sold GROUP BY 1, 2), t AS (SELECT d, max(v) AS v FROM p GROUP BY 1)
+SELECT x.date, coalesce(t.v, 0) AS top_value_before FROM x_days x LEFT JOIN t ON t.d = x.date - 1
+WHERE x.date >= (SELECT min(d) FROM p) + 7 AND EXISTS (SELECT 1 FROM p WHERE p.d BETWEEN x.date - 30 AND x.date - 1)""")
+def _(shop):
+    """Revenue of the best product on the day before."""
+    return K.rolling_concentration(product_days(shop), "product_id")
 
 
 @query("D31b_rolling_shares", "category:s date:t share:d", f"""
