@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 Q = 8
 #: Edits allowed per character of an item.
 EDIT_RATE = 0.08
-#: Characters of benchmark text that are sent to the tasks at once; a larger benchmark goes in several rounds.
-BLOCK_CHARS = 1 << 24
+#: Characters of benchmark text that are sent to the tasks at once; a larger benchmark goes in several rounds. Its index takes some 40 bytes
+#: a character in every Python worker.
+BLOCK_CHARS = 1 << 22
+#: Cells of a line of the tables that are aligned at once.
+ALIGNED = 1 << 16
 #: Characters of documents hashed at once.
 CHUNK = 1 << 18
 _BITS = 22
@@ -52,25 +55,58 @@ def budget(length: int, rate: float = EDIT_RATE) -> int:
     return max(0, min(int(length * rate), (length + 1) // Q - 1))
 
 
-def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Least edits of ``item`` against any part of ``text`` on the diagonals low..high: (edits, start, end)."""
+def aligned_many(items: list[np.ndarray], text: np.ndarray, lows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits of each item against any part of ``text`` on ``width`` diagonals from its ``lows`` on: edits, starts, ends.
+
+    All items go through the table together, a row for each; those that have ended keep their last line."""
     unit, far = 1 << 32, 1 << 60
-    k = np.arange(high - low + 1)
-    at = low + k
-    row = np.where((at >= 0) & (at <= len(text)), at, far).astype(np.int64)
+    lengths = np.array([len(i) for i in items])
+    order = np.argsort(-lengths, kind="stable")  # the ones still running come first
+    sizes, n = lengths[order], len(text)
+    codes = np.zeros((int(sizes[0]), len(items)), dtype=np.uint64)
+    for place, which in enumerate(order):
+        codes[: sizes[place], place] = items[which]
+    k = np.arange(width)
+    base = lows[order].astype(np.int64)[:, None] + k
+    rows = np.where((base >= 0) & (base <= n), base, far)
     ramp = k * unit
-    for i in range(1, len(item) + 1):
-        at = i + low + k
-        inside = (at >= 1) & (at <= len(text))
-        same = np.zeros(len(k), dtype=bool)
-        same[inside] = text[at[inside] - 1] == item[i - 1]
+    padded = np.append(text, np.uint64(0))
+    running = len(items)
+    for i in range(1, len(codes) + 1):
+        while sizes[running - 1] < i:
+            running -= 1
+        at = base[:running] + i
+        row = rows[:running]
+        inside, known = (at >= 1) & (at <= n), (at >= 0) & (at <= n)
+        same = inside & (padded[np.clip(at - 1, 0, n)] == codes[i - 1, :running, None])
         best = np.where(inside, row + np.where(same, 0, unit), far)
-        skip = np.append(row[1:], far) + unit
-        best = np.minimum(best, np.where((at >= 0) & (at <= len(text)), skip, far))
-        row = np.minimum(np.minimum.accumulate(best - ramp) + ramp, far)
-        row[(at < 0) | (at > len(text))] = far
-    end = int(np.argmin(row))
-    return int(row[end] >> 32), int(row[end] & (unit - 1)), len(item) + low + end
+        skip = np.concatenate([row[:, 1:], np.full((running, 1), far)], axis=1) + unit
+        best = np.minimum(best, np.where(known, skip, far))
+        best = np.minimum(np.minimum.accumulate(best - ramp, axis=1) + ramp, far)
+        rows[:running] = np.where(known, best, far)
+    ends = np.argmin(rows, axis=1)
+    least = rows[np.arange(len(items)), ends]
+    edits, starts, stops = np.empty(len(items), dtype=np.int64), np.empty(len(items), dtype=np.int64), np.empty(len(items), dtype=np.int64)
+    edits[order], starts[order] = least >> 32, least & (unit - 1)
+    stops[order] = sizes + base[:, 0] + ends
+    return edits, starts, stops
+
+
+def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Least edits of one ``item`` against any part of ``text`` on the diagonals low..high: (edits, start, end)."""
+    edits, starts, ends = aligned_many([item], text, np.array([low]), high - low + 1)
+    return int(edits[0]), int(starts[0]), int(ends[0])
+
+
+def whole_words(text: str, item: str) -> int:
+    """The first place of ``item`` in ``text`` that no letter or digit goes on from; -1 without one."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and item[0].isalnum() and text[at - 1].isalnum()) and not (end < len(text) and item[-1].isalnum() and text[end].isalnum()):
+            return at
+        at = text.find(item, at + 1)
+    return -1
 
 
 class Items:
@@ -101,7 +137,7 @@ class Items:
         if self.short:
             for row, text in enumerate(texts):
                 for k in self.short:
-                    if (at := text.find(self.texts[k])) >= 0:
+                    if (at := whole_words(text, self.texts[k])) >= 0:
                         yield row, self.ids[k], 0, at, at + len(self.texts[k])
         if not len(self.values):
             return
@@ -140,18 +176,27 @@ class Items:
         which = keys >> 32
         good = counts >= self.least[which]
         best: dict[int, tuple[int, int, int]] = {}
-        for k, found in zip(which[good], keys[good]):
-            k = int(k)
-            if best.get(k, (1,))[0] == 0:
-                continue
-            if (place := text.find(self.texts[k])) >= 0:
-                best[k] = (0, place, place + len(self.texts[k]))
-                continue
-            e = int(self.edits[k])
-            low = int((found & 0xFFFFFFFF) - shift) * (e + 1)
-            edits, start, end = aligned(self.codes[k], codes, low, low + 2 * e + 1)
-            if edits <= e and (k not in best or (edits, start) < best[k][:2]):
-                best[k] = (edits, start, end)
+        exact: dict[int, int] = {}
+        open_bands: dict[int, list[tuple[int, int]]] = {}  # by edits, which give the width: item and first diagonal
+        for k, found in zip(which[good].tolist(), keys[good].tolist()):
+            if k not in exact:
+                exact[k] = text.find(self.texts[k])
+                if exact[k] >= 0:
+                    best[k] = (0, exact[k], exact[k] + len(self.texts[k]))
+            if exact[k] < 0:
+                e = int(self.edits[k])
+                open_bands.setdefault(e, []).append((k, ((found & 0xFFFFFFFF) - shift) * (e + 1)))
+        for e, bands in open_bands.items():
+            per = max(1, ALIGNED // (2 * e + 2))
+            for first in range(0, len(bands), per):
+                part = bands[first : first + per]
+                lows = np.array([low for _, low in part])
+                begin = max(0, int(lows.min()) - 1)  # the part of the text that these diagonals reach
+                end = int(lows.max()) + 2 * e + 2 + max(len(self.codes[k]) for k, _ in part)
+                found = aligned_many([self.codes[k] for k, _ in part], codes[begin : max(begin, end)], lows - begin, 2 * e + 2)
+                for (k, _), edits, start, stop in zip(part, *(f.tolist() for f in found)):
+                    if edits <= e and (k not in best or (edits, start + begin) < best[k][:2]):
+                        best[k] = (edits, start + begin, stop + begin)
         for k in sorted(best):
             yield k, *best[k]
 
@@ -188,7 +233,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE)
 
     Places are code points of the text in lower case with single spaces, end exclusive; of several places the one
     with fewest edits, then the first. Null and empty texts hold nothing; null or blank items and items without an id are
-    left out; an item shorter than a q-gram must occur exactly. Repeated rows are answered once each; other columns of
+    left out; an item shorter than a q-gram must occur exactly, as whole words. Repeated rows are answered once each; other columns of
     either table are ignored. An empty benchmark finds nothing.
     """
     spark = docs.sparkSession

@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.hashing import hash52
+from shelfwise.llm.names import named, numbered, of
 from shelfwise.llm.storage import stored
 
 #: Seed of the draws and of the order.
 SEED = 29
+#: Copies of a document made by one step.
+COPIES = 1 << 12
 #: Means from here on are inverted around the mean, not from zero.
 LARGE = 400.0
 
@@ -68,21 +71,25 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The copies: all columns of ``docs``, with ``copy`` (from 1) and ``shuffle_key``, in the order of that key.
+    """The copies: all columns of ``docs``, with ``copy`` (from 1) and ``shuffle_key``, spread over all tasks by that key and
+    ordered by it inside each.
 
-    ``docs`` needs doc_id, text and source. Documents may get no copy. Rows with equal ids draw alike, nulls too. Of other columns named
-    copy or shuffle_key the values are replaced. An empty table stays empty.
+    ``docs`` needs doc_id, text and source. Documents may get no copy. Rows with equal ids draw alike, nulls too. Columns named
+    copy or shuffle_key, in any case, are replaced. An empty table stays empty.
     """
-    laws = distributions(target_rates(docs, weights, epochs)).select(F.col("source").alias("_mix_source"), F.col("first").alias("_mix_first"), F.col("cdf").alias("_mix_cdf"))
-    drawn = docs.join(laws, F.col("source").eqNullSafe(F.col("_mix_source")))
-    unit = (hash52(F.lit(seed), F.col("doc_id")).cast("double") + 0.5) / float(1 << 52)
-    drawn = drawn.withColumn("_mix_unit", unit)
-    times = F.col("_mix_first") + F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_unit")))
-    drawn = drawn.withColumn("_mix_times", times).where("_mix_times > 0")
-    rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times"))))
-    rows = rows.withColumn("shuffle_key", hash52(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("copy")))
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    return rows.select(*kept, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    doc_id = of(docs, "doc_id")
+    laws = distributions(target_rates(docs, weights, epochs)).select("source", "first", "cdf")
+    drawn = numbered(docs).join(laws, of(docs, "source").eqNullSafe(F.col("source")))
+    unit = (hash52(F.lit(seed), doc_id).cast("double") + 0.5) / float(1 << 52)
+    drawn = drawn.withColumn("unit", unit)
+    times = F.col("first") + F.size(F.filter("cdf", lambda c: c <= F.col("unit")))
+    drawn = drawn.withColumn("times", times).where("times > 0").drop("source", "first", "cdf", "unit")
+    # a document with very many copies is laid out range by range
+    ranges = drawn.withColumn("begin", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"), F.lit(COPIES).cast("long"))))
+    rows = ranges.withColumn("copy", F.explode(F.sequence("begin", F.least(F.col("begin") + (COPIES - 1), F.col("times")))))
+    rows = rows.withColumn("shuffle_key", hash52(F.lit(seed), F.lit("order"), doc_id, F.col("copy")))
+    rows = rows.drop("times", "begin").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return rows.select(*named(docs, ("copy", "shuffle_key")), "copy", "shuffle_key")
 
 
 MIX_SQL = f"""

@@ -125,7 +125,7 @@ def _ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    joined = docs.join(F.broadcast(labels), F.col("doc_id") == F.col("label_id"), "left").select("text", "good")
+    joined = docs.select("doc_id", "text").join(F.broadcast(labels), F.col("doc_id") == F.col("label_id"), "left").select("text", "good")
     counts = (
         joined.mapInArrow(tally, "bucket long, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
@@ -195,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame | N
             )
 
     scores = stored(docs.select("doc_id", "text", _noise().alias("noise")).mapInArrow(score, "doc_id long, log_weight double, score double"))
-    known = scores.join(F.broadcast(labels), F.col("doc_id") == F.col("label_id")).select("label_id", "log_weight", "good").distinct().limit(4 * LABELLED).toPandas()
+    # one weight for each labelled id, at most ``LABELLED`` of them: of several texts of an id the least
+    labelled = scores.join(F.broadcast(labels), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "good").agg(F.min("log_weight").alias("log_weight"))
+    known = labelled.toPandas()
     if known["good"].nunique() < 2:
         return None, None
     cut = _best_cut(known["log_weight"].to_numpy(), known["good"].to_numpy())
@@ -231,4 +233,7 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = _weights(batch.column(place), shared.value) + batch.column(last).to_numpy()
             yield batch.select(list(range(last))).filter(pa.array(score >= cutoff))
 
-    return docs.select("*", _noise().alias("_gumbel_noise")).mapInArrow(keep, T.StructType(docs.schema.fields))
+    name = "noise"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.select("*", _noise().alias(name)).mapInArrow(keep, T.StructType(docs.schema.fields))

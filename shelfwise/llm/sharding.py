@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.hashing import hash52
+from shelfwise.llm.names import named, numbered, of
 
 #: Shards, and slots of the table: a prime of at least a hundred times as many.
 SHARDS, SLOTS = 64, 8191
@@ -60,14 +61,12 @@ def names(count: int) -> list[str]:
 def placed(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """``docs`` with ``slot`` and ``shard`` (position in ``shards``), placed by doc_id; no row is shuffled.
 
-    Rows with equal ids get one shard, a null id has its own fixed slot. Columns named slot or shard are replaced.
+    Rows with equal ids get one shard, a null id has its own fixed slot. Columns named slot or shard, in any case, are replaced.
     """
     shards = names(SHARDS) if shards is None else shards
-    table = slots_frame(docs.sparkSession, shards, slots).select(F.col("slot").alias("_table_slot"), F.col("shard").alias("_table_shard"))
-    slot = (hash52(F.lit(seed), F.col("doc_id")) % slots).cast("int")
-    rows = docs.withColumn("_slot", slot).join(F.broadcast(table), F.col("_slot") == F.col("_table_slot"))
-    kept = [c for c in docs.columns if c not in ("slot", "shard")]
-    return rows.select(*kept, F.col("_slot").alias("slot"), F.col("_table_shard").alias("shard"))
+    slot = (hash52(F.lit(seed), of(docs, "doc_id")) % slots).cast("int")
+    rows = numbered(docs).withColumn("slot", slot).join(F.broadcast(slots_frame(docs.sparkSession, shards, slots)), "slot")
+    return rows.select(*named(docs, ("slot", "shard")), "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str] | None = None, slots: int = SLOTS, files: int = 4) -> None:

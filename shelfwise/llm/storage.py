@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.sources.session import scratch_folder
 
 _roots: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,13 +25,21 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what :func:`stored` has written for this application."""
-    root = _roots.pop(spark.sparkContext.applicationId, None)
-    if root:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def tables(spark: SparkSession) -> int:
+    """How many tables :func:`stored` has written for this application and not deleted."""
+    return len(_paths.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the first ``since``, but for the last ``keep``: nothing may read them any more."""
+    paths = _paths.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - keep]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    paths[:] = [p for p in paths if p not in gone]
