@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import decontaminate, jaccard, mixing, quality, sharding
-from shelfwise.llm.storage import stored
+from shelfwise.llm.storage import release, stored, tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows stored for the next."""
+    """All stages over ``documents``, each stage's rows stored for the next; what earlier stages stored is deleted."""
+    before = tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = stored(docs)
+            release(spark, since=before, keep=1)
     return docs
