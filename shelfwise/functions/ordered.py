@@ -1,9 +1,9 @@
 """Running totals, positions and quantiles over orderings of any size.
 
-A window without a bounded partition sends a whole ordering to one task. Here the rows are range-partitioned on the
-full ordering and materialised, each slice is totalled, and the totals of earlier slices are added to the running value
-inside a slice. Null keys are a group of their own. Frames that the calendar bounds use :func:`bounded_quantiles` or a
-plain window instead.
+A window without a bounded partition sends a whole ordering to one task. For running totals the rows are range-partitioned
+on the full ordering and materialised, each slice is totalled, and the totals of earlier slices are added to the running
+value inside a slice. Quantiles need no ordering: their ranks are found in histograms of narrowing bins. Null keys are a
+group of their own. Frames that the calendar bounds use :func:`bounded_quantiles` or a plain window instead.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def quantiles_of(
                 F.max(F.when(own, spot - F.floor(spot))).alias(f"_part_{name}"),
             ]
             low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-            finals.append((low + (high - low) * F.col(f"_part_{name}")).alias(name))
+            finals.append(F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_part_{name}")).alias(name))
     return picked.groupBy(*keys).agg(*parts).select(*keys, *finals)
 
 

@@ -136,6 +136,76 @@ def _(shop):
     return M.reference_features(train(shop), future(shop).select("date"), growth, THREE)
 
 
+GROWN = ["revenue", "cogs", "orders", "aov", "cogs_ratio"]
+view("x_growth_default", """
+WITH y AS (SELECT year(date) AS year, avg(revenue) AS r, avg(cogs) AS c, avg(orders) AS o, avg(aov) AS a, avg(cogs_ratio) AS q FROM x_train GROUP BY 1),
+     g AS (SELECT year, r / lag(r) OVER w - 1 AS r, c / lag(c) OVER w - 1 AS c, o / lag(o) OVER w - 1 AS o, a / lag(a) OVER w - 1 AS a, q / lag(q) OVER w - 1 AS q
+           FROM y WINDOW w AS (ORDER BY year)),
+     l AS (SELECT * FROM g WHERE year = 2000),
+     k AS (SELECT exp(avg(ln(1 + r))) AS r, exp(avg(ln(1 + c))) AS c, exp(avg(ln(1 + o))) AS o, exp(avg(ln(1 + a))) AS a, exp(avg(ln(1 + q))) AS q FROM g WHERE year >= 1996)
+SELECT least(greatest(CASE WHEN l.r > 0 THEN 1 + l.r ELSE k.r END, 0.95), 1.25) AS revenue,
+       least(greatest(CASE WHEN l.c > 0 THEN 1 + l.c ELSE k.c END, 0.95), 1.25) AS cogs,
+       least(greatest(CASE WHEN l.o > 0 THEN 1 + l.o * 1.25 ELSE k.o END, 0.95), 1.25) AS orders,
+       least(greatest(CASE WHEN l.a > 0 THEN 1 + l.a * 1.35 ELSE k.a END, 0.95), 1.25) AS aov,
+       least(greatest(k.q, 0.95), 1.25) AS cogs_ratio FROM l, k
+""")
+view("x_normed", "SELECT month(date) AS month, day(date) AS day, " + ", ".join(
+    f"{c} / avg({c}) OVER (PARTITION BY year(date)) AS {c}" for c in GROWN) + " FROM x_train")
+view("x_profile_default", "SELECT month, day, " + ", ".join(f"avg({c}) AS {c}" for c in GROWN) + " FROM x_normed GROUP BY 1, 2")
+view("x_level_default", "SELECT " + ", ".join(f"avg({c}) AS {c}" for c in GROWN) + " FROM x_train WHERE year(date) = 2000")
+view("x_baseline_default", "SELECT f.date, " + ", ".join(
+    f"l.{c} * pow(g.{c}, year(f.date) - 2000) * coalesce(p.{c}, 1) AS {c}_seasonal_base" for c in GROWN)
+    + " FROM x_history f LEFT JOIN x_profile_default p ON p.month = month(f.date) AND p.day = day(f.date), x_level_default l, x_growth_default g")
+
+
+@query("F04b_baseline_default", "date:t " + " ".join(f"{c}_seasonal_base:d" for c in GROWN),
+       "SELECT * FROM x_baseline_default WHERE date > DATE '2000-12-31'")
+def _(shop):
+    """All five columns under the growth rule that forecasts use."""
+    growth = M.annual_growth(train(shop), since=1996)
+    return M.seasonal_baseline(train(shop), future(shop).select("date"), growth)
+
+
+@query("F05b_references_default", "date:t " + " ".join(f"{c}_seasonal_base:d {c}_seasonal_base_log:e {c}_month_avg:d {c}_quarter_avg:d {c}_weekday_avg:d" for c in GROWN),
+       "SELECT b.date, " + ", ".join(
+           f"{c}_seasonal_base, ln(1 + {c}_seasonal_base) AS {c}_seasonal_base_log, m.{c} AS {c}_month_avg, q.{c} AS {c}_quarter_avg, w.{c} AS {c}_weekday_avg" for c in GROWN)
+       + " FROM x_baseline_default b" + "".join(
+           f" LEFT JOIN (SELECT {f}(date) AS k, {', '.join(f'avg({c}) AS {c}' for c in GROWN)} FROM x_train GROUP BY 1) {a} ON {a}.k = {f}(b.date)"
+           for a, f in (("m", "month"), ("q", "quarter"), ("w", "isodow")))
+       + " WHERE b.date > DATE '2000-12-31'")
+def _(shop):
+    growth = M.annual_growth(train(shop), since=1996)
+    return M.reference_features(train(shop), future(shop).select("date"), growth)
+
+
+def history_sql(c: str) -> str:
+    """All history features of one column."""
+    out = [f"lag({c}, {k}) OVER (ORDER BY date) AS {c}_lag_{k}" for k in M.LAGS]
+    known = [f"lag({c}, {k}) OVER (ORDER BY date)" for k in (364, 365, 366)]
+    out.append(f"({' + '.join(f'coalesce({x}, 0)' for x in known)}) / nullif({' + '.join(f'({x} IS NOT NULL)::INT' for x in known)}, 0) AS {c}_yoy_lag_mean")
+    for w in M.WINDOWS:
+        out += [f"{roll_sql(c, kind, w, M.least_values(w), 1)} AS {c}_roll_{kind}_{w}" for kind in ("mean", "std")]
+    return ", ".join(out)
+
+
+HISTORY = [n for c in GROWN for n in [*[f"{c}_lag_{k}" for k in M.LAGS], f"{c}_yoy_lag_mean", *[f"{c}_roll_{k}_{w}" for w in M.WINDOWS for k in ("mean", "std")]]]
+
+
+@query("F06b_all_history_features", "date:t " + " ".join(f"{n}:d" for n in HISTORY), f"SELECT date, {', '.join(map(history_sql, GROWN))} FROM x_history")
+def _(shop):
+    """Every lag and rolling feature of the five columns."""
+    return M.history_features(history(shop))
+
+
+@query("F07b_default_matrix", "date:t target:d " + " ".join(f"{n}:d" for n in M.FEATURES["revenue"]),
+       f"SELECT t.date, t.revenue AS target, {', '.join(M.FEATURES['revenue'])} FROM x_train t JOIN x_baseline_default USING (date) JOIN (SELECT date, "
+       + ", ".join(map(history_sql, GROWN)) + " FROM x_train) h USING (date)")
+def _(shop):
+    """All features on the revenue model's list, under the growth rule that forecasts use."""
+    rows = train(shop)
+    return M.feature_matrix(rows, M.annual_growth(rows, since=1996), "revenue")
+
+
 @query("F06_history_features", "date:t revenue_lag_1:d orders_lag_366:i revenue_yoy_lag_mean:d revenue_roll_mean_30:d orders_roll_std_7:d cogs_roll_mean_365:d", f"""
 WITH l AS (SELECT *, lag(revenue, 364) OVER w AS a, lag(revenue, 365) OVER w AS b, lag(revenue, 366) OVER w AS c FROM x_history WINDOW w AS (ORDER BY date))
 SELECT date, lag(revenue, 1) OVER (ORDER BY date) AS revenue_lag_1, lag(orders, 366) OVER (ORDER BY date) AS orders_lag_366,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,11 +12,42 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import ratio
 
 
-def write_metrics(df: DataFrame, path: str, fmt: str = "csv", one_file: bool = True) -> None:
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], check: Callable[[str], None] = lambda folder: None) -> None:
+    """Write into a folder beside ``path``, check what can be read back there, and only then put it in the place of ``path``.
+
+    If the write or the check raises, what was at ``path`` stays as it is. Readers see the old or the new folder, or for the
+    moment between two renames none.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = lambda what: jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{what}-{uuid.uuid4().hex}")
+    staging, old = beside("new"), beside("old")
+    files = target.getFileSystem(conf)
+    try:
+        write(staging.toString())
+        check(staging.toString())
+    except BaseException:
+        files.delete(staging, True)
+        raise
+    replaced = files.exists(target)
+    if replaced and not files.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(staging, target):
+        if replaced:
+            files.rename(old, target)
+        raise OSError(f"cannot publish {path}")
+    if replaced:
+        files.delete(old, True)
+
+
+def write_metrics(df: DataFrame, path: str, fmt: str = "csv", one_file: bool = False) -> None:
     """Write a metric table; ``one_file`` is for small report tables only."""
-    out = df.coalesce(1) if one_file else df
-    writer = out.write.mode("overwrite")
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+
+    def write(folder: str) -> None:
+        writer = (df.coalesce(1) if one_file else df).write
+        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(folder)
+
+    publish(df.sparkSession, path, write)
 
 
 def forecast_summary(forecast: DataFrame, template: DataFrame) -> DataFrame:
@@ -38,23 +70,29 @@ def forecast_summary(forecast: DataFrame, template: DataFrame) -> DataFrame:
     ).withColumns({"extra_dates": extra, "absent_dates": absent})
 
 
-def write_forecast(forecast: DataFrame, template: DataFrame, path: str) -> DataFrame:
-    """Write a checked forecast as CSV and return its summary row.
+def write_forecast(forecast: DataFrame, template: DataFrame, path: str, one_file: bool = False) -> DataFrame:
+    """Write a checked forecast as CSV in the order of its dates and return the summary row of the file.
 
-    Negative values become 0 and values are rounded to cents. Missing values and
-    dates that differ from the template are refused.
+    Negative values become 0 and values are rounded to cents. What can be read back is checked: with missing values or
+    dates that differ from the template it is refused, and an earlier file stays.
     """
+    spark = forecast.sparkSession
     money = lambda c: F.when(F.col(c).isNotNull(), F.round(F.greatest(c, F.lit(0.0)), 2))
-    ready = forecast.select("date", money("revenue").alias("revenue"), money("cogs").alias("cogs"))
-    summary = forecast_summary(ready, template)
-    row = summary.first()
-    if row.missing:
-        raise ValueError(f"{row.missing} forecast rows have missing values")
-    if row.extra_dates or row.absent_dates or row.rows != row.days:
-        raise ValueError("forecast dates differ from the template")
-    dated = ready.orderBy("date").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
-    write_metrics(dated, path)
-    return summary
+    ready = forecast.select("date", money("revenue").alias("revenue"), money("cogs").alias("cogs")).orderBy("date")
+    dated = ready.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+    def summary(folder: str) -> DataFrame:
+        return forecast_summary(spark.read.csv(folder, schema="date DATE, revenue DOUBLE, cogs DOUBLE", header=True), template)
+
+    def check(folder: str) -> None:
+        row = summary(folder).first()
+        if row.missing:
+            raise ValueError(f"{row.missing} forecast rows have missing values")
+        if row.extra_dates or row.absent_dates or row.rows != row.days:
+            raise ValueError("forecast dates differ from the template")
+
+    publish(spark, path, lambda folder: (dated.coalesce(1) if one_file else dated).write.csv(folder, header=True), check)
+    return summary(path)
 
 
 def stage_problem(df: DataFrame, columns: Sequence[str], keys: Sequence[str], days: DataFrame) -> str | None:
@@ -88,7 +126,7 @@ def cached_stage(
     refresh: bool = False,
     partition_by: Sequence[str] = (),
 ) -> tuple[DataFrame, str]:
-    """Stored stage when it is complete, else build, store and check it."""
+    """Stored stage when it is complete, else build, check and store it; a stage that fails its check replaces nothing."""
     if not refresh:
         try:
             stored = spark.read.parquet(path)
@@ -96,9 +134,11 @@ def cached_stage(
                 return stored, "loaded"
         except AnalysisException:
             pass
-    build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    stored = spark.read.parquet(path)
-    problem = stage_problem(stored, columns, keys, days)
-    if problem:
-        raise ValueError(f"stage {path} is not valid: {problem}")
-    return stored, "recomputed"
+
+    def check(folder: str) -> None:
+        problem = stage_problem(spark.read.parquet(folder), columns, keys, days)
+        if problem:
+            raise ValueError(f"stage {path} is not valid: {problem}")
+
+    publish(spark, path, lambda folder: build().write.partitionBy(*partition_by).parquet(folder), check)
+    return spark.read.parquet(path), "recomputed"

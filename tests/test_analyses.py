@@ -14,6 +14,7 @@ from shelfwise.operators import forecast as M
 from shelfwise.operators import orders as O
 from shelfwise.operators import promotions as R
 from shelfwise.operators import quality as Q
+from shelfwise.operators import recursion as N
 from shelfwise.operators import report as V
 from shelfwise.sources import catalog, sinks
 
@@ -126,12 +127,11 @@ def test_recursive_forecast_is_complete(spark):
         rows.append((DAY + dt.timedelta(days=i), orders * 50.0, orders * 30.0, orders))
     sales = spark.createDataFrame(rows, "date date, revenue double, cogs double, orders int")
     history = M.load_history(sales)
-    growth = M.annual_growth(history, since=2018)
-    table = M.feature_matrix(history, growth).cache()
-    models = {n: M.fit_log_linear(table.withColumn("target", F.col(n)), M.FEATURES[n]) for n in M.SERIES}
+    table, growth = N.known_features(history, since=2018)
+    models = N.linear_models(N.fit_linear(N.training_rows(table)))
     ahead = spark.createDataFrame([(DAY + dt.timedelta(days=800 + i),) for i in range(30)], "date date")
-    bases = M.calendar_features(M.seasonal_baseline(history, ahead, growth), F.lit(DAY))
-    got = M.recursive_forecast(history, bases, models).orderBy("date").toPandas()
+    bases = N.coming_days(history, ahead, growth)
+    got = N.recursive_forecast(history, bases, models, {"blend": (0.5, 0.5)}).orderBy("date").toPandas()
     assert len(got) == 30 and np.isfinite(got.revenue).all() and (got[["revenue", "cogs"]] >= 0).all().all()
     assert got.revenue.mean() == pytest.approx(1000, rel=0.5)
     template = spark.createDataFrame(got[["date"]])
@@ -144,8 +144,8 @@ def test_recursion_has_the_features_of_training(spark, days):
     history = spark.createDataFrame([*known, (DAY + dt.timedelta(days=days), 1.0)], "date date, revenue double")
     names = [f"revenue_roll_{k}_{w}" for k in ("mean", "std") for w in (7, 30, 365)] + ["revenue_lag_1", "revenue_yoy_lag_mean"]
     trained = M.history_features(history, ["revenue"]).orderBy(F.desc("date")).select(*names).first().asDict()
-    state = {"revenue": [np.nan if v is None else v for _, v in known]}
-    recursed = M.next_day_features(names, state, {})
+    state = {"revenue": np.array([np.nan if v is None else v for _, v in known])}
+    recursed = dict(zip(names, N.day_features(names, state, days, {})))
     want = [np.nan if trained[n] is None else trained[n] for n in names]
     assert np.allclose([recursed[n] for n in names], want, equal_nan=True)
 
@@ -162,6 +162,11 @@ def test_write_forecast_refuses_bad_frames(spark, tmp_path):
         sinks.write_forecast(good.limit(2), template, str(tmp_path / "g"))
     with pytest.raises(ValueError, match="missing"):
         sinks.write_forecast(good.withColumn("cogs", F.lit(None).cast("double")), template, str(tmp_path / "h"))
+    with pytest.raises(ValueError, match="template"):
+        sinks.write_forecast(good.limit(2), template, str(tmp_path / "f"))
+    again = catalog.read_table(spark, str(tmp_path / "f"), "date DATE, revenue DOUBLE, cogs DOUBLE")
+    assert again.count() == 3  # what was refused has replaced nothing
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f"]
 
 
 def test_cached_stage(spark, tmp_path):
@@ -179,6 +184,7 @@ def test_cached_stage(spark, tmp_path):
     assert state == "recomputed"
     with pytest.raises(ValueError):
         sinks.cached_stage(spark, path, lambda: days.limit(2).withColumn("p", F.lit(1.0)), ["p"], ["date"], days, refresh=True)
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_waterfall(spark):
@@ -216,3 +222,44 @@ def test_references_come_from_known_days_only(spark):
 
     one, other = features(5.0), features(900.0)
     assert len(one) == 500 and one == pytest.approx(other)
+
+
+def test_metrics_replace_the_file_before(spark, tmp_path):
+    for n in (5, 2):
+        sinks.write_metrics(spark.range(n), str(tmp_path / "m"), one_file=True)
+    assert catalog.read_table(spark, str(tmp_path / "m"), "id LONG").count() == 2
+    with pytest.raises(Exception, match="(?i)zero"):
+        sinks.write_metrics(spark.range(3).select((1 / F.col("id")).alias("id")), str(tmp_path / "m"))
+    assert catalog.read_table(spark, str(tmp_path / "m"), "id LONG").count() == 2
+
+
+@pytest.mark.parametrize("block", [1, 4, 32])
+def test_top_of_steps_equals_every_day_laid_out(spark, block):
+    random = np.random.default_rng(8)
+    sales = pd.DataFrame({"k": random.integers(0, 12, 300), "day": random.integers(0, 90, 300), "v": random.integers(1, 30, 300).astype(float)})
+    sales = sales.groupby(["k", "day"], as_index=False)["v"].sum()
+    sales["date"] = [DAY + dt.timedelta(days=int(d)) for d in sales["day"]]
+    steps = K.rolling_steps(spark.createDataFrame(sales[["k", "date", "v"]]), "k", "v", 7)
+    got = {(r.day, r.place): r.v for r in K.top_of_steps(steps, "k", 3, block).collect()}
+    start = (DAY - dt.date(1970, 1, 1)).days
+    want = {}
+    for day in range(1, 100):
+        sums = sales[(sales["day"] >= day - 7) & (sales["day"] < day)].groupby("k")["v"].sum()
+        for place, v in enumerate(sorted(sums, reverse=True)[:3], 1):
+            want[start + day, place] = v
+    assert got == want
+
+
+def test_quantiles_of_wide_values(spark):
+    from shelfwise.functions.ordered import quantiles
+
+    random = np.random.default_rng(6)
+    for values in (random.normal(size=500) * 10.0 ** random.integers(-200, 200, 500), np.zeros(9), np.array([-0.0, 0.0, -5e-324, 5e-324]), np.array([-np.inf, 1.0, np.inf]), np.full(50, 3.3)):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        row = quantiles(df, "v", {"a": 0.0, "b": 0.37, "c": 1.0}).first()
+        order = np.sort(values)
+        spot = 0.37 * (len(values) - 1)
+        low, high = order[int(np.floor(spot))], order[int(np.ceil(spot))]
+        assert row.a == order[0] and row.c == order[-1]
+        if np.isfinite([low, high]).all():
+            assert np.isclose(row.b, low + (high - low) * (spot - np.floor(spot)), rtol=1e-12, atol=0)
