@@ -33,6 +33,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     return quantiles(df, value, probs, keys)
 
 
+def by_each(df: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
+    """``df`` once per dimension, with ``dim`` (its name) and ``grp`` (its value as text): one aggregate over both answers
+    for all dimensions from one scan."""
+    entries = [F.struct(F.lit(n).alias("dim"), c.cast("string").alias("grp")) for n, c in dimensions.items()]
+    return df.withColumn("_d", F.explode(F.array(*entries))).withColumns({"dim": F.col("_d.dim"), "grp": F.col("_d.grp")}).drop("_d")
+
+
 def share_by(df: DataFrame, keys: Sequence[str], total: Column, within: Sequence[str] = ()) -> DataFrame:
     """Group totals and their share of the whole or of an outer group."""
     sums = df.groupBy(*keys).agg(total.alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,21 +13,21 @@ from shelfwise.functions.scalars import at_least, herfindahl, ratio
 from shelfwise.operators.timeseries import by_date, densify, lags, rolled
 
 
-def group_revenue(lines: DataFrame, group: str) -> DataFrame:
-    """Revenue, orders, lines and products per group with share and rank."""
-    sums = lines.groupBy(group).agg(
+def group_revenue(lines: DataFrame, group: str, within: Sequence[str] = ()) -> DataFrame:
+    """Revenue, orders, lines and products per group with share and rank (inside ``within``)."""
+    sums = lines.groupBy(*within, group).agg(
         F.sum("revenue").alias("revenue"),
         F.count_distinct("order_id").alias("orders"),
         F.count("*").alias("lines"),
         F.count_distinct("product_id").alias("products"),
         F.avg("revenue").alias("mean_line"),
     )
-    whole = F.sum("revenue").over(Window.partitionBy())
+    whole = F.sum("revenue").over(Window.partitionBy(*within))
     return sums.withColumns(
         {
             "share": ratio(F.col("revenue"), whole),
             "revenue_per_order": ratio(F.col("revenue"), F.col("orders")),
-            "rank": F.rank().over(Window.orderBy(F.desc("revenue"))),
+            "rank": F.rank().over(Window.partitionBy(*within).orderBy(F.desc("revenue"))),
         }
     )
 

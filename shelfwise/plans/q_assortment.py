@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import month_start
+from shelfwise.operators import aggregate as A
 from shelfwise.operators import concentration as K
 from shelfwise.operators import customers as U
 from shelfwise.operators import promotions as R
@@ -23,11 +24,8 @@ FROM x_lines GROUP BY 2"""
 @query("D22_group_revenue", "dim:s grp:s revenue:d orders:i lines:i products:i mean_line:d share:d revenue_per_order:d rank:i",
        GROUP.format(g="category") + " UNION ALL " + GROUP.format(g="segment"))
 def _(shop):
-    parts = [
-        K.group_revenue(shop.lines, g).withColumnRenamed(g, "grp").withColumn("dim", F.lit(g))
-        for g in ("category", "segment")
-    ]
-    return Q.union_all(parts)
+    lines = A.by_each(shop.lines, {g: F.col(g) for g in ("category", "segment")})
+    return K.group_revenue(lines, "grp", ["dim"])
 
 
 @query("D23_product_sales", "product_id:i category:s quantity:d revenue:d cost:d profit:d", """
@@ -365,9 +363,8 @@ view("x_promo_daily", USAGE.format(key="order_date"))
 @query("D47_promo_usage", f"grp:s {USAGE_COLUMNS}", " UNION ALL ".join(
     USAGE.format(key=k) for k in ("category", "segment", "'all'")))
 def _(shop):
-    parts = [R.promo_usage(shop.lines, [g]).withColumnRenamed(g, "grp") for g in ("category", "segment")]
-    parts.append(R.promo_usage(shop.lines, []).withColumn("grp", F.lit("all")))
-    return Q.union_all(parts)
+    dimensions = {"category": F.col("category"), "segment": F.col("segment"), "all": F.lit("all")}
+    return R.promo_usage(A.by_each(shop.lines, dimensions), ["dim", "grp"])
 
 
 @query("D47b_promo_usage_daily", f"grp:t {USAGE_COLUMNS}", "SELECT * FROM x_promo_daily")
