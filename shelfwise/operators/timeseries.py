@@ -618,7 +618,7 @@ def partial_autocorrelation(df: DataFrame, value: str, max_lag: int = 60, series
                 if rest[0, 0] > d and rest[1, 1] > d:
                     result = float(rest[0, 1] / np.sqrt(rest[0, 0] * rest[1, 1]))
             out.append((key[0], lag, result, pairs))
-        return pd.DataFrame(out, columns=["series", "lag", "partial_correlation", "pairs"])
+        return pd.DataFrame(out[::-1], columns=["series", "lag", "partial_correlation", "pairs"])
 
     schema = T.StructType(
         [
