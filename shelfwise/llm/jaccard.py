@@ -2,7 +2,9 @@
 
 The tokens (word shingles) of a document are hashed into ``GROUPS`` groups; the group counts are a point.
 The overlap of two documents is at most the sum of the coordinate minima of their points, and of a document
-and an R-tree node at most that sum with the node's largest coordinates.
+and an R-tree node at most that sum with the node's largest coordinates. Coordinates end at ``HIGHEST``; what a set
+holds beyond that in all its groups, its excess, is its size without its coordinates' sum, and two sets share at
+most the smaller excess there.
 
 In running text all points lie close together, so one tree over everything would visit every leaf. The points
 are therefore dealt first by rare coordinates: two sets with a similarity of 3/4 share at least k shingles among the
@@ -26,6 +28,8 @@ from shelfwise.llm.storage import stored
 
 #: Groups of the count vectors.
 GROUPS = 512
+#: Largest coordinate of a point.
+HIGHEST = np.iinfo(np.uint16).max
 #: Shingles of a prefix that linked sets share beyond the first, per shingle of the set.
 SPARE = 0.08
 #: Entries of an R-tree node.
@@ -89,7 +93,7 @@ def _points(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keys.append(key)
                 sizes.append(n)
                 counts = np.bincount((values >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                vectors.append(counts.astype(np.uint16))
+                vectors.append(np.minimum(counts, HIGHEST).astype(np.uint16))
                 prefix = values[:0]
                 if n and key not in seen:
                     seen.add(key)
@@ -219,7 +223,8 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for batch in batches:
             one, other = (_vectors(batch.column(k)) for k in (4, 5))
             n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
-            keep = np.minimum(one, other).sum(axis=1, dtype=np.int64) >= least_overlap(n_a, n_b)
+            most = np.minimum(one, other).sum(axis=1, dtype=np.int64) + np.minimum(_excess(one, n_a), _excess(other, n_b))
+            keep = most >= least_overlap(n_a, n_b)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return sized.mapInArrow(check, "a long, b long")
@@ -229,6 +234,11 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
 
 
+def _excess(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many shingles of each set its point leaves out."""
+    return sizes - points.sum(axis=1, dtype=np.int64)
+
+
 def _document_filter(ids: DataFrame) -> np.ndarray:
     """A bit set of hashed ids: at most ``FILTER_BITS`` bits whatever the input, collected by words."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -283,7 +293,7 @@ def _verified(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 class Tree:
-    """An R-tree packed over the points of one block; nodes keep largest coordinates, sizes and components."""
+    """An R-tree packed over the points of one block; nodes keep largest coordinates and excess, sizes and components."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         axis = int(np.argmax(points.max(axis=0) - points.min(axis=0))) if len(points) > FANOUT else 0
@@ -291,29 +301,31 @@ class Tree:
         self.levels = []
         top, low, high = points[self.order], sizes[self.order], sizes[self.order]
         first, last = labels[self.order], labels[self.order]
+        more = _excess(top, low)
         while True:
-            self.levels.append((top, low, high, first, last))
+            self.levels.append((top, more, low, high, first, last))
             if len(top) <= FANOUT:
                 break
             cut = np.arange(0, len(top), FANOUT)
-            top = np.maximum.reduceat(top, cut, axis=0)
+            top, more = np.maximum.reduceat(top, cut, axis=0), np.maximum.reduceat(more, cut)
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
 
     def search(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (query, entry) of different components that may be linked, with their similarity at most."""
         found_q, found_e, found_s = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)], [np.zeros(0)]
+        excess = _excess(points, sizes)
         todo = [(len(self.levels) - 1, 0, len(self.levels[-1][0]), np.arange(len(points)))]
         while todo:
             level, begin, end, active = todo.pop()
-            top, low, high, first, last = (x[begin:end] for x in self.levels[level])
+            top, more, low, high, first, last = (x[begin:end] for x in self.levels[level])
             n = sizes[active][:, None]
             least = np.maximum(low[None, :], -(-n * WHOLE // PART))
             fits = (least <= high[None, :]) & (PART * n >= WHOLE * low[None, :])
             fits &= ~((first == last)[None, :] & (first[None, :] == labels[active][:, None]))
             q, e = np.nonzero(fits)
             if len(q):
-                bound = np.minimum(points[active[q]], top[e]).sum(axis=1, dtype=np.int64)
+                bound = np.minimum(points[active[q]], top[e]).sum(axis=1, dtype=np.int64) + np.minimum(excess[active[q]], more[e])
                 ok = bound >= least_overlap(n[q, 0], least[q, e])
                 q, e, bound = q[ok], e[ok], bound[ok]
                 if level == 0:

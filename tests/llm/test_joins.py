@@ -67,17 +67,28 @@ def test_jaccard_components_match_all_pairs(spark):
     assert ids == sorted({c for c in want.values()}) + [None]
 
 
+@pytest.mark.parametrize("highest", [0, 1])
+def test_sets_beyond_the_largest_coordinate_keep_their_links(spark, monkeypatch, highest):
+    monkeypatch.setattr(jaccard, "HIGHEST", highest)
+    docs = near_documents()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame).collect()}
+    assert got == near_components(docs)
+
+
 def test_jaccard_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(empty).collect() == []
 
 
-def test_tree_finds_all_pairs_that_pass_the_bounds():
+@pytest.mark.parametrize("highest", [jaccard.HIGHEST, 1])
+def test_tree_finds_all_pairs_that_pass_the_bounds(highest):
     draw = np.random.default_rng(3)
     base = draw.poisson(2, (40, jaccard.GROUPS))
     points = np.concatenate([base, np.maximum(base + draw.integers(-1, 2, base.shape) * (draw.random(base.shape) < 0.1), 0)]).astype(np.uint16)
     sizes, labels = points.sum(axis=1).astype(np.int64), np.arange(80)
-    q, e, _ = jaccard.Tree(points, sizes, labels).search(points, sizes, labels)
+    clipped = np.minimum(points, highest)
+    q, e, _ = jaccard.Tree(clipped, sizes, labels).search(clipped, sizes, labels)
     got = {(a, b) for a, b in zip(q.tolist(), e.tolist())}
     for a in range(80):
         for b in range(80):
