@@ -188,7 +188,7 @@ def _possible(members: DataFrame, points: DataFrame) -> DataFrame:
         if last:
             full = full.where("tag > 0")
         cells = full.groupBy("cell").agg(F.count("*").alias("sets"), F.max("tag").alias("early"))
-        cells = cells.where("sets > 1" + " AND early = 2" * last).select("cell")
+        cells = stored(cells.where("sets > 1" + " AND early = 2" * last).select("cell"))  # so AQE can split large cells
         full = stored(full.join(cells, "cell", "left_semi"))
     return full.select("cell", "key")
 
@@ -345,14 +345,14 @@ def _tree_pairs(members: DataFrame, points: DataFrame, roots: DataFrame, best: i
     """Pairs (a, b), a < b, of different components that share a cell and pass the bounds.
 
     With ``best`` only each set's so many most promising partners in a block."""
-    labelled = (
+    labelled = stored(
         members.join(roots.withColumnRenamed("node", "key"), "key", "left")
         .select("cell", "key", F.coalesce("root", "key").alias("root"))
     )
     per_root = labelled.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    mixed = per_root.groupBy("cell").agg(
+    mixed = stored(per_root.groupBy("cell").agg(
         F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"), F.count("*").alias("roots")
-    ).where("roots > 1")
+    ).where("roots > 1"))
     # The members of a cell's largest component meet only the others; both sides are cut into blocks.
     placed = labelled.join(mixed, "cell").select(
         "cell", "key", "root", (F.col("root") == F.col("major")).alias("is_major"),
