@@ -5,9 +5,13 @@ import random
 
 import duckdb
 import numpy as np
+import plain
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from shelfwise.llm import decontaminate, jaccard, mixing, quality, queries, quotations, sharding
+from shelfwise.llm import decontaminate, mixing, quality, queries, quotations, sharding
 
 import corpus_pipeline
 
@@ -17,7 +21,7 @@ SMALL = "/root/testdata/sf0.001"
 def same_as_sql(frame, sql, **tables):
     db = duckdb.connect()
     for name, table in tables.items():
-        db.register(name, table.toArrow())
+        db.register(name, table if isinstance(table, pa.Table) else table.toArrow())
     cursor = db.execute(sql)
     columns = [c[0] for c in cursor.description]
     want = collections.Counter(tuple(r[columns.index(c)] for c in frame.columns) for r in cursor.fetchall())
@@ -157,19 +161,39 @@ def test_quotations_by_hand(spark, monkeypatch):
     assert got[5][1:] == (None, 5, 0, 0)
 
 
-def test_pipeline_against_its_parts(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    labels, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
-    good = {r.doc_id for r in quality.sampled(docs, labels).collect()}
-    step = docs.where(F.col("doc_id").isin(list(good)))
-    near = {r.doc_id for r in jaccard.jaccard_components(step).where("doc_id = component_id").collect()}
-    leaks = {r.doc_id for r in decontaminate.contaminated(step, bench).collect()}
+def test_quality_matches_a_plain_version(labelled):
+    docs, labels = labelled
+    docs, labels = docs.where("doc_id IS NOT NULL"), labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain.importance_resampled(rows, [(r.doc_id, r.quality) for r in labels.collect()], quality.BUCKETS, quality.SEED)
+    assert 0 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in quality.sampled(docs, labels).collect()) == sorted(want)
+
+
+def test_pipeline_matches_a_plain_version(spark):
+    """Plain resampling, all pairs, all edit distances, then SQL for the copies and their shards."""
+    tables = {t: pq.read_table(f"{SMALL}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    texts = dict(zip(*(tables["documents"].column(c).to_pylist() for c in ("doc_id", "text"))))
+    assert len(texts) == tables["documents"].num_rows
+    said = zip(*(tables["labels"].column(c).to_pylist() for c in ("doc_id", "quality")))
+    good = plain.importance_resampled(list(texts.items()), said, quality.BUCKETS, quality.SEED)
+    near = plain.near_components([(i, texts[i]) for i in good])
+    alone = [i for i in good if near[i] == i or not texts[i]]
+    items = [decontaminate.normalised(t) for t in tables["benchmark"].column("text").to_pylist()]
+    leaks = {
+        i for i in alone for text in [decontaminate.normalised(texts[i])]
+        if any(plain.part_distance(item, text) <= decontaminate.budget(len(item)) for item in items)
+    }
+    left = [i for i in alone if i not in leaks]
+    assert len(texts) > len(good) > len(alone) > len(left) > 0
+    db = duckdb.connect()
+    db.register("documents", tables["documents"].filter(pc.is_in(tables["documents"]["doc_id"], pa.array(left))))
+    columns = ", ".join(tables["documents"].column_names)
+    copies = db.execute(f"SELECT {columns} FROM ({mixing.MIX_SQL})").to_arrow_table()
+    db.unregister("documents")
     got = corpus_pipeline.run(spark, SMALL)
-    assert got.columns == [*docs.columns, "slot", "shard"]
-    rows = got.collect()
-    assert {r.doc_id for r in rows} <= near - leaks
-    expected = mixing.mixed(docs.where(F.col("doc_id").isin(list(near - leaks))))
-    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in expected.collect())
+    assert got.columns == [*tables["documents"].column_names, "slot", "shard"]
+    same_as_sql(got, sharding.SHARD_SQL, documents=copies)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
