@@ -1,17 +1,22 @@
 """Running totals, positions and quantiles over orderings of any size.
 
 A window without a bounded partition sends a whole ordering to one task. For running totals the rows are range-partitioned
-on the full ordering and materialised, each slice is totalled, and the totals of earlier slices are added to the running
+on the full ordering, scanned slice by slice and materialised, and what earlier slices end with is added to the running
 value inside a slice. Quantiles need no ordering: their ranks are found in histograms of narrowing bins. Null keys are a
 group of their own. Frames that the calendar bounds use :func:`bounded_quantiles` or a plain window instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import decimal
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.sources.session import checkpointed
 
@@ -27,6 +32,33 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before it; nulls are equal, and so are NaNs."""
+    one, other = column[:-1], column[1:]
+    same = pc.or_(pc.fill_null(pc.equal(one, other), False), pc.and_(pc.is_null(one), pc.is_null(other)))
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(other)), False))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _run(column: pa.Array, starts: np.ndarray, before: tuple) -> tuple[pa.Array, tuple]:
+    """Totals up to each value since the last of ``starts``, null while no value was known, and the last of them.
+
+    ``before`` holds the total and the number of known values that the first rows go on from."""
+    known = np.cumsum(column.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))
+    values = pc.fill_null(column, pa.scalar(0, type=column.type)).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(starts)
+    owner = np.searchsorted(cuts, np.arange(len(values)), side="right")  # 0: goes on from the batch before
+    known = known + np.concatenate([[before[1]], -(known[cuts] - column.take(pa.array(cuts)).is_valid().to_numpy(zero_copy_only=False))])[owner]
+    if values.dtype.kind == "i":
+        whole = np.cumsum(values)
+        total = whole + np.concatenate([[before[0]], -(whole[cuts] - values[cuts])])[owner]
+    else:  # a difference of two sums would lose digits
+        parts = np.split(values, cuts)
+        total = np.concatenate([before[0] + np.add.accumulate(parts[0]), *map(np.add.accumulate, parts[1:])])
+    return pa.array(total, type=column.type, mask=known == 0), (total[-1], known[-1])
+
+
 def running(
     df: DataFrame,
     sums: Mapping[str, Column],
@@ -34,31 +66,61 @@ def running(
     keys: Sequence[str] = (),
     whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``sums`` accumulated up to each row of ``order`` within ``keys``.
+    """Add ``sums`` accumulated up to each row of ``order`` within ``keys``; nulls add nothing.
 
-    ``order`` must be a total order inside a key. ``whole`` names further columns for the totals of a key's sums.
+    ``order`` must be a total order inside a key. ``whole`` names further columns for the totals of a key's sums. Rows are
+    exchanged once, by ranges of keys and order, and scanned and written in that order. Only the first key of a slice can
+    go on from earlier slices, so one row per slice, its last, holds all that the next one needs to know.
     """
-    inputs = {f"_in_{name}": value for name, value in sums.items()}
+    added = df.select(*[F.sum(value).alias(name) for name, value in sums.items()]).schema
+    inputs = {f"_in_{f.name}": sums[f.name].cast(f.dataType) for f in added}
+    names, keys = list(sums), list(keys)
     ranges = [*[F.col(k) for k in keys], *order]
-    slices = checkpointed(
-        df.withColumns(inputs).repartitionByRange(*ranges).withColumn("_slice", F.spark_partition_id())
-    )
-    totals = slices.groupBy(*keys, "_slice").agg(
-        *[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(START, -1)
-    offsets = totals.select(
-        *keys,
-        "_slice",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums],
-        *[F.sum(f"_sum_{n}").over(Window.partitionBy(*keys)).alias(name) for n, name in (whole or {}).items()],
+    slices = df.withColumns(inputs).repartitionByRange(*ranges).sortWithinPartitions(*ranges).withColumn("_slice", F.spark_partition_id())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal.getcontext().prec = 76
+        held, state = None, {n: (0, 0) for n in names}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                column = batch.column(batch.schema.get_field_index(k))
+                if held is not None:
+                    column = pa.concat_arrays([held.column(held.schema.get_field_index(k))[-1:], column])
+                starts[-len(column) + 1 :] |= _changes(column) if len(column) > 1 else False
+            if held is not None:
+                yield held
+            done = []
+            for n in names:
+                column, state[n] = _run(batch.column(batch.schema.get_field_index(f"_in_{n}")), starts, state[n])
+                done.append(column)
+            held = pa.RecordBatch.from_arrays(
+                [*batch.columns, *done, pa.array(np.zeros(batch.num_rows, dtype=bool))], names=[*batch.schema.names, *[f"_run_{n}" for n in names], "_end"]
+            )
+        if held is not None:
+            last = np.arange(held.num_rows) == held.num_rows - 1
+            yield pa.RecordBatch.from_arrays([*held.columns[:-1], pa.array(last)], names=held.schema.names)
+
+    schema = T.StructType([*slices.schema, *[T.StructField(f"_run_{f.name}", f.dataType) for f in added], T.StructField("_end", T.BooleanType())])
+    scanned = checkpointed(slices.mapInArrow(scan, schema))
+    upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(START, 0)
+    ends = scanned.where("_end").select(
+        *keys, F.lead("_slice").over(Window.orderBy("_slice")).alias("_slice"), *[F.sum(f"_run_{n}").over(upto).alias(f"_off_{n}") for n in sums]
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(START, 0)
-    done = slices.withColumns({f"_run_{n}": F.sum(f"_in_{n}").over(inside) for n in sums})
-    return (
-        null_safe_join(done, offsets, [*keys, "_slice"])
-        .withColumns({n: F.col(f"_off_{n}") + F.col(f"_run_{n}") for n in sums})
-        .drop("_slice", *inputs, *[f"_off_{n}" for n in sums], *[f"_run_{n}" for n in sums])
+    done = null_safe_join(scanned, F.broadcast(ends.where("_slice IS NOT NULL")), [*keys, "_slice"], "left")
+    if whole:
+        every = scanned.groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(name) for n, name in whole.items()])
+        if keys:
+            done = null_safe_join(done, every, keys)
+        else:
+            done = done.withColumn("_whole", every.select(F.struct("*")).scalar()).select("*", "_whole.*").drop("_whole")
+    zero = {f.name: F.lit(0).cast(f.dataType) for f in added}
+    total = lambda n: F.coalesce(f"_off_{n}", zero[n]) + F.coalesce(f"_run_{n}", zero[n])
+    known = lambda n: F.coalesce(f"_off_{n}", f"_run_{n}").isNotNull()
+    return done.withColumns({n: F.when(known(n), total(n)) for n in sums}).drop(
+        "_slice", "_end", *inputs, *[f"_off_{n}" for n in sums], *[f"_run_{n}" for n in sums]
     )
 
 

@@ -22,6 +22,7 @@ from shelfwise.functions.scalars import (
     ratio,
 )
 from shelfwise.operators.aggregate import gram, safe_corr, square
+from shelfwise.sources.session import checkpointed
 
 
 def by_date(series: Sequence[str] = (), date: str = "date") -> Window:
@@ -692,18 +693,34 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def spaced_top(df: DataFrame, score: str, gap: int = 90, n: int = 12, series: Sequence[str] = ()) -> DataFrame:
-    """Best-scored dates that keep ``gap`` days apart, at most ``n`` per series."""
-    known = df.where(F.col(score).isNotNull())
-    ranked = F.sort_array(F.array_agg(F.struct((-F.col(score)).alias("s"), F.col("date"))))
+    """Best-scored dates that keep ``gap`` days (one at least) apart, at most ``n`` per series; ties go to the earlier date.
 
-    def add(chosen: Column, entry: Column) -> Column:
-        clear = F.forall(chosen, lambda d: F.abs(F.datediff(d, entry["date"])) >= gap)
-        room = F.size(chosen) < n
-        return F.when(clear & room, F.array_append(chosen, entry["date"])).otherwise(chosen)
-
-    start = F.array().cast("array<date>")
-    return (
-        known.groupBy(*series)
-        .agg(ranked.alias("_r"))
-        .select(*series, F.explode(F.aggregate("_r", start, add)).alias("date"))
-    )
+    Days without a score, or with NaN, take no part; of repeated days the best score counts. A date that no other open one within ``gap`` days beats is taken, and the days around it are closed. A series is worked
+    on in blocks of days which carry the days of both borders along, so its length doesn't matter to a task. The best
+    open date of a series is always taken, so ``n`` rounds are enough; a few do unless scores rise over years.
+    """
+    reach = max(gap, 1) - 1
+    span = 8 * (reach + 1)
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    open_days = (
+        df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+        .groupBy(*series, "date")
+        .agg(F.max(score).alias("_score"))
+        .select(*series, "date", F.struct("_score", (-day).alias("early")).alias("_place"), day.alias("_day"), F.lit(False).alias("_taken"))
+    )
+    state = checkpointed(open_days)
+    own = F.floor(F.col("_day") / span)
+    around = Window.partitionBy(*series, "_block").orderBy("_day").rangeBetween(-reach, reach)
+    for _ in range(n):
+        # both windows reach out, so a block needs the days of twice the reach beyond its ends
+        blocks = F.sequence(F.floor((F.col("_day") - 2 * reach) / span), F.floor((F.col("_day") + 2 * reach) / span))
+        rows = state.withColumn("_block", F.explode(blocks))
+        best = F.max(F.when(~F.col("_taken"), F.col("_place"))).over(around)
+        rows = rows.withColumn("_peak", F.col("_taken") | (F.col("_place") == best))
+        closed = F.bool_or("_peak").over(around) & ~F.col("_peak")
+        kept = rows.withColumn("_closed", closed).where((F.col("_block") == own) & ~F.col("_closed"))
+        state = checkpointed(kept.select(*series, "date", "_place", "_day", F.col("_peak").alias("_taken")))
+        if state.where("NOT _taken").isEmpty():
+            break
+    top = top_per_group(state.where("_taken"), series, [F.desc("_place")], n)
+    return top.select(*series, "date")

@@ -33,6 +33,44 @@ def test_running_total(spark, frame):
     assert len(out) == len(frame)
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "decimal(9,2)"])
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_running_total_of_any_type(spark, frame, kind, size):
+    """Across slices and batches, with nulls and keys of one to half of all rows."""
+    part = frame.assign(k=np.where(frame.id % 3 == 0, frame.k, frame.id.astype(str)), u=frame.v.where(frame.id % 5 > 0)).head(300 if size == 1 else 3000)
+    part.loc[part.id % 11 == 0, "k"] = None
+    df = spark.createDataFrame([(int(r.id), r.k, None if pd.isna(r.u) else float(r.u)) for r in part.itertuples()], "id long, k string, u double")
+    df = df.withColumn("u", F.col("u").cast(kind)).repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        got = running(df, {"sofar": F.col("u"), "place": F.lit(1)}, [F.desc("id")], ["k"], {"sofar": "total"}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sofar, place = {}, {}
+    rows = sorted(df.collect(), key=lambda r: -r.id)
+    want = {}
+    for r in rows:
+        place[r.k] = place.get(r.k, 0) + 1
+        if r.u is not None:
+            sofar[r.k] = sofar.get(r.k, 0) + r.u
+        want[r.id] = (sofar.get(r.k), place[r.k], r.k)
+    assert len(got) == len(want)
+    for r in got:
+        s, p, k = want[r.id]
+        assert (r.place, r.k) == (p, k)
+        assert r.sofar is None if s is None else float(r.sofar) == pytest.approx(float(s), abs=1e-7)
+        assert r.total is None if sofar.get(k) is None else float(r.total) == pytest.approx(float(sofar[k]), abs=1e-7)
+
+
+def test_running_total_needs_one_exchange_and_no_rows(spark, frame):
+    df = spark.createDataFrame(frame)
+    assert running(df.where("id < 0"), {"n": F.lit(1)}, [F.col("id")], ["k"]).count() == 0
+    plan = positions(df, [F.col("v"), F.col("id")], ["k"])._jdf.queryExecution().executedPlan().toString()
+    rows = plan.split("BroadcastExchange")[0]  # what is written is read and numbered without another exchange or sort
+    assert "Exchange hashpartitioning" not in rows and "Window" not in rows
+
+
 def test_positions_are_a_permutation(spark, frame):
     df = spark.createDataFrame(frame).repartition(5)
     out = positions(df, [F.col("v"), F.col("id")]).toPandas().sort_values("position")

@@ -195,6 +195,29 @@ def test_spaced_top(spark):
     assert got == sorted(chosen)
 
 
+@pytest.mark.parametrize("shape", ["random", "rising", "flat"])
+def test_spaced_top_is_greedy_on_long_series(spark, shape):
+    rng = np.random.default_rng(11)
+    n, gap, most = 4000, 20, 7
+    score = {"random": rng.integers(0, 50, n), "rising": np.arange(n), "flat": np.zeros(n)}[shape].astype(float)
+    rows = [(s, DAY + dt.timedelta(days=i), float(v)) for s, sign in (("up", 1), ("down", -1), (None, 1)) for i, v in enumerate(sign * score)]
+    rows += [("up", DAY, None), ("up", DAY, float("nan")), ("up", DAY, -1.0), ("blank", DAY, None)]
+    found = T.spaced_top(spark.createDataFrame(rows, "k string, date date, s double").repartition(5), "s", gap, most, ["k"]).collect()
+    for k, sign in (("up", 1), ("down", -1), (None, 1)):
+        chosen = []
+        for i in sorted(range(n), key=lambda i: (-sign * score[i], i)):
+            if len(chosen) < most and all(abs(i - c) >= gap for c in chosen):
+                chosen.append(i)
+        assert sorted((r.date - DAY).days for r in found if r.k == k) == sorted(chosen)
+    assert not [r for r in found if r.k == "blank"]
+
+
+def test_spaced_top_without_spacing_or_rows(spark):
+    df = spark.createDataFrame([(DAY + dt.timedelta(days=o), float(o % 3)) for o in range(9)], "date date, s double")
+    assert sorted((r.date - DAY).days for r in T.spaced_top(df, "s", 0, 4).collect()) == [1, 2, 5, 8]
+    assert T.spaced_top(df.where("s < 0"), "s").count() == 0
+
+
 def test_rolling_correlation_matches_pandas(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=40), rng.normal(size=40)
