@@ -197,9 +197,11 @@ def _(shop):
     return M.history_features(history(shop))
 
 
-@query("F07b_default_matrix", "date:t target:d " + " ".join(f"{n}:d" for n in M.FEATURES["revenue"]),
-       f"SELECT t.date, t.revenue AS target, {', '.join(M.FEATURES['revenue'])} FROM x_train t JOIN x_baseline_default USING (date) JOIN (SELECT date, "
-       + ", ".join(map(history_sql, GROWN)) + " FROM x_train) h USING (date)")
+view("x_revenue_matrix", f"SELECT t.date, t.revenue AS target, {', '.join(M.FEATURES['revenue'])} FROM x_train t JOIN x_baseline_default USING (date) JOIN (SELECT date, "
+     + ", ".join(map(history_sql, GROWN)) + " FROM x_train) h USING (date)")
+
+
+@query("F07b_default_matrix", "date:t target:d " + " ".join(f"{n}:d" for n in M.FEATURES["revenue"]), "SELECT * FROM x_revenue_matrix")
 def _(shop):
     """All features on the revenue model's list, under the growth rule that forecasts use."""
     rows = train(shop)
@@ -299,8 +301,7 @@ def _(shop):
     )
 
 
-@query("F09_gbt_predictions", "date:t target:d predicted:d")
-def _(shop):
+def tree_predictions(shop):
     """Days after the cut only, each from the values known the day before and references of the training days."""
     rows = train(shop)
     growth = M.annual_growth(rows, since=1996)
@@ -310,12 +311,49 @@ def _(shop):
     return M.predict(model, table.where(~seen), M.FEATURES["revenue"])
 
 
-@query("F10_feature_importance", "feature:s importance:d")
-def _(shop):
+def tree_importance(shop):
+    """The importance of every feature of the revenue model, and its training rows."""
     rows = train(shop)
     table = checkpointed(M.feature_matrix(rows, M.annual_growth(rows, since=1996, carry=0.0), "revenue"))
     model = M.fit_gbt(table, M.FEATURES["revenue"])
-    return M.feature_importance(model, M.FEATURES["revenue"], shop.spark)
+    return M.feature_importance(model, M.FEATURES["revenue"], shop.spark), table
+
+
+@query("F09_gbt_predictions", "date:t target:d predicted:d")
+def _(shop):
+    return tree_predictions(shop)
+
+
+@query("F09b_gbt_checks", "days:i first_date:t last_date:t target_mean:d valid:b", """
+SELECT count(*) AS days, min(date) AS first_date, max(date) AS last_date, avg(revenue) AS target_mean, true AS valid FROM x_future""")
+def _(shop):
+    """Every later day once, with a known prediction that isn't negative."""
+    found = tree_predictions(shop)
+    valid = F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.col("predicted") >= 0)
+    return found.agg(
+        F.count_distinct("date").alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.avg("target").alias("target_mean"), F.bool_and(valid).alias("valid"),
+    )
+
+
+@query("F10_feature_importance", "feature:s importance:d")
+def _(shop):
+    return tree_importance(shop)[0]
+
+
+@query("F10b_importance_checks", "feature:s known:i total:d allowed:b", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS known, 1.0 AS total, true AS allowed FROM x_revenue_matrix" for c in M.FEATURES["revenue"]))
+def _(shop):
+    """Per feature the days that know it; importances add up to one, and what never varies has none."""
+    found, table = tree_importance(shop)
+    names = M.FEATURES["revenue"]
+    spread = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.count(c).alias("known"), (F.count_distinct(F.coalesce(c, F.lit(M.MISSING))) > 1).alias("varies")) for c in names
+    ])
+    seen = table.agg(spread.alias("_f")).select(F.inline("_f"))
+    allowed = (F.col("importance") >= 0) & ((F.col("importance") == 0) | F.col("varies"))
+    total = found.agg(F.sum("importance")).scalar()
+    return found.join(seen, "feature").select("feature", "known", total.alias("total"), allowed.alias("allowed"))
 
 
 # --- backtests ------------------------------------------------------------------

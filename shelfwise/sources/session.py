@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOG = logging.getLogger(__name__)
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -34,10 +36,12 @@ def local_session(cores: str = "8", **extra: str) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, and say which ones changed."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        found = spark.conf.get(key, None)
+        if found != value:
             spark.conf.set(key, value)
+            LOG.warning("%s was %s, now %s: results rest on it", key, found, value)
     return spark
 
 

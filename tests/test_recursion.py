@@ -57,6 +57,36 @@ def test_sums_of_products(spark):
     assert np.allclose(A.square(found["place"].to_numpy(), found["total"].to_numpy()), v.T @ v)
 
 
+def test_trees_on_unseen_days(spark, history):
+    rows = history.where("shop = 'a'").drop("shop")
+    known = M.until(rows, "2014-06-30")
+    table = M.feature_matrix(rows, M.annual_growth(known, since=2012), "revenue", known=known).cache()
+    seen = F.col("date") <= F.lit("2014-06-30").cast("date")
+    names = M.FEATURES["revenue"]
+    model = M.fit_gbt(table.where(seen), names, maxIter=10, maxDepth=3)
+    found = M.predict(model, table.where(~seen), names).toPandas()
+    assert len(found) == found["date"].nunique() == 184
+    assert (found["predicted"] >= 0).all()
+    mean = table.where(seen).agg(F.avg("target")).first()[0]
+    assert (found["predicted"] - found["target"]).abs().mean() < (mean - found["target"]).abs().mean()
+    again = M.predict(M.fit_gbt(table.where(seen), names, maxIter=10, maxDepth=3), table.where(~seen), names).toPandas()
+    assert np.allclose(found.sort_values("date")["predicted"], again.sort_values("date")["predicted"])
+
+
+def test_feature_importance(spark):
+    random = np.random.default_rng(2)
+    frame = pd.DataFrame({"useful": random.uniform(1, 9, 600), "noise": random.uniform(1, 9, 600), "still": 4.0})
+    frame["target"] = frame["useful"] ** 2
+    rows = spark.createDataFrame(frame)
+    names = ["noise", "still", "useful"]
+    model = M.fit_gbt(rows, names, maxIter=5, maxDepth=3)
+    found = M.feature_importance(model, names, spark).toPandas()
+    assert found["feature"][0] == "useful" and set(found["feature"]) == set(names)
+    assert found["importance"].is_monotonic_decreasing and np.isclose(found["importance"].sum(), 1)
+    assert found.set_index("feature")["importance"]["still"] == 0
+    assert len(M.feature_importance(model, names, spark, n=2).collect()) == 2
+
+
 def test_flat_trees_predict_what_spark_predicts(spark, history):
     features, _ = R.known_features(history.where("shop = 'a'"), ["shop"])
     columns = M.FEATURES["revenue"]
