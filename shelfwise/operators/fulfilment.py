@@ -21,6 +21,7 @@ from shelfwise.operators.aggregate import correlations, group_mode
 from shelfwise.operators.commerce import quantile_groups
 from shelfwise.operators.joins import aggregate_then_join
 from shelfwise.operators.timeseries import by_date, densify, feature_columns, rolled
+from shelfwise.sources.session import checkpointed
 
 LOW_STARS, HIGH_STARS = 2, 4
 
@@ -54,18 +55,27 @@ def returned_lines(lines: DataFrame, returns: DataFrame) -> DataFrame:
     return out.fillna(0, ["returned_quantity", "refund", "wrong_size", "defective"])
 
 
-def return_rate(returned: DataFrame, keys: Sequence[str], least: int = 20) -> DataFrame:
-    """Quantity-based return rate, refund ratio, net revenue and small-sample flag."""
-    sums = returned.groupBy(*keys).agg(
+def with_few(groups: DataFrame, count: str, within: Sequence[str]) -> DataFrame:
+    """Add ``_few``, the tenth percentile of ``count`` over the groups of an outer one."""
+    few = quantiles(groups, count, {"_few": 0.1}, within)
+    return null_safe_join(groups, few, within, "left") if within else groups.withColumn("_few", few.scalar())
+
+
+def return_rate(returned: DataFrame, keys: Sequence[str], least: int = 20, within: Sequence[str] = ()) -> DataFrame:
+    """Quantity-based return rate, refund ratio, net revenue and small-sample flag.
+
+    A group is small below ``least`` lines and below the tenth percentile of the groups ``within`` its outer one. The groups
+    are stored, so that the percentile doesn't total the lines again.
+    """
+    sums = checkpointed(returned.groupBy(*keys).agg(
         F.sum("quantity").alias("quantity"),
         F.sum("returned_quantity").alias("returned_quantity"),
         F.sum("lines").alias("lines"),
         F.count_if(F.col("returned_quantity") > 0).alias("returned_lines"),
         F.sum("refund").alias("refund"),
         F.sum("revenue").alias("revenue"),
-    )
-    few = quantiles(sums, "lines", {"few": 0.1}).scalar()
-    return sums.withColumn("_few", few).withColumns(
+    ))
+    return with_few(sums, "lines", within).withColumns(
         {
             "return_rate": ratio(F.col("returned_quantity"), F.col("quantity")),
             "refund_ratio": ratio(F.col("refund"), F.col("revenue")),
@@ -187,15 +197,14 @@ def rating_columns() -> list[Column]:
     ]
 
 
-def rating_by(reviews: DataFrame, keys: Sequence[str], least: int = 20) -> DataFrame:
-    """Rating statistics per group with a small-sample flag.
+def rating_by(reviews: DataFrame, keys: Sequence[str], least: int = 20, within: Sequence[str] = ()) -> DataFrame:
+    """Rating statistics per group with a small-sample flag, as in :func:`return_rate`.
 
     The median reads a map of at most five star values per group.
     """
-    stats = reviews.where(F.col("rating").between(1, 5)).groupBy(*keys).agg(*rating_columns())
-    few = quantiles(stats, "reviews", {"few": 0.1}).scalar()
+    stats = checkpointed(reviews.where(F.col("rating").between(1, 5)).groupBy(*keys).agg(*rating_columns()))
     small = F.col("reviews") < F.greatest(F.lit(float(least)), F.col("_few"))
-    return stats.withColumn("_few", few).withColumn("small_sample", small).drop("_few")
+    return with_few(stats, "reviews", within).withColumn("small_sample", small).drop("_few")
 
 
 def product_ratings(reviews: DataFrame) -> DataFrame:

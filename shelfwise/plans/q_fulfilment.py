@@ -10,7 +10,7 @@ from shelfwise.operators import fulfilment as X
 from shelfwise.operators import quality as Q
 from shelfwise.operators import regions as G
 from shelfwise.operators import timeseries as T
-from shelfwise.operators.aggregate import correlations, safe_corr
+from shelfwise.operators.aggregate import by_each, correlations, safe_corr
 from shelfwise.plans import common as C
 from shelfwise.plans.q_series import roll_sql
 from shelfwise.plans.registry import query, view
@@ -44,13 +44,8 @@ RATE_COLUMNS = "dim:s grp:s quantity:d returned_quantity:d lines:i returned_line
 
 @query("D92_return_rate", RATE_COLUMNS, " UNION ALL ".join(RATE.format(d=d) for d in ("category", "size", "promo_used")))
 def _(shop):
-    base = returned(shop)
-    return Q.union_all(
-        [
-            X.return_rate(base, [d]).withColumn("dim", F.lit(d)).withColumn("grp", F.col(d).cast("string")).drop(d)
-            for d in ("category", "size", "promo_used")
-        ]
-    )
+    lines = by_each(returned(shop), {d: F.col(d) for d in ("category", "size", "promo_used")})
+    return X.return_rate(lines, ["dim", "grp"], within=["dim"])
 
 
 @query("D92b_category_size_rate", "category:s size:i return_rate:d", """
@@ -92,13 +87,8 @@ SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS grp, count(*) AS lines, count(*) FI
 @query("D95_reason_rates", "dim:s grp:s lines:i returned_lines:i wrong_size:i defective:i wrong_size_rate:d defect_rate:d wrong_size_share:d",
        " UNION ALL ".join(REASON.format(d=d) for d in ("category", "segment", "size")))
 def _(shop):
-    base = returned(shop)
-    return Q.union_all(
-        [
-            X.reason_rates(base, [d]).withColumn("dim", F.lit(d)).withColumn("grp", F.col(d).cast("string")).drop(d)
-            for d in ("category", "segment", "size")
-        ]
-    )
+    lines = by_each(returned(shop), {d: F.col(d) for d in ("category", "segment", "size")})
+    return X.reason_rates(lines, ["dim", "grp"])
 
 
 @query("D96_discount_returns", "discount_group:s quantity:d returned_quantity:d return_rate:d refund_ratio:d net_revenue:d", """
@@ -140,12 +130,8 @@ SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS grp, count(*) AS reviews, avg(ratin
        " UNION ALL ".join(RATING.format(d=d) for d in ("category", "segment", "product_id")))
 def _(shop):
     rated = shop.reviews.join(shop.products, "product_id")
-    return Q.union_all(
-        [
-            X.rating_by(rated, [d]).withColumn("dim", F.lit(d)).withColumn("grp", F.col(d).cast("string")).drop(d)
-            for d in ("category", "segment", "product_id")
-        ]
-    )
+    rows = by_each(rated, {d: F.col(d) for d in ("category", "segment", "product_id")})
+    return X.rating_by(rows, ["dim", "grp"], within=["dim"])
 
 
 view("x_risk", """
@@ -432,12 +418,7 @@ def _(shop):
         "duration": X.duration_bin(F.col("from_ship")),
         "speed": F.col("speed_group"),
     }
-    return Q.union_all(
-        [
-            X.feedback_by(base.withColumn("grp", label), ["grp"]).withColumn("kind", F.lit(kind))
-            for kind, label in labels.items()
-        ]
-    )
+    return X.feedback_by(by_each(base, labels), ["dim", "grp"]).withColumnRenamed("dim", "kind")
 
 
 view("x_shipping", f"""
@@ -464,12 +445,7 @@ SELECT {key} AS grp, count(*) AS orders, sum(order_value) AS value, avg(order_va
        " UNION ALL ".join(FEES.format(key=k) for k in ("fee_group", "region", "CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR)")))
 def _(shop):
     base = placed(shop, shipping(shop)).withColumn("month", S.month_start(F.col("order_date")))
-    return Q.union_all(
-        [
-            X.shipping_by(base, [k]).withColumn("grp", F.col(k).cast("string")).drop(k)
-            for k in ("fee_group", "region", "month")
-        ]
-    )
+    return X.shipping_by(by_each(base, {k: F.col(k) for k in ("fee_group", "region", "month")}), ["dim", "grp"])
 
 
 @query("D113b_shipping_correlation", "fee_value:d ratio_value:d", """
