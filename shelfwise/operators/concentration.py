@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.ordered import quantiles, running, quantiles_of
+from shelfwise.functions.ordered import histogram_bin, quantiles, running, quantiles_of
 from shelfwise.functions.scalars import at_least, herfindahl, ratio
 from shelfwise.operators.timeseries import by_date, densify, lags, rolled
+from shelfwise.sources.session import kept
 
 
 def group_revenue(lines: DataFrame, group: str, within: Sequence[str] = ()) -> DataFrame:
@@ -176,46 +177,61 @@ def mix_summary(mix: DataFrame) -> DataFrame:
 
 
 def rolling_steps(daily: DataFrame, key: str, value: str, days: int) -> DataFrame:
-    """Sums of the ``days`` days before each date, per key, as steps: key, start, end (exclusive), v, before.
+    """Sums of the ``days`` days before each date, per key, as steps: key, start, end (exclusive), v, before, sale, sold.
 
-    A key's sum changes only the day after a sale and ``days`` days later, so a sale makes two steps whatever ``days`` is.
-    Sums are taken over the sales in reach and not carried along: one without sales is exactly zero.
+    A key's sum changes only the day after a sale and ``days`` days later, so a sale makes two steps whatever ``days`` is; of
+    steps that start on one day all but the last are empty. ``sale`` marks the step of the day after a sale, ``sold`` is
+    what was sold then. Sums are taken over the sales in reach and not carried along: one without sales is exactly zero.
+    Sales are exchanged by key once, each becoming its three events behind the exchange.
     """
     number = F.unix_date("date")
-    sales = daily.select(key, number.alias("day"), F.col(value).alias("s"))
-    marks = sales.select(key, F.explode(F.array(F.col("day") + 1, F.col("day") + days + 1)).alias("day")).distinct()
-    events = sales.withColumn("mark", F.lit(False)).unionByName(
-        marks.withColumns({"s": F.lit(None).cast("double"), "mark": F.lit(True)})
+    nothing = F.lit(None).cast("double")
+    own = F.col(value).cast("double")
+    event = lambda day, s, mark, sold: F.struct(
+        day.alias("day"), s.alias("s"), F.lit(mark).alias("mark"), sold.alias("sold")
     )
+    kinds = (event(number, own, 0, nothing), event(number + 1, nothing, 1, own), event(number + days + 1, nothing, 2, nothing))
+    events = daily.select(key, "date", value).repartition(key).select(key, F.explode(F.array(*kinds)).alias("e")).select(key, "e.*")
     reach = Window.partitionBy(key).orderBy("day").rangeBetween(-days, -1)
     order = Window.partitionBy(key).orderBy("day")
-    steps = events.withColumn("v", F.coalesce(F.sum("s").over(reach), F.lit(0.0))).where("mark")
+    steps = events.withColumn("v", F.coalesce(F.sum("s").over(reach), F.lit(0.0))).where("mark > 0")
     return steps.select(
         key,
         F.col("day").alias("start"),
         F.lead("day").over(order).alias("end"),
         F.greatest("v", F.lit(0.0)).alias("v"),
         F.coalesce(F.lag(F.greatest("v", F.lit(0.0))).over(order), F.lit(0.0)).alias("before"),
+        (F.col("mark") == 1).alias("sale"),
+        "sold",
     )
 
 
 def top_of_steps(steps: DataFrame, key: str, n: int, block: int = 32) -> DataFrame:
     """The ``n`` largest positive values of every day: day, place, v.
 
-    Of a block of days, n keys hold at least the n-th largest of all keys' least values on every day of it; keys whose
-    largest value stays below that are left out before steps are laid out by day.
+    Steps are counted per day in bins of their values. A day's bar is the bin with its n-th largest value, a block's bar the
+    lowest of its days: steps below the bars of their blocks are left out before the others are laid out by day.
     """
+    alive = steps.where("end > start AND v > 0").withColumn("bin", histogram_bin(F.col("v"), 8))
+    turn = lambda day, by: F.struct(F.col(day).alias("day"), F.lit(by).alias("by"))
+    turns = alive.select("bin", F.explode(F.array(turn("start", 1), turn("end", -1))).alias("t"))
+    moved = turns.groupBy("bin", F.col("t.day").alias("day")).agg(F.sum("t.by").alias("by"))
+    days = moved.groupBy("bin").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    held = F.sum(F.coalesce("by", F.lit(0))).over(Window.partitionBy("bin").orderBy("day"))
+    counts = days.join(moved, ["bin", "day"], "left").select("bin", "day", held.alias("held")).where("held > 0")
+    upto = F.sum("held").over(Window.partitionBy("day").orderBy(F.desc("bin")))
+    bars = (
+        counts.withColumn("upto", upto)
+        .groupBy("day")
+        .agg(F.coalesce(F.max(F.when(F.col("upto") >= n, F.col("bin"))), F.min("bin")).alias("bar"))
+        .groupBy(F.floor(F.col("day") / block).alias("block"))
+        .agg(F.min("bar").alias("bar"))
+    )
     place = lambda c: F.floor(c / block)
-    parts = steps.where("end IS NOT NULL AND v > 0").withColumn("block", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))))
+    parts = alive.withColumn("block", F.explode(F.sequence(place(F.col("start")), place(F.col("end") - 1))))
+    likely = parts.join(F.broadcast(bars), "block").where("bin >= bar")  # a row per block of the calendar
     first, last = F.greatest("start", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
-    parts = parts.select(key, "block", "v", first.alias("start"), last.alias("end"))
-    held = parts.groupBy("block", key).agg(
-        F.max("v").alias("high"), F.when(F.sum(F.col("end") - F.col("start")) == block, F.min("v")).alias("low")
-    )
-    ranked = held.where("low IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("low"), key)))
-    bars = ranked.where(F.col("r") <= n).groupBy("block").agg(F.max(F.when(F.col("r") == n, F.col("low"))).alias("bar"))
-    likely = held.join(bars, "block", "left").where("bar IS NULL OR high >= bar").select("block", key)
-    laid = parts.join(likely, ["block", key]).select(key, "v", F.explode(F.sequence("start", F.col("end") - 1)).alias("day"))
+    laid = likely.select(key, "v", F.explode(F.sequence(first, last - 1)).alias("day"))
     found = laid.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("v"), key)))
     return found.where(F.col("place") <= n).select("day", "place", "v")
 
@@ -224,10 +240,10 @@ def rolling_concentration(daily: DataFrame, key: str, value: str = "revenue", da
     """Concentration of the ``days`` days before each date, and the best key's value of the day before.
 
     ``daily`` has one row per key and date. Entropy and the sum of squared shares follow from sums that change with a step
-    only: what each step adds is totalled per day and added up over the calendar.
+    only: what each step adds is totalled per day and added up over the calendar. Steps are stored, so that their sums and
+    the best keys don't work them out again.
     """
-    steps = rolling_steps(daily, key, value, days)
-    span = daily.agg(F.unix_date(F.min("date")).alias("a"), F.unix_date(F.max("date")).alias("b"))
+    steps = kept(rolling_steps(daily, key, value, days))
     log = lambda c: F.when(F.col(c) > 0, F.col(c) * F.ln(c)).otherwise(0.0)
     names = {
         "t": F.col("v") - F.col("before"),
@@ -235,20 +251,21 @@ def rolling_concentration(daily: DataFrame, key: str, value: str = "revenue", da
         "vl": log("v") - log("before"),
         "active": (F.col("v") > 0).cast("long") - (F.col("before") > 0).cast("long"),
     }
-    moved = steps.groupBy(F.col("start").alias("day")).agg(*[F.sum(e).alias(n) for n, e in names.items()])
+    moved = steps.groupBy(F.col("start").alias("day")).agg(
+        *[F.sum(e).alias(n) for n, e in names.items()], F.max("sold").alias("top"), F.max("sale").alias("sale")
+    )
+    span = moved.where("sale").agg(F.min(F.col("day") - 1).alias("a"), F.max(F.col("day") - 1).alias("b"))
     calendar = span.select(F.explode(F.sequence("a", "b")).alias("day"), "a")
     order = Window.orderBy("day")  # one row per calendar day
     sums = calendar.join(moved, "day", "left").select(
-        "day", "a", *[F.sum(F.coalesce(n, F.lit(0))).over(order).alias(n) for n in names]
+        "day", "a", "top", *[F.sum(F.coalesce(n, F.lit(0))).over(order).alias(n) for n in names]
     )
     best = top_of_steps(steps, key, 10).groupBy("day").agg(
         *[F.sum(F.when(F.col("place") <= k, F.col("v"))).alias(f"top_{k}") for k in (1, 5, 10)]
     )
-    yesterday = daily.groupBy((F.unix_date("date") + 1).alias("day")).agg(F.max(value).alias("top"))
     return (
         sums.where((F.col("day") >= F.col("a") + least) & (F.col("active") > 0))
         .join(best, "day")
-        .join(yesterday, "day", "left")
         .select(
             F.date_from_unix_date(F.col("day").cast("int")).alias("date"),
             "active",

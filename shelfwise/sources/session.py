@@ -68,3 +68,10 @@ def scratch_folder(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="shelfwise-files-")
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in a scratch folder and read back, for rows that several steps of a query read."""
+    path = f"{scratch_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

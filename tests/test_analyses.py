@@ -11,12 +11,14 @@ from shelfwise.operators import backtest as B
 from shelfwise.operators import concentration as K
 from shelfwise.operators import customers as U
 from shelfwise.operators import forecast as M
+from shelfwise.operators import inventory as I
 from shelfwise.operators import orders as O
 from shelfwise.operators import promotions as R
 from shelfwise.operators import quality as Q
 from shelfwise.operators import recursion as N
 from shelfwise.operators import report as V
-from shelfwise.sources import catalog, sinks
+from shelfwise.sources import catalog, session, sinks
+from shelfwise.sources.star import Shop
 
 DAY = dt.date(2018, 1, 1)
 
@@ -263,3 +265,19 @@ def test_quantiles_of_wide_values(spark):
         assert row.a == order[0] and row.c == order[-1]
         if np.isfinite([low, high]).all():
             assert np.isclose(row.b, low + (high - low) * (spot - np.floor(spot)), rtol=1e-12, atol=0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_move_sales_once_and_are_worked_out_once(spark):
+    rows = [(1, DAY, 5.0), (1, DAY + dt.timedelta(days=30), 2.0), (2, DAY + dt.timedelta(days=9), None), (None, DAY, 1.0)]
+    daily = spark.createDataFrame(rows, "k int, date date, v double")
+    assert plan_of(K.rolling_steps(daily, "k", "v", 30)).count("Exchange") == 1
+    found = K.rolling_concentration(daily, "k", "v", 30, 1)
+    assert "ExistingRDD" not in plan_of(found)  # reads the stored steps only
+    got = {(r.date - DAY).days: r for r in found.collect()}
+    assert sorted(got) == list(range(1, 31))
+    assert {d: r.top_value_before for d, r in got.items() if r.top_value_before} == {1: 5.0}
+    assert [got[d].active for d in (1, 30)] == [2, 2] and got[30].top_1_share == pytest.approx(5 / 6)
