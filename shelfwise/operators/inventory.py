@@ -20,17 +20,28 @@ def flagged(name: str) -> Column:
 
 
 def stockout_monthly(inventory: DataFrame, keys: Sequence[str] = ("month",)) -> DataFrame:
-    """Records, stock-outs, rate, stock, fill rate and days out of stock per month."""
+    """Records, stock-outs, rate, stock, fill rate and days out of stock per month.
+
+    Rows are totalled per product first: products are then counted without a copy of every row for each distinct count.
+    """
     out = flagged("stockout_flag")
-    return inventory.groupBy(*keys).agg(
+    own = [] if "product_id" in keys else ["product_id"]
+    products = inventory.groupBy(*keys, *own).agg(
         F.count("*").alias("records"),
         F.count_if(out).alias("stockouts"),
-        ratio(F.count_if(out), F.count("*")).alias("stockout_rate"),
-        F.count_distinct(F.when(out, F.col("product_id"))).alias("stockout_products"),
-        F.avg("stock_on_hand").alias("mean_stock"),
-        F.avg("fill_rate").alias("mean_fill_rate"),
         F.sum("stockout_days").alias("stockout_days"),
-        ratio(F.sum("stockout_days"), F.count_distinct("product_id")).alias("days_per_product"),
+        *[e(c).alias(f"{n}_{c}") for c in ("stock_on_hand", "fill_rate") for n, e in (("sum", F.sum), ("count", F.count))],
+    )
+    mean = lambda c: ratio(F.sum(f"sum_{c}"), F.sum(f"count_{c}"))
+    return products.groupBy(*keys).agg(
+        F.sum("records").alias("records"),
+        F.sum("stockouts").alias("stockouts"),
+        ratio(F.sum("stockouts"), F.sum("records")).alias("stockout_rate"),
+        F.count_if(F.col("product_id").isNotNull() & (F.col("stockouts") > 0)).alias("stockout_products"),
+        mean("stock_on_hand").alias("mean_stock"),
+        mean("fill_rate").alias("mean_fill_rate"),
+        F.sum("stockout_days").alias("stockout_days"),
+        ratio(F.sum("stockout_days"), F.count("product_id")).alias("days_per_product"),
     )
 
 

@@ -281,3 +281,15 @@ def test_steps_move_sales_once_and_are_worked_out_once(spark):
     assert sorted(got) == list(range(1, 31))
     assert {d: r.top_value_before for d, r in got.items() if r.top_value_before} == {1: 5.0}
     assert [got[d].active for d in (1, 30)] == [2, 2] and got[30].top_1_share == pytest.approx(5 / 6)
+
+
+def test_stockouts_per_month_without_a_copy_of_rows(spark):
+    rows = [(1, "a", True, 2.0, 3, 0.5), (1, "a", True, None, 3, None), (1, "a", False, 4.0, 0, 1.0), (2, "a", None, 1.0, None, 1.0), (None, "a", True, 1.0, 2, 0.0), (3, "b", False, None, None, None)]
+    stock = spark.createDataFrame(rows, "product_id int, month string, stockout_flag boolean, stock_on_hand double, stockout_days int, fill_rate double")
+    found = I.stockout_monthly(stock)
+    assert "Expand" not in plan_of(found)
+    got = {r.month: tuple(r)[1:] for r in found.collect()}
+    assert got["a"] == (5, 3, 0.6, 1, 2.0, 0.625, 8, 4.0)
+    assert got["b"] == (1, 0, 0.0, 0, None, None, None, None)
+    products = {r.product_id: (r.records, r.stockout_products, r.days_per_product) for r in I.stockout_monthly(stock, ["product_id"]).collect()}
+    assert products == {1: (3, 1, 6.0), 2: (1, 0, None), 3: (1, 0, None), None: (1, 0, None)}
