@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+#: Bytes of files or of shuffled rows that a task of the shop's queries gets at most, and the partitions of a shuffle
+#: before AQE joins small ones: hash tables and sorts of a task then stay as they are when tables grow.
+TASK_BYTES, PARTITIONS = 16 << 20, 1024
+SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def local_session(cores: str = "8", **extra: str) -> SparkSession:
@@ -45,6 +50,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_bytes(text: str) -> int:
+    """The bytes of a size setting such as ``64m``; a plain number is bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def bounded_tasks(spark: SparkSession) -> SparkSession:
+    """Cut files and shuffles finely enough that the memory of a task doesn't grow with the tables.
+
+    A partial aggregate over nearly unique keys, or a sort, holds a multiple of what its task reads. Settings that cut
+    finer already stay.
+    """
+    for key in SIZES:
+        if size_bytes(spark.conf.get(key)) > TASK_BYTES:
+            spark.conf.set(key, TASK_BYTES)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    found = spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    if int(found) < PARTITIONS:
+        spark.conf.set(key, PARTITIONS)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder."""
     spark = df.sparkSession

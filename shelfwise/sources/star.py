@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalars import month_start, ratio
-from shelfwise.sources.session import prepare
+from shelfwise.sources.session import bounded_tasks, prepare
 
 COGS_SHARE = 0.6  # unit cost as a share of the list price
 
@@ -22,7 +22,7 @@ class Shop:
     """Lazy retail frames for one folder of star tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = prepare(spark)
+        self.spark = bounded_tasks(prepare(spark))
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:

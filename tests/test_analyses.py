@@ -293,3 +293,18 @@ def test_stockouts_per_month_without_a_copy_of_rows(spark):
     assert got["b"] == (1, 0, 0.0, 0, None, None, None, None)
     products = {r.product_id: (r.records, r.stockout_products, r.days_per_product) for r in I.stockout_monthly(stock, ["product_id"]).collect()}
     assert products == {1: (3, 1, 6.0), 2: (1, 0, None), 3: (1, 0, None), None: (1, 0, None)}
+
+
+def test_tasks_of_the_shop_are_bounded(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    coarse, fine = spark.newSession(), spark.newSession()
+    coarse.conf.set(session.SIZES[0], "128m")
+    fine.conf.set(session.SIZES[0], "1m")
+    fine.conf.set(name, 5000)
+    for one in (coarse, fine):
+        Shop(one, str(tmp_path))
+        assert all(session.size_bytes(one.conf.get(key)) <= session.TASK_BYTES for key in session.SIZES)
+        assert int(one.conf.get(name)) >= session.PARTITIONS
+    assert (fine.conf.get(session.SIZES[0]), fine.conf.get(name)) == ("1m", "5000")
+    sizes = ("67108864b", "64m", "2 GB", "7")
+    assert [session.size_bytes(s) for s in sizes] == [64 << 20, 64 << 20, 2 << 30, 7]
