@@ -31,8 +31,8 @@ from shelfwise.llm.textnp import gathered, pieces
 #: Where the second tokenizer's file lies.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bytes of text in a block, and segments kept by a worker.
-BLOCK, SEGMENTS = 8 << 20, 1 << 19
+#: Bytes of text in a block and of those worked on at once, and segments kept by a worker.
+BLOCK, AT_ONCE, SEGMENTS = 4 << 20, 1 << 19, 1 << 18
 #: A group with more links than this is counted by distinct ids.
 LINKS = 4096
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -293,7 +293,7 @@ def linked_blocks(texts: DataFrame, first: str = bpe.VOCABULARY, second: str = P
                 tool.clear()
             return out
 
-        for batch in pieces(batches, 0):
+        for batch in pieces(batches, 0, AT_ONCE):
             if not batch.num_rows:
                 continue
             texts = batch.column(0).to_pylist()

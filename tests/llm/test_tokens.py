@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -290,3 +291,9 @@ def test_new_queries_on_the_smallest_tables(spark, library, plain):
     want = dict(zip(order, plain.measures([docs[d] for d in order])))
     got = {r.doc_id: tuple(r)[1:] for r in queries.op11_token_alignment(spark, folder).collect()}
     assert got == want
+
+
+def test_texts_are_aligned_in_small_pieces():
+    batch = pa.record_batch({"text": ["x" * 100_000] * 40})
+    cut = [b.column(0).nbytes for b in token_links.pieces(iter([batch]), 0, token_links.AT_ONCE)]
+    assert len(cut) > 6 and max(cut) <= token_links.AT_ONCE + 200_000 and sum(len(b) for b in token_links.pieces(iter([batch]), 0, 1)) >= 40
