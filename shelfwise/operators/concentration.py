@@ -210,9 +210,10 @@ def top_of_steps(steps: DataFrame, key: str, n: int, block: int = 32) -> DataFra
     """The ``n`` largest positive values of every day: day, place, v.
 
     Steps are counted per day in bins of their values. A day's bar is the bin with its n-th largest value, a block's bar the
-    lowest of its days: steps below the bars of their blocks are left out before the others are laid out by day.
+    lowest of its days: steps below the bars of their blocks are left out before the others are laid out by day. Rows
+    without a key make no place.
     """
-    alive = steps.where("end > start AND v > 0").withColumn("bin", histogram_bin(F.col("v"), 8))
+    alive = steps.where("end > start AND v > 0").where(F.col(key).isNotNull()).withColumn("bin", histogram_bin(F.col("v"), 8))
     turn = lambda day, by: F.struct(F.col(day).alias("day"), F.lit(by).alias("by"))
     turns = alive.select("bin", F.explode(F.array(turn("start", 1), turn("end", -1))).alias("t"))
     moved = turns.groupBy("bin", F.col("t.day").alias("day")).agg(F.sum("t.by").alias("by"))
