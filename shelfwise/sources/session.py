@@ -18,7 +18,7 @@ SETTINGS = {
 }
 #: Bytes of files or of shuffled rows that a task of the shop's queries gets at most, and the partitions of a shuffle
 #: before AQE joins small ones: hash tables and sorts of a task then stay as they are when tables grow.
-TASK_BYTES, PARTITIONS = 16 << 20, 1024
+TASK_BYTES, PARTITIONS = 16 << 20, 400
 SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
