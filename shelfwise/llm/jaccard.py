@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm import textnp
 from shelfwise.llm.components import components
 from shelfwise.llm.storage import stored
+from shelfwise.sources.session import bounded_batches
 
 #: Groups of the count vectors.
 GROUPS = 512
@@ -40,6 +41,10 @@ BLOCK = 1024
 PART, WHOLE = 100, 75
 #: Most frequent shingles that are put last; only the order depends on it, never the result.
 MOST_FREQUENT = 1 << 20
+#: Shingles that are counted at once for that.
+TALLIED = 1 << 20
+#: Pairs of a point and a node or entry whose minima are added up at once.
+PAIRS = 1 << 12
 #: Bits of the document filter that is sent to the tasks.
 FILTER_BITS = 1 << 26
 
@@ -54,18 +59,27 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles in many documents: counted in all of them, per batch first; sorted."""
+    """Shingles in many documents: counted in all of them, some thousands of documents at once first; sorted."""
     spark = docs.sparkSession
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = list(textnp.shingle_sets(batch.column(0)))
-            if parts:
-                values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                often = counts >= 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(values[often])), pa.array(counts[often].astype(np.int64))], names=["h", "n"]
-                )
+            for values in textnp.shingle_sets(batch.column(0)):
+                parts.append(values)
+                held += len(values)
+                if held >= TALLIED:
+                    yield tally(parts)
+                    parts, held = [], 0
+        if parts:
+            yield tally(parts)
+
+    def tally(parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        often = counts >= 2
+        return pa.RecordBatch.from_arrays(
+            [pa.array(_signed(values[often])), pa.array(counts[often].astype(np.int64))], names=["h", "n"]
+        )
 
     counts = stored(
         docs.select("text").mapInArrow(tallies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 64")
@@ -234,6 +248,15 @@ def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, GROUPS)
 
 
+def shared_at_most(points: np.ndarray, p: np.ndarray, others: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """The sums of coordinate minima of the pairs of ``points[p]`` and ``others[o]``, ``PAIRS`` at once."""
+    out = np.zeros(len(p), dtype=np.int64)
+    for at in range(0, len(p), PAIRS):
+        part = slice(at, at + PAIRS)
+        out[part] = np.minimum(points[p[part]], others[o[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _excess(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How many shingles of each set its point leaves out."""
     return sizes - points.sum(axis=1, dtype=np.int64)
@@ -325,7 +348,7 @@ class Tree:
             fits &= ~((first == last)[None, :] & (first[None, :] == labels[active][:, None]))
             q, e = np.nonzero(fits)
             if len(q):
-                bound = np.minimum(points[active[q]], top[e]).sum(axis=1, dtype=np.int64) + np.minimum(excess[active[q]], more[e])
+                bound = shared_at_most(points, active[q], top, e) + np.minimum(excess[active[q]], more[e])
                 ok = bound >= least_overlap(n[q, 0], least[q, e])
                 q, e, bound = q[ok], e[ok], bound[ok]
                 if level == 0:
@@ -429,7 +452,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     components of these links leave the last round, which compares all pairs still possible, only cells with several
     components. So a group of near copies is not expanded into its pairs.
     """
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
     table = stored(_points(docs, _frequent(known)))

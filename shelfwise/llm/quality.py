@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from shelfwise.llm import textnp
 from shelfwise.llm.storage import stored
+from shelfwise.sources.session import bounded_batches
 
 #: Buckets of the hashed n-gram models.
 BUCKETS = 1 << 14
@@ -102,11 +103,13 @@ def _noise() -> Column:
 
 
 def _weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """Log importance weights of the rows, to six places."""
+    """Log importance weights of the rows, to six places; a row's doesn't depend on the rows beside it."""
     out = [np.zeros(0)]
     for buckets, starts in features(column):
-        total = np.concatenate([[0.0], np.cumsum(ratio[buckets])])
-        out.append(np.round(total[starts[1:]] - total[starts[:-1]], 6))
+        total, full = np.zeros(len(starts) - 1), starts[1:] > starts[:-1]
+        if full.any():
+            total[full] = np.add.reduceat(ratio[buckets], starts[:-1][full])
+        out.append(np.round(total, 6))
     return np.concatenate(out)
 
 
@@ -181,6 +184,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame | None]:
     """The fitted selection, and the scores (doc_id, log_weight, score) of all documents, stored."""
+    bounded_batches(docs.sparkSession)
     labels = stored(_labels(labels))
     ratio = _ratio(docs, labels)
     if ratio is None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Bytes hashed at once; a longer document is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -71,10 +71,10 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 0) -> Iterator[pa.RecordBatch]:
-    """The batches cut where their texts pass about ``most`` bytes (twice ``CHUNK`` if not given), so that what is made of them stays small."""
+    """The batches cut where their texts pass about ``most`` bytes (eight times ``CHUNK`` if not given), so that what is made of them stays small."""
     for batch in batches:
         sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64))
-        group = (np.cumsum(sizes) // (most or 2 * CHUNK)).astype(np.int64)
+        group = (np.cumsum(sizes) // (most or 8 * CHUNK)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(group)) + 1
         for begin, end in zip(np.append(0, cuts), np.append(cuts, len(sizes))):
             yield batch.slice(int(begin), int(end - begin))

@@ -20,6 +20,9 @@ SETTINGS = {
 #: before AQE joins small ones: hash tables and sorts of a task then stay as they are when tables grow.
 TASK_BYTES, PARTITIONS = 16 << 20, 400
 SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+#: Bytes of an Arrow batch at most where wide rows go to Python: rows of texts or points are then not held by the ten thousand,
+#: neither in buffers outside the heap nor in Python.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def local_session(cores: str = "8", **extra: str) -> SparkSession:
@@ -72,6 +75,13 @@ def bounded_tasks(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Cut the Arrow batches that tasks give to Python by their bytes; a finer setting stays."""
+    if size_bytes(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder."""
     spark = df.sparkSession
